@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lendbook import schemas as S
+from lendbook.operators import features as X
+from lendbook.operators import profile as P
+from lendbook.operators import quality as DQ
 from lendbook.plans import questions as Q
 from lendbook.plans import views as V
 from lendbook.sources import star
@@ -74,5 +79,134 @@ def _portfolio_queries() -> dict[str, Query]:
     }
 
 
+def damaged(flat: DataFrame) -> DataFrame:
+    """The application record spoiled in a fixed way, so that rules have something to find."""
+    key = F.col("application_id")
+    doubled = flat.unionAll(flat.where(key % 67 == 1))
+    spoil = {
+        "bureau_score": (17, F.col("bureau_score") + 600),
+        "default_flag": (19, F.lit(2)),
+        "application_status": (23, F.lit(None)),
+        "loan_status": (29, F.lit("Lost")),
+        "approved_amount": (31, F.col("requested_loan_amount") + 1),
+        "approval_date": (37, F.lit(None)),
+        "days_past_due": (41, F.lit(-1)),
+        "customer_id": (43, F.lit(None)),
+        "outstanding_balance": (47, F.lit(-5)),
+        "loan_tenure_months": (53, F.lit(13)),
+        "credit_review_date": (59, F.date_sub("application_date", 1)),
+        "disbursement_date": (61, F.col("application_date")),
+    }
+    return doubled.withColumns({
+        name: F.when(key % every == 0, value).otherwise(F.col(name))
+        for name, (every, value) in spoil.items()})
+
+
+def _quality_queries() -> dict[str, Query]:
+    def rule(name: str) -> Query:
+        return _on_portfolio(
+            lambda p: DQ.run_rules(p.flat, {name: DQ.portfolio_rules()[name]}))
+
+    def orphans(p: Portfolio) -> DataFrame:
+        return DQ.orphans({"assessments": p.assessments, "decisions": p.decisions,
+                           "performance": p.performance}, p.applications)
+
+    def references(p: Portfolio) -> DataFrame:
+        return DQ.foreign_keys({
+            "applications.customer_id": (p.applications, p.customers, "customer_id"),
+            "assessments.application_id": (p.assessments, p.applications, "application_id"),
+            "decisions.application_id": (p.decisions, p.applications, "application_id"),
+            "performance.application_id": (p.performance, p.applications, "application_id"),
+        })
+
+    def without(p: Portfolio, **every: int) -> Portfolio:
+        """Entities with some keys removed."""
+        kept = {name: getattr(p, name).where(
+            F.col("customer_id" if name == "customers" else "application_id") % n != 0)
+            for name, n in every.items()}
+        full = {name: getattr(p, name) for name in
+                ("customers", "applications", "assessments", "decisions", "performance")}
+        return Portfolio(**{**full, **kept})
+
+    def expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+        return DQ.row_count(load_portfolio(spark, sf_dir).flat, orders)
+
+    rule_names = [
+        "dq_not_null", "dq_flag_domain", "dq_app_status_domain", "dq_loan_status_domain",
+        "dq_nonneg_money", "dq_bureau_range", "dq_dti_range", "dq_nonneg_age",
+        "dq_tenure_domain", "dq_approval_cap", "dq_review_order", "dq_approval_order",
+        "dq_disbursement_order", "dq_rejected_not_disbursed", "dq_pending_no_dates",
+        "dq_rejected_no_default", "dq_nondisbursed_clean", "dq_default_not_disbursed",
+        "dq_default_status", "dq_dpd_status", "dq_balance_status", "dq_closed",
+        "dq_other_bounds"]
+    return {
+        **{name: rule(name) for name in rule_names},
+        "dq_dti_range_strict": _on_portfolio(lambda p: DQ.run_rules(
+            p.flat, {"dq_dti_range": DQ.portfolio_rules((0.03, 0.92))["dq_dti_range"]})),
+        "dq_row_count": expected_rows,
+        "dq_col_count": _on_portfolio(
+            lambda p: DQ.column_count(p.flat, len(S.FLAT_COLUMNS))),
+        "dq_unique_key": _on_portfolio(
+            lambda p: DQ.duplicate_rows(p.flat, ["application_id"], "dq_unique_key")),
+        "dq_duplicate_keys": _on_portfolio(lambda p: DQ.duplicate_keys(damaged(p.flat))),
+        "dq_full_duplicates": _on_portfolio(lambda p: DQ.duplicate_rows(
+            damaged(p.flat), p.flat.columns, "dq_full_duplicates")),
+        "dq_missing_only_in": _on_portfolio(
+            lambda p: DQ.missing_only_in(p.flat, S.NULLABLE_COLUMNS)),
+        "dq_suite": _on_portfolio(lambda p: DQ.validation_suite(p.flat, (0.03, 0.92))),
+        "dq_suite_damaged": _on_portfolio(lambda p: DQ.validation_suite(damaged(p.flat))),
+        "dq_gate": _on_portfolio(lambda p: DQ.gate(
+            DQ.validation_suite(p.flat), DQ.GATE_CHECKS)
+            .where(F.col("check").isin(DQ.GATE_CHECKS))),
+        "dq_orphans": _on_star(orphans),
+        "dq_orphans_damaged": _on_star(lambda p: orphans(
+            without(p, applications=5, assessments=7, decisions=11, performance=13))),
+        "dq_foreign_key": _on_star(references),
+        "dq_foreign_key_damaged": _on_star(
+            lambda p: references(without(p, customers=3, applications=5))),
+        "dq_null_counts": _on_star(lambda p: DQ.null_counts(
+            p.joined("applications", "assessments", "decisions"), S.NULLABLE_COLUMNS)),
+        "dq_missingness": _on_portfolio(lambda p: DQ.missingness(p.flat)),
+        "dq_bands_valid": _on_portfolio(lambda p: DQ.unexpected_labels(X.bands(p.flat))),
+        "dq_no_infinite": _on_portfolio(
+            lambda p: DQ.infinite_values(X.clean_table(p.flat), list(X.RATIOS))),
+        "dq_model_population": _on_portfolio(lambda p: DQ.model_population(
+            p.flat, X.model_table(X.clean_table(p.flat)))),
+        "prof_headline": _on_portfolio(lambda p: P.headline(p.flat)),
+        "prof_frequency": _on_portfolio(lambda p: P.frequency(p.flat)),
+        "prof_segment_rates": _on_portfolio(lambda p: P.segment_tables(p.flat)),
+    }
+
+
+def _feature_queries() -> dict[str, Query]:
+    imputed = [f"{name}_imputed" for name in S.IMPUTED_COLUMNS]
+    missing = [f"{name}_missing" for name in S.IMPUTED_COLUMNS]
+
+    def part(columns: list[str]) -> Query:
+        return _on_portfolio(
+            lambda p: X.clean_table(p.flat).select("application_id", *columns))
+
+    return {
+        "feat_missing_flags": _on_portfolio(
+            lambda p: X.missing_flags(p.flat).select("application_id", *missing)),
+        "feat_median_impute": _on_portfolio(
+            lambda p: X.impute(p.flat, X.fit_medians(p.flat))
+            .select("application_id", *imputed)),
+        "feat_safe_ratio": part(["loan_to_annual_revenue_ratio"]),
+        "feat_ratios": part(list(X.RATIOS)),
+        "feat_flags": _on_portfolio(lambda p: X.flags(p.flat).select(
+            "application_id", "has_previous_default", "has_existing_loan", "has_collateral")),
+        "feat_bands": _on_portfolio(
+            lambda p: X.bands(p.flat).select("application_id", *X.PORTFOLIO)),
+        "feat_durations": _on_portfolio(
+            lambda p: X.durations(p.flat).select("application_id", *X.DURATIONS)),
+        "feat_clean_table": _on_portfolio(lambda p: X.clean_table(p.flat)),
+        "feat_model_table": _on_portfolio(lambda p: X.model_table(X.clean_table(p.flat))),
+        "feat_leakage_guard": _on_portfolio(
+            lambda p: X.predictor_report(X.model_table(X.clean_table(p.flat)))),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_portfolio_queries()}
+    return {**_portfolio_queries(), **_quality_queries(), **_feature_queries()}

@@ -1,7 +1,8 @@
 """All oracle statements by query name."""
 
 from oracles.portfolio import portfolio_sql
+from oracles.quality import quality_sql
 
 
 def all_sql() -> dict[str, str]:
-    return {**portfolio_sql()}
+    return {**portfolio_sql(), **quality_sql()}
