@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendbook import schemas as S
+from lendbook.functions import scorecard as SC
+from lendbook.operators import evaluate as EV
 from lendbook.operators import features as X
+from lendbook.operators import model as M
 from lendbook.operators import profile as P
 from lendbook.operators import quality as DQ
+from lendbook.operators import split as SP
+from lendbook.operators import stats as ST
+from lendbook.plans import dashboard as DB
 from lendbook.plans import questions as Q
+from lendbook.plans import scoring as PS
 from lendbook.plans import views as V
-from lendbook.sources import star
+from lendbook.session import work_folder
+from lendbook.sources import files, star
 from lendbook.sources.star import Portfolio, load_portfolio, plain
+from lendbook.streaming import scoring as STREAM
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -208,5 +222,333 @@ def _feature_queries() -> dict[str, Query]:
     }
 
 
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    """Columns rounded for comparison with another engine's floating point."""
+    return df.withColumns({
+        name: F.round(F.col(name), digits) for name, digits in places.items()})
+
+
+def _clean(p: Portfolio) -> DataFrame:
+    return X.clean_table(p.flat)
+
+
+def _model(p: Portfolio) -> DataFrame:
+    return X.model_table(_clean(p))
+
+
+def _statistics_queries() -> dict[str, Query]:
+    return {
+        "eda_numeric_summary": _on_portfolio(lambda p: rounded(
+            ST.numeric_summary(_model(p)), mean=4, median=9, sd=4, min=9, p25=9, p75=9,
+            max=9)),
+        "eda_default_rate_tables": _on_portfolio(lambda p: ST.default_rate_tables(_model(p))),
+        "eda_correlation": _on_portfolio(
+            lambda p: rounded(ST.correlation(_model(p)), correlation=6)),
+        "eda_monthly": _on_portfolio(lambda p: ST.monthly_rates(p.flat)),
+        "eda_category_counts": _on_portfolio(lambda p: ST.category_counts(p.flat)),
+        "eda_histogram": _on_portfolio(lambda p: ST.histogram(p.flat)),
+        "eda_chi_square": _on_portfolio(
+            lambda p: rounded(ST.chi_square(_model(p)), statistic=6, p_value=6)),
+        "eda_wilcoxon": _on_portfolio(
+            lambda p: rounded(ST.rank_sum(_model(p)), z=6, p_value=6)),
+        "eda_statistical_tests": _on_portfolio(
+            lambda p: rounded(ST.statistical_tests(_model(p)), statistic=6, p_value=6)),
+        "eda_findings": _on_portfolio(lambda p: ST.findings(_model(p))),
+    }
+
+
+def fixed_predictions(p: Portfolio) -> DataFrame:
+    """Two deterministic PDs per disbursed loan, with ties, standing in for two models."""
+    key = F.col("application_id")
+    models = {"Model A": (7919, 997), "Model B": (104729, 991)}
+    pds = F.array(*[
+        F.struct(F.lit(name).alias("model"),
+                 (((key * factor) % modulus + 1) / F.lit(1000.0)).alias("predicted_pd"))
+        for name, (factor, modulus) in models.items()])
+    return p.flat.where(V.disbursed()).select(
+        "application_id", "customer_id", "default_flag", F.explode(pds).alias("p")).select(
+        "p.model", "application_id", "customer_id", "default_flag", "p.predicted_pd")
+
+
+def _counts(p: Portfolio) -> DataFrame:
+    return EV.score_counts(fixed_predictions(p))
+
+
+def _scored(p: Portfolio) -> DataFrame:
+    return SC.with_score(fixed_predictions(p).where("model = 'Model A'").drop("model"))
+
+
+def _evaluation_queries() -> dict[str, Query]:
+    def metric(*names: str) -> Query:
+        return _on_portfolio(lambda p: rounded(
+            EV.evaluate(_counts(p)).select("model", *names), **{n: 10 for n in names}))
+
+    return {
+        "ev_predict": _on_portfolio(lambda p: EV.with_class(fixed_predictions(p))),
+        "ev_confusion": _on_portfolio(lambda p: EV.confusion(_counts(p))),
+        "ev_threshold_metrics":
+            metric("accuracy", "precision", "recall", "specificity", "f1"),
+        "ev_roc_auc": metric("roc_auc"),
+        "ev_gini": metric("gini"),
+        "ev_pr_auc": metric("pr_auc"),
+        "ev_ks": metric("ks"),
+        "ev_brier": metric("brier_score"),
+        "ev_compare": metric(*EV.METRICS, "threshold"),
+        "ev_roc_curve": _on_portfolio(lambda p: EV.roc_curve(_counts(p))),
+        "ev_pr_curve": _on_portfolio(lambda p: EV.pr_curve(_counts(p))),
+        "ev_calibration": _on_portfolio(lambda p: rounded(
+            EV.calibration(fixed_predictions(p)), mean_predicted_probability=9)),
+        "sc_score": _on_portfolio(lambda p: _scored(p).select(
+            "application_id", "predicted_pd", "credit_score")),
+        "sc_band": _on_portfolio(lambda p: _scored(p).select(
+            "application_id", "credit_score", "risk_band")),
+        "sc_monitoring": _on_portfolio(lambda p: _scored(p).select(
+            "application_id", "risk_band", "risk_monitoring_flag")),
+        "sc_apply": _on_portfolio(_scored),
+        "sc_math_checks": _on_portfolio(lambda p: PS.math_checks(fixed_predictions(p))),
+        "sc_output_checks": _on_portfolio(lambda p: PS.output_checks(_scored(p))),
+        "sc_summary": _on_portfolio(
+            lambda p: rounded(PS.score_summary(_scored(p)), value=9)),
+        "sc_band_summary": _on_portfolio(lambda p: rounded(
+            PS.band_summary(_scored(p)), mean_predicted_pd=9, mean_credit_score=9)),
+        "sc_band_monotone": _on_portfolio(lambda p: PS.band_monotone(_scored(p))),
+        "sc_histogram": _on_portfolio(lambda p: PS.score_histogram(_scored(p))),
+    }
+
+
+def _dashboard_queries() -> dict[str, Query]:
+    return {
+        "db_kpis": _on_portfolio(lambda p: DB.kpis(p.flat)),
+        "db_status_counts": _on_portfolio(
+            lambda p: DB.counts_by(p.flat, "application_status")),
+        "db_daily_counts": _on_portfolio(lambda p: DB.counts_by(p.flat, "application_date")),
+        "db_type_counts": _on_portfolio(
+            lambda p: DB.counts_by(p.flat, "business_type", by_frequency=True)),
+        "db_purpose_counts": _on_portfolio(
+            lambda p: DB.counts_by(p.flat, "loan_purpose", by_frequency=True)),
+        "db_rate_bureau": _on_portfolio(lambda p: DB.rate_by_band(_clean(p), "bureau_band")),
+        "db_rate_dti": _on_portfolio(lambda p: DB.rate_by_band(_clean(p), "dti_band")),
+        "db_rate_age": _on_portfolio(lambda p: DB.rate_by_band(_clean(p), "age_band")),
+        "db_rate_history": _on_portfolio(lambda p: DB.rate_by_history(p.flat)),
+        "db_rate_purpose": _on_portfolio(lambda p: DB.rate_by_purpose(p.flat)),
+        "db_metric_table": _on_portfolio(
+            lambda p: DB.metric_table(EV.evaluate(_counts(p)))),
+        "db_choices": _on_portfolio(lambda p: DB.choices(_model(p))),
+    }
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modelling set with its side and fold, written once per session and read back.
+
+    Training, tuning and evaluation all start from this table, so they see the same split.
+    """
+    def build() -> DataFrame:
+        table = _model(load_portfolio(spark, sf_dir))
+        order = SP.arithmetic_key("customer_id")
+        return SP.with_folds(SP.group_split(table, order=order), order=order)
+
+    return _stored(spark, sf_dir, "split", build)
+
+
+_STORED: set[str] = set()
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str,
+            build: Callable[[], DataFrame]) -> DataFrame:
+    path = _place(spark, sf_dir, name)
+    if path not in _STORED:
+        build().write.mode("overwrite").parquet(path)
+        _STORED.add(path)
+    return spark.read.parquet(path)
+
+
+def _place(spark: SparkSession, sf_dir: str, name: str) -> str:
+    scale = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+    return f"{work_folder(spark)}/{scale}/{name}"
+
+
+def _side(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    return split_table(spark, sf_dir).where(F.col("side") == side)
+
+
+def fitted(spark: SparkSession, sf_dir: str, kind: str) -> PipelineModel:
+    """The logistic regression or the forest, fitted on the training side, saved, and loaded."""
+    path = _place(spark, sf_dir, f"model_{kind}")
+    if path not in _STORED:
+        train = _side(spark, sf_dir, "train")
+        M.save(M.fit_logistic(train) if kind == "logistic" else M.fit_forest(train), path)
+        _STORED.add(path)
+    return M.load(path)
+
+
+def holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models' PDs on the held-out side, each computed once."""
+    test = _side(spark, sf_dir, "test")
+    parts = [M.predict(fitted(spark, sf_dir, kind), test).withColumn("model", F.lit(name))
+             for kind, name in (("logistic", "Logistic Regression"), ("forest", "Random Forest"))]
+    return _stored(spark, sf_dir, "holdout", lambda: parts[0].unionByName(parts[1]))
+
+
+def feature_moments(model: PipelineModel, rows: DataFrame, column: str) -> DataFrame:
+    """(feature, low, high, mean, deviation) of a fitted recipe's vector."""
+    names = F.array(*[F.lit(name) for name in M.feature_names(model)])
+    recipe = PipelineModel(model.stages[:-1])
+    values = recipe.transform(rows).select(
+        F.posexplode(vector_to_array(F.col(column))).alias("position", "value"))
+    return values.groupBy("position").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation")).select(
+        F.get(names, F.col("position")).alias("feature"), "low", "high", "mean", "deviation")
+
+
+def _model_queries() -> dict[str, Query]:
+    def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _side(spark, sf_dir, "train").persist()
+
+    def recipe_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+        moments = feature_moments(fitted(spark, sf_dir, "logistic"),
+                                  _side(spark, sf_dir, "train"), "features")
+        return rounded(moments.select("feature", "low", "high"), low=6, high=6)
+
+    def recipe_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+        moments = feature_moments(fitted(spark, sf_dir, "logistic"),
+                                  _side(spark, sf_dir, "train"), "varying")
+        return rounded(moments, low=6, high=6, mean=4, deviation=4)
+
+    def scored_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+        test = _side(spark, sf_dir, "test")
+        return SC.with_score(M.predict(fitted(spark, sf_dir, "logistic"), test))
+
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        trees = int(spark.conf.get("spark.lendbook.tuning.trees", "20"))
+        return M.tune_forest(folded(spark, sf_dir), trees=trees)
+
+    return {
+        "ml_group_split": lambda s, d: split_table(s, d).select(
+            "application_id", "customer_id", "side"),
+        "ml_split_check": lambda s, d: SP.split_check(split_table(s, d)),
+        "ml_partition_report": lambda s, d: SP.partition_report(split_table(s, d)),
+        "ml_group_folds": lambda s, d: _side(s, d, "train").select(
+            "application_id", "customer_id", "fold"),
+        "ml_fold_report": lambda s, d: SP.fold_report(_side(s, d, "train")),
+        "ml_fold_check": lambda s, d: SP.fold_check(_side(s, d, "train")),
+        "ml_recipe_lr": recipe_lr,
+        "ml_recipe_rf": recipe_rf,
+        "ml_logistic": lambda s, d: M.predict(
+            fitted(s, d, "logistic"), _side(s, d, "test")),
+        "ml_lr_coefficients": lambda s, d: M.coefficients(fitted(s, d, "logistic")),
+        "ml_cv_metrics": lambda s, d: M.cross_validate(folded(s, d), M.fit_logistic),
+        "ml_random_forest": lambda s, d: M.predict(
+            fitted(s, d, "forest"), _side(s, d, "test")),
+        "ml_rf_importance": lambda s, d: M.importance(fitted(s, d, "forest")),
+        "ml_rf_cv": lambda s, d: M.cross_validate(
+            folded(s, d), M.fit_forest, metrics=["roc_auc", "pr_auc"]),
+        "ml_rf_tuning": tuned,
+        "ml_holdout_metrics": lambda s, d: EV.evaluate(
+            EV.score_counts(holdout_predictions(s, d))),
+        "ml_holdout_calibration": lambda s, d: EV.calibration(holdout_predictions(s, d)),
+        "sc_apply_model": scored_holdout,
+        "sink_model": lambda s, d: M.predict(  # saved and loaded by fitted()
+            fitted(s, d, "logistic"), split_table(s, d), keep=["side"]),
+    }
+
+
+def _source_queries() -> dict[str, Query]:
+    def through_csv(name: str, build: Callable[[Portfolio], DataFrame]) -> Query:
+        """Write to CSV and read back with the declared schema."""
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df, path = build(load_portfolio(spark, sf_dir)), _place(spark, sf_dir, name)
+            files.write_csv(df, path)
+            return plain(files.read_csv(spark, path, df.schema))
+        return run
+
+    def text_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _place(spark, sf_dir, "csv_text")
+        files.write_csv(damaged_text(load_portfolio(spark, sf_dir).flat), path)
+        return files.read_csv_text(spark, path)
+
+    def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = ["customer", "lineitem", "orders", "part"]
+        files.require_artifacts(spark, [f"{sf_dir}/{name}.parquet" for name in names])
+        counts = [spark.read.parquet(f"{sf_dir}/{name}.parquet").agg(
+            F.count("*").alias("rows")).select(F.lit(name).alias("artifact"), "rows")
+            for name in names]
+        return reduce(DataFrame.unionAll, counts)
+
+    def written_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _place(spark, sf_dir, "findings")
+        files.write_lines(ST.findings(_model(load_portfolio(spark, sf_dir))), path)
+        return spark.read.text(path).withColumnRenamed("value", "line")
+
+    return {
+        "src_csv": through_csv("csv_flat", lambda p: p.flat),
+        "src_csv_inferred": through_csv("csv_clean", _clean),
+        "sink_csv": through_csv("csv_exposure", V.customer_exposure),
+        "src_require_columns": _on_portfolio(lambda p: files.column_report(
+            files.require_columns(p.flat, S.FLAT_COLUMNS), S.FLAT_COLUMNS)),
+        "src_cast": lambda s, d: plain(
+            files.cast_columns(text_copy(s, d), S.FLAT_LONG_KEYS)),
+        "src_cast_report": lambda s, d: files.cast_report(
+            text_copy(s, d), S.FLAT_LONG_KEYS),
+        "src_require_artifacts": artifacts,
+        "sink_findings": written_findings,
+    }
+
+
+def damaged_text(flat: DataFrame) -> DataFrame:
+    """The record as text with some values that do not parse."""
+    key = F.col("application_id")
+    text = flat.select(*[F.col(name).cast("string").alias(name) for name in flat.columns])
+    return text.withColumns({
+        "bureau_score": F.when(key % 17 == 0, "n/a").otherwise(F.col("bureau_score")),
+        "approved_amount": F.when(key % 19 == 0, "12,5x").otherwise(F.col("approved_amount")),
+        "application_date":
+            F.when(key % 23 == 0, "31.31.2020").otherwise(F.col("application_date")),
+    })
+
+
+def _stream_queries() -> dict[str, Query]:
+    def run(spark: SparkSession, sf_dir: str, name: str,
+            predict: Callable[[DataFrame], DataFrame]) -> str:
+        """Stream every application's input columns through scoring; returns the output."""
+        schema = STREAM.applicant_schema()
+        arrivals = _stored(spark, sf_dir, "applicants", lambda: load_portfolio(
+            spark, sf_dir).flat.select(*STREAM.INPUT_COLUMNS))
+        source = _place(spark, sf_dir, "applicants")
+        output = _place(spark, sf_dir, f"{name}_{uuid.uuid4().hex}")
+        if set(arrivals.columns) != set(schema.names):
+            raise ValueError("applicant files do not have the expected columns")
+        STREAM.score_stream(STREAM.read_applicants(spark, source, schema), predict, output,
+                            f"{output}/checkpoint").awaitTermination()
+        return output
+
+    def fixed_pd(features: DataFrame) -> DataFrame:
+        return features.withColumn(
+            "predicted_pd", ((F.col("application_id") * 7919) % 997 + 1) / F.lit(1000.0))
+
+    def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+        output = run(spark, sf_dir, "stream_fixed", fixed_pd)
+        return spark.read.parquet(f"{output}/scored").drop("batch")
+
+    def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+        output = run(spark, sf_dir, "stream_rejects", fixed_pd)
+        return spark.read.parquet(f"{output}/rejected").drop("batch")
+
+    def with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model = fitted(spark, sf_dir, "logistic")
+        output = run(spark, sf_dir, "stream_model", lambda rows: M.predict(model, rows))
+        return spark.read.parquet(f"{output}/scored").drop("batch")
+
+    return {
+        "sc_apply_stream": scored,
+        "sc_apply_stream_rejects": rejected,
+        "sc_apply_stream_model": with_model,
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_portfolio_queries(), **_quality_queries(), **_feature_queries()}
+    return {
+        **_portfolio_queries(), **_quality_queries(), **_feature_queries(),
+        **_statistics_queries(), **_evaluation_queries(), **_dashboard_queries(),
+        **_source_queries(), **_stream_queries(), **_model_queries(),
+    }

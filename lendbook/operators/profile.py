@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendbook.functions.bands import PORTFOLIO, portfolio_bands
@@ -39,7 +39,6 @@ def frequency(flat: DataFrame) -> DataFrame:
         unpivot(flat, fields, variable="field", value="category", as_type="string")
         .groupBy("field", "category").agg(F.count("*").alias("count"))
     )
-    from pyspark.sql import Window
     rows = F.sum("count").over(Window.partitionBy("field"))  # a few rows per field
     return counts.withColumn("percent", ratio_rounded(F.col("count"), rows, 3, 100))
 
