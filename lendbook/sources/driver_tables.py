@@ -6,7 +6,7 @@ doubles depend on the order in which rows arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendbook import schemas as S
@@ -28,37 +28,56 @@ def _money(cents: Column) -> Column:
 def order_lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Lines summed up per order.
 
-    The distinct supplier count makes Spark aggregate by (order, supplier) before it
-    aggregates by order, so one order holding a large share of all lines is still split over
-    many tasks. The set of ship days is bounded by the calendar, not by the number of lines.
+    Lines are aggregated by (order, supplier) and then by order: the second step counts the
+    suppliers, and an order holding a large share of all lines is split over many tasks.
     """
     lines = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
-        F.to_date("l_shipdate").alias("ship_day"),
         _cents(F.col("l_extendedprice")).alias("price_cents"),
         _cents(F.col("l_tax")).alias("tax_hundredths"),
         _cents(F.col("l_discount")).alias("discount_hundredths"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
     )
-    parts = part.select("p_partkey", "p_size", _cents(F.col("p_retailprice")).alias("retail"))
-    return (
+    parts = part.select("p_partkey", "p_size",
+                        _cents(F.col("p_retailprice")).alias("retail_cents"))
+    sums = ["price_cents", "tax_hundredths", "discount_hundredths", "quantity", "retail_cents"]
+    per_supplier = (
         lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
-        .groupBy("l_orderkey")
+        .groupBy("l_orderkey", "l_suppkey")
         .agg(
             F.count("*").alias("n"),
-            F.sum("price_cents").alias("price_cents"),
-            F.sum("tax_hundredths").alias("tax_hundredths"),
-            F.sum("discount_hundredths").alias("discount_hundredths"),
-            F.sum("quantity").alias("quantity"),
-            F.sum("retail").alias("retail_cents"),
+            *[F.sum(name).alias(name) for name in sums],
             F.min("p_size").alias("smallest_part"),
             F.count_if(F.col("l_returnflag") == "R").alias("returned"),
             F.count_if(F.col("l_returnflag") == "A").alias("accepted"),
             F.count_if(F.col("l_linestatus") == "O").alias("open_lines"),
-            F.count_distinct("l_suppkey").alias("suppliers"),
-            F.collect_set("ship_day").alias("ship_days"),
         )
     )
+    added = ["n", *sums, "returned", "accepted", "open_lines"]
+    return per_supplier.groupBy("l_orderkey").agg(
+        *[F.sum(name).alias(name) for name in added],
+        F.min("smallest_part").alias("smallest_part"),
+        F.count("l_suppkey").alias("suppliers"))
+
+
+def workflow_days(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """The first three distinct ship days of each order inside its workflow window.
+
+    Days are made distinct before they meet the order date, which leaves at most one row per
+    order and calendar day, so no order is large when its days are ranked.
+    """
+    days = lineitem.select("l_orderkey", F.to_date("l_shipdate").alias("ship_day")).distinct()
+    dated = days.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "order_day"),
+                      "l_orderkey")
+    window = Window.partitionBy("l_orderkey").orderBy("ship_day")
+    first = (
+        dated.where((F.col("ship_day") >= F.col("order_day")) & (
+            F.col("ship_day") < F.date_add("order_day", WORKFLOW_WINDOW_DAYS)))
+        .withColumn("place", F.row_number().over(window)).where("place <= 3")
+    )
+    return first.groupBy("l_orderkey").agg(*[
+        F.max(F.when(F.col("place") == place, F.col("ship_day"))).alias(name)
+        for place, name in enumerate(["first_day", "second_day", "third_day"], start=1)])
 
 
 def credit_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +91,12 @@ def credit_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast("decimal(14,2)").alias("requested"),
     )
     customer = read("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    lines = order_lines(read("lineitem"), read("part"))
+    lineitem = read("lineitem")
+    lines = order_lines(lineitem, read("part"))
+    per_order = lines.join(workflow_days(lineitem, orders), "l_orderkey", "left")
     joined = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+        .join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
     )
     return _as_applications(joined)
 
@@ -83,8 +104,6 @@ def credit_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _as_applications(joined: DataFrame) -> DataFrame:
     col = F.col
     order_key = col("o_orderkey")
-    in_window = lambda day: (day >= col("order_day")) & (
-        day < F.date_add(col("order_day"), WORKFLOW_WINDOW_DAYS))
     counts = joined.withColumns({
         "n": F.coalesce("n", F.lit(0).cast("bigint")),
         "returned": F.coalesce("returned", F.lit(0).cast("bigint")),
@@ -94,12 +113,6 @@ def _as_applications(joined: DataFrame) -> DataFrame:
         "requested_cents": _cents(col("requested")),
         "revenue_cents": col("price_cents") * 5,
         "dti_thousandths": div(col("tax_hundredths") * 100, col("n")),
-        "days": F.slice(F.array_sort(F.filter(
-            F.coalesce("ship_days", F.array().cast("array<date>")), in_window)), 1, 3),
-    }).withColumns({
-        "first_day": F.get("days", F.lit(0)),
-        "second_day": F.get("days", F.lit(1)),
-        "third_day": F.get("days", F.lit(2)),
     })
     status = (
         F.when(col("second_day").isNotNull(), "Disbursed")
