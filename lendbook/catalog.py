@@ -402,9 +402,6 @@ def feature_moments(model: PipelineModel, rows: DataFrame, column: str) -> DataF
 
 
 def _model_queries() -> dict[str, Query]:
-    def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _side(spark, sf_dir, "train").persist()
-
     def recipe_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
         moments = feature_moments(fitted(spark, sf_dir, "logistic"),
                                   _side(spark, sf_dir, "train"), "features")
@@ -421,7 +418,7 @@ def _model_queries() -> dict[str, Query]:
 
     def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
         trees = int(spark.conf.get("spark.lendbook.tuning.trees", "20"))
-        return M.tune_forest(folded(spark, sf_dir), trees=trees)
+        return M.tune_forest(_side(spark, sf_dir, "train"), trees=trees)
 
     return {
         "ml_group_split": lambda s, d: split_table(s, d).select(
@@ -437,12 +434,12 @@ def _model_queries() -> dict[str, Query]:
         "ml_logistic": lambda s, d: M.predict(
             fitted(s, d, "logistic"), _side(s, d, "test")),
         "ml_lr_coefficients": lambda s, d: M.coefficients(fitted(s, d, "logistic")),
-        "ml_cv_metrics": lambda s, d: M.cross_validate(folded(s, d), M.fit_logistic),
+        "ml_cv_metrics": lambda s, d: M.cross_validate(_side(s, d, "train"), M.fit_logistic),
         "ml_random_forest": lambda s, d: M.predict(
             fitted(s, d, "forest"), _side(s, d, "test")),
         "ml_rf_importance": lambda s, d: M.importance(fitted(s, d, "forest")),
         "ml_rf_cv": lambda s, d: M.cross_validate(
-            folded(s, d), M.fit_forest, metrics=["roc_auc", "pr_auc"]),
+            _side(s, d, "train"), M.fit_forest, metrics=["roc_auc", "pr_auc"]),
         "ml_rf_tuning": tuned,
         "ml_holdout_metrics": lambda s, d: EV.evaluate(
             EV.score_counts(holdout_predictions(s, d))),
