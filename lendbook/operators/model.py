@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -191,10 +191,13 @@ def _over_folds(folded: DataFrame, one: Callable[[DataFrame, DataFrame], DataFra
     rows = folded.persist()
     try:
         numbers = sorted(row["fold"] for row in rows.select("fold").distinct().collect())
-        run = inheritable_thread_target(folded.sparkSession)(lambda number: one(
-            rows.where(F.col("fold") != number), rows.where(F.col("fold") == number)))
-        with ThreadPool(min(parallelism, len(numbers))) as pool:
-            parts = pool.map(run, numbers)
+        # One wrapper per fold: each carries its own copy of the job properties.
+        tasks = [
+            inheritable_thread_target(folded.sparkSession)(partial(
+                one, rows.where(F.col("fold") != number), rows.where(F.col("fold") == number)))
+            for number in numbers]
+        with ThreadPool(min(parallelism, len(tasks))) as pool:
+            parts = pool.map(lambda task: task(), tasks)
         return reduce(DataFrame.unionByName, parts).checkpoint()
     finally:
         rows.unpersist()
