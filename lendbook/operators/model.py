@@ -108,12 +108,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def logistic() -> LogisticRegression:
+    return LogisticRegression(labelCol=S.LABEL, featuresCol="features", regParam=0.0,
+                              standardization=False, maxIter=200, tol=1e-8)
+
+
 def fit_logistic(train: DataFrame) -> PipelineModel:
     """Unpenalised logistic regression of default."""
     prepared, rows = prepare(train, normalise=True)
-    model = LogisticRegression(labelCol=S.LABEL, featuresCol="features", regParam=0.0,
-                               standardization=False, maxIter=200, tol=1e-8).fit(rows)
-    return PipelineModel([*prepared.stages, model])
+    return PipelineModel([*prepared.stages, logistic().fit(rows)])
 
 
 def _forest(mtry: int, min_n: int, trees: int, max_depth: int,
