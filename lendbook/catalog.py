@@ -228,32 +228,38 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
         name: F.round(F.col(name), digits) for name, digits in places.items()})
 
 
-def _clean(p: Portfolio) -> DataFrame:
-    return X.clean_table(p.flat)
+def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned record, written once; statistics, models and dashboard read it."""
+    return _stored(spark, sf_dir, "clean",
+                   lambda: X.clean_table(load_portfolio(spark, sf_dir).flat))
 
 
-def _model(p: Portfolio) -> DataFrame:
-    return X.model_table(_clean(p))
+def _on_clean(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: plain(build(clean_table(spark, sf_dir)))
+
+
+def _on_model(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: plain(build(X.model_table(clean_table(spark, sf_dir))))
 
 
 def _statistics_queries() -> dict[str, Query]:
     return {
-        "eda_numeric_summary": _on_portfolio(lambda p: rounded(
-            ST.numeric_summary(_model(p)), mean=4, median=9, sd=4, min=9, p25=9, p75=9,
+        "eda_numeric_summary": _on_model(lambda table: rounded(
+            ST.numeric_summary(table), mean=4, median=9, sd=4, min=9, p25=9, p75=9,
             max=9)),
-        "eda_default_rate_tables": _on_portfolio(lambda p: ST.default_rate_tables(_model(p))),
-        "eda_correlation": _on_portfolio(
-            lambda p: rounded(ST.correlation(_model(p)), correlation=6)),
+        "eda_default_rate_tables": _on_model(ST.default_rate_tables),
+        "eda_correlation": _on_model(
+            lambda table: rounded(ST.correlation(table), correlation=6)),
         "eda_monthly": _on_portfolio(lambda p: ST.monthly_rates(p.flat)),
         "eda_category_counts": _on_portfolio(lambda p: ST.category_counts(p.flat)),
         "eda_histogram": _on_portfolio(lambda p: ST.histogram(p.flat)),
-        "eda_chi_square": _on_portfolio(
-            lambda p: rounded(ST.chi_square(_model(p)), statistic=6, p_value=6)),
-        "eda_wilcoxon": _on_portfolio(
-            lambda p: rounded(ST.rank_sum(_model(p)), z=6, p_value=6)),
-        "eda_statistical_tests": _on_portfolio(
-            lambda p: rounded(ST.statistical_tests(_model(p)), statistic=6, p_value=6)),
-        "eda_findings": _on_portfolio(lambda p: ST.findings(_model(p))),
+        "eda_chi_square": _on_model(
+            lambda table: rounded(ST.chi_square(table), statistic=6, p_value=6)),
+        "eda_wilcoxon": _on_model(
+            lambda table: rounded(ST.rank_sum(table), z=6, p_value=6)),
+        "eda_statistical_tests": _on_model(
+            lambda table: rounded(ST.statistical_tests(table), statistic=6, p_value=6)),
+        "eda_findings": _on_model(ST.findings),
     }
 
 
@@ -326,14 +332,14 @@ def _dashboard_queries() -> dict[str, Query]:
             lambda p: DB.counts_by(p.flat, "business_type", by_frequency=True)),
         "db_purpose_counts": _on_portfolio(
             lambda p: DB.counts_by(p.flat, "loan_purpose", by_frequency=True)),
-        "db_rate_bureau": _on_portfolio(lambda p: DB.rate_by_band(_clean(p), "bureau_band")),
-        "db_rate_dti": _on_portfolio(lambda p: DB.rate_by_band(_clean(p), "dti_band")),
-        "db_rate_age": _on_portfolio(lambda p: DB.rate_by_band(_clean(p), "age_band")),
+        "db_rate_bureau": _on_clean(lambda table: DB.rate_by_band(table, "bureau_band")),
+        "db_rate_dti": _on_clean(lambda table: DB.rate_by_band(table, "dti_band")),
+        "db_rate_age": _on_clean(lambda table: DB.rate_by_band(table, "age_band")),
         "db_rate_history": _on_portfolio(lambda p: DB.rate_by_history(p.flat)),
         "db_rate_purpose": _on_portfolio(lambda p: DB.rate_by_purpose(p.flat)),
         "db_metric_table": _on_portfolio(
             lambda p: DB.metric_table(EV.evaluate(_counts(p)))),
-        "db_choices": _on_portfolio(lambda p: DB.choices(_model(p))),
+        "db_choices": _on_model(DB.choices),
     }
 
 
@@ -343,7 +349,7 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     Training, tuning and evaluation all start from this table, so they see the same split.
     """
     def build() -> DataFrame:
-        table = _model(load_portfolio(spark, sf_dir))
+        table = X.model_table(clean_table(spark, sf_dir))
         order = SP.arithmetic_key("customer_id")
         return SP.with_folds(SP.group_split(table, order=order), order=order)
 
@@ -474,12 +480,12 @@ def _source_queries() -> dict[str, Query]:
 
     def written_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _place(spark, sf_dir, "findings")
-        files.write_lines(ST.findings(_model(load_portfolio(spark, sf_dir))), path)
+        files.write_lines(ST.findings(X.model_table(clean_table(spark, sf_dir))), path)
         return spark.read.text(path).withColumnRenamed("value", "line")
 
     return {
         "src_csv": through_csv("csv_flat", lambda p: p.flat),
-        "src_csv_inferred": through_csv("csv_clean", _clean),
+        "src_csv_inferred": through_csv("csv_clean", lambda p: X.clean_table(p.flat)),
         "sink_csv": through_csv("csv_exposure", V.customer_exposure),
         "src_require_columns": _on_portfolio(lambda p: files.column_report(
             files.require_columns(p.flat, S.FLAT_COLUMNS), S.FLAT_COLUMNS)),
