@@ -125,6 +125,11 @@ def _quality_queries() -> dict[str, Query]:
         return DQ.orphans({"assessments": p.assessments, "decisions": p.decisions,
                            "performance": p.performance}, p.applications)
 
+    def outer_joined(p: Portfolio) -> DataFrame:
+        return DQ.orphans_by_outer_join(
+            {"assessments": p.assessments, "decisions": p.decisions,
+             "performance": p.performance}, p.applications)
+
     def references(p: Portfolio) -> DataFrame:
         return DQ.foreign_keys({
             "applications.customer_id": (p.applications, p.customers, "customer_id"),
@@ -174,6 +179,8 @@ def _quality_queries() -> dict[str, Query]:
             DQ.validation_suite(p.flat), DQ.GATE_CHECKS)
             .where(F.col("check").isin(DQ.GATE_CHECKS))),
         "dq_orphans": _on_star(orphans),
+        "rel_full_outer_join": _on_star(lambda p: outer_joined(
+            without(p, applications=5, assessments=7, decisions=11, performance=13))),
         "dq_orphans_damaged": _on_star(lambda p: orphans(
             without(p, applications=5, assessments=7, decisions=11, performance=13))),
         "dq_foreign_key": _on_star(references),
@@ -407,6 +414,20 @@ def feature_moments(model: PipelineModel, rows: DataFrame, column: str) -> DataF
         F.get(names, F.col("position")).alias("feature"), "low", "high", "mean", "deviation")
 
 
+def _membership(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """Modelling rows whose customer is, or is not, among the training customers."""
+    table = X.model_table(clean_table(spark, sf_dir))
+    trained = _side(spark, sf_dir, "train").select("customer_id")
+    return table.join(trained, "customer_id", how).select("application_id", "customer_id")
+
+
+def both_outcomes(p: Portfolio) -> DataFrame:
+    """Customers with a rejected and a disbursed application."""
+    rows = p.joined("applications", "decisions")
+    return rows.where(V.rejected()).select("customer_id").intersect(
+        rows.where(V.disbursed()).select("customer_id"))
+
+
 def _model_queries() -> dict[str, Query]:
     def recipe_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
         moments = feature_moments(fitted(spark, sf_dir, "logistic"),
@@ -427,6 +448,9 @@ def _model_queries() -> dict[str, Query]:
         return M.tune_forest(_side(spark, sf_dir, "train"), trees=trees)
 
     return {
+        "rel_semi_join": lambda s, d: _membership(s, d, "left_semi"),
+        "rel_anti_join": lambda s, d: _membership(s, d, "left_anti"),
+        "rel_intersect": _on_portfolio(both_outcomes),
         "ml_group_split": lambda s, d: split_table(s, d).select(
             "application_id", "customer_id", "side"),
         "ml_split_check": lambda s, d: SP.split_check(split_table(s, d)),

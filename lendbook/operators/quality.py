@@ -169,6 +169,17 @@ def orphans(entities: dict[str, DataFrame], parent: DataFrame,
                          for name in entities])
 
 
+def orphans_by_outer_join(entities: dict[str, DataFrame], parent: DataFrame,
+                          key: str = "application_id") -> DataFrame:
+    """The same counts from the chain of full outer joins. Tables bucketed by the key are
+    joined in place; ``orphans`` is the one to use when they are not."""
+    joined = parent.select(key)
+    for name, frame in entities.items():
+        joined = joined.join(frame.select(key, F.lit(1).alias(name)), key, "full_outer")
+    return joined.agg(*[F.count_if(F.col(name).isNull()).alias(f"{name}_without_application")
+                        for name in entities])
+
+
 def foreign_keys(references: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
     """(reference, violations): child rows whose key has no parent row."""
     counts = [

@@ -106,10 +106,20 @@ def customer_exposure(portfolio: Portfolio) -> DataFrame:
     )
 
 
+# Table names the portfolio's SQL is written against.
+TABLE_NAMES = {
+    "customers": "customers",
+    "applications": "loan_applications",
+    "assessments": "credit_assessments",
+    "decisions": "loan_decisions",
+    "performance": "loan_performance",
+}
+
+
 def register_views(portfolio: Portfolio) -> None:
-    """Expose entities and views to ``spark.sql``."""
-    for entity in ("customers", "applications", "assessments", "decisions", "performance"):
-        getattr(portfolio, entity).createOrReplaceTempView(entity)
+    """Expose the entities and the six views to ``spark.sql`` as temporary views."""
+    for entity, table in TABLE_NAMES.items():
+        getattr(portfolio, entity).createOrReplaceTempView(table)
     for view in (application_funnel, monthly_credit_kpis, portfolio_performance,
                  default_analysis, business_segment_performance, customer_exposure):
         view(portfolio).createOrReplaceTempView(f"vw_{view.__name__}")

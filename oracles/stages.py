@@ -3,7 +3,8 @@
 from oracles.base import query
 from oracles.models import SCORED, model_sql
 from oracles.portfolio import EXPOSURE, FLAT_PLAIN
-from oracles.quality import CLEAN_CTES, CLEAN_PLAIN, FLAT_NAMES, MODEL_CTES, NUMERIC
+from oracles.quality import (
+    CLEAN_CTES, CLEAN_PLAIN, FLAT_NAMES, MODEL_CTES, NUMERIC, quality_sql)
 
 SPLIT = """sizes AS (
   SELECT customer_id, count(*) AS n,
@@ -88,6 +89,14 @@ def stage_sql() -> dict[str, str]:
         "sink_findings": f"SELECT line FROM ({model_sql()['eda_findings']})",
         "ml_group_split": query("SELECT application_id, customer_id, side FROM split",
                                 *SPLIT_CTES),
+        "rel_full_outer_join": quality_sql()["dq_orphans_damaged"],
+        "rel_semi_join": query("SELECT application_id, customer_id FROM split "
+                               "WHERE side = 'train'", *SPLIT_CTES),
+        "rel_anti_join": query("SELECT application_id, customer_id FROM split "
+                               "WHERE side = 'test'", *SPLIT_CTES),
+        "rel_intersect": query("""
+            SELECT customer_id FROM flat WHERE application_status = 'Rejected' INTERSECT
+            SELECT customer_id FROM flat WHERE application_status = 'Disbursed'"""),
         "ml_split_check": query("""SELECT
             (SELECT count(*) FROM (SELECT customer_id FROM split WHERE side = 'train'
              INTERSECT SELECT customer_id FROM split WHERE side = 'test')) AS overlap,

@@ -42,6 +42,22 @@ def test_star_join_needs_no_shuffle(spark, small):
     assert "SortMergeJoin" in text and "Exchange" not in text
 
 
+def test_views_answer_sql(spark, small):
+    views.register_views(small)
+    by_sql = spark.sql("""
+        SELECT business_type, COUNT(*) AS disbursed_loans,
+               COUNT(*) FILTER (WHERE default_flag = 1) AS defaults
+        FROM vw_default_analysis WHERE application_status = 'Disbursed'
+        GROUP BY business_type""")
+    by_call = questions.default_rate_by(small, "business_type").select(by_sql.columns)
+    assert by_sql.exceptAll(by_call).count() == 0
+    joined = spark.sql("""
+        SELECT COUNT(*) AS n FROM loan_applications a JOIN loan_decisions d USING (application_id)
+        JOIN loan_performance p USING (application_id) JOIN credit_assessments
+        USING (application_id) JOIN customers USING (customer_id)""")
+    assert joined.first()["n"] == 1500
+
+
 def test_gate_stops_on_damage(small):
     Q.gate(Q.validation_suite(small.flat), Q.GATE_CHECKS)
     with pytest.raises(Q.QualityError, match="dq_bureau_range"):
