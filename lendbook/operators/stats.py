@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lendbook import schemas as S
 from lendbook.functions.bands import PORTFOLIO
 from lendbook.functions.exprs import count_where, div, fraction, month_label
-from lendbook.functions.pvalues import chi_square_p, normal_p
+from lendbook.functions.pvalues import chi_square_tail, normal_two_sided
 from lendbook.operators.prefix import running_totals
 from lendbook.operators.quantiles import exact_quantiles, unpivot
 from lendbook.operators.segments import segment_rates_many
@@ -140,7 +140,7 @@ def chi_square(table: DataFrame, columns: Sequence[str] = tuple(CHI_SQUARE_VARIA
     tests = margins.groupBy("variable").agg(
         F.sum(part("good", "all_good") + part("bad", "all_bad")).alias("statistic"),
         (F.max("categories") - 1).alias("freedom"), F.max("n").alias("n"))
-    return tests.withColumn("p_value", chi_square_p(F.col("statistic"), F.col("freedom")))
+    return tests.withColumn("p_value", chi_square_tail(F.col("statistic"), F.col("freedom")))
 
 
 def rank_sum(table: DataFrame, columns: Sequence[str] = tuple(RANK_SUM_VARIABLES),
@@ -172,7 +172,7 @@ def rank_sum(table: DataFrame, columns: Sequence[str] = tuple(RANK_SUM_VARIABLES
     z = F.try_divide(middle - F.signum(middle) * 0.5, F.sqrt(variance))
     return sums.select(
         "variable", statistic.alias("statistic"), z.alias("z"), "n"
-    ).withColumn("p_value", normal_p(F.col("z")))
+    ).withColumn("p_value", normal_two_sided(F.col("z")))
 
 
 def statistical_tests(table: DataFrame) -> DataFrame:

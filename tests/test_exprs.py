@@ -79,9 +79,18 @@ def test_dashboard_bands_are_right_closed(spark):
     assert one(spark, band, a=("double", None)) is None
 
 
-def test_tail_probabilities():
-    assert normal_two_sided(1.959963984540054) == pytest.approx(0.05, abs=1e-12)
-    assert chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-12)
-    assert chi_square_tail(9.487729036781154, 4) == pytest.approx(0.05, abs=1e-12)
-    assert chi_square_tail(11.070497693516351, 5) == pytest.approx(0.05, abs=1e-12)
-    assert chi_square_tail(0.0, 3) == 1.0
+@pytest.mark.parametrize("z, expected", [
+    (0.0, 1.0), (1.959963984540054, 0.05), (-1.959963984540054, 0.05), (None, None),
+    (12.0, 3.552964224155360e-33)])
+def test_normal_tail(spark, z, expected):
+    got = one(spark, normal_two_sided(F.col("a")), a=("double", z))
+    assert got == (None if expected is None else pytest.approx(expected, rel=1e-9))
+
+
+@pytest.mark.parametrize("statistic, freedom, expected", [
+    (3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (7.814727903251179, 3, 0.05),
+    (9.487729036781154, 4, 0.05), (11.070497693516351, 5, 0.05), (0.0, 3, 1.0)])
+def test_chi_square_tail(spark, statistic, freedom, expected):
+    got = one(spark, chi_square_tail(F.col("a"), F.col("b")), a=("double", statistic),
+              b=("long", freedom))
+    assert got == pytest.approx(expected, rel=1e-9)
