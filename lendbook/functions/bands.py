@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,8 +48,7 @@ class Bands:
         return position
 
 
-def _decimals(*texts: str):
-    from decimal import Decimal
+def _decimals(*texts: str) -> tuple[Decimal, ...]:
     return tuple(Decimal(text) for text in texts)
 
 

@@ -203,6 +203,7 @@ def findings(table: DataFrame) -> DataFrame:
         F.min(pick("bureau_band")).alias("lowest"), F.max(pick("bureau_band")).alias("highest"))
     two = {name: F.round(F.col(name), 2) for name in
            ("overall", "prior", "no_prior", "lowest", "highest")}
+    # The wording of the report.
     lines = [
         F.format_string("Disbursed population: %d loans with %.2f%% defaults.",
                         F.col("loans"), two["overall"]),
