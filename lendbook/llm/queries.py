@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendbook.llm import (bpe, html_text, pii, quality, shards, token_counts, warc)
+from lendbook.llm import (bpe, decontaminate, html_text, line_chunks, near_dedup, pii, quality,
+                          shards, token_counts, warc)
 from lendbook.llm.common import table
 from lendbook.llm.sql import SQL  # noqa: F401  (registered with the queries)
 
@@ -56,6 +57,11 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fail_bits")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that repeat."""
+    return line_chunks.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, long ones spliced from overlapping chunks."""
     return token_counts.count_tokens(
@@ -64,6 +70,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the evidence."""
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of all documents; counts at most one apart, equal texts together where they fit."""
     return shards.shard_documents(table(spark, sf_dir, "documents")).select(
@@ -79,6 +91,11 @@ def op8_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         warc.header_lines(F.col("headers")).alias("headers"), "payload_digest", "payload_length")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document; its smallest id is kept."""
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the transducer, and what they decode to."""
     import public_tokenizers

@@ -106,4 +106,39 @@ SELECT page_id * 2 + 1 AS capture_id, url, canonical_url, ts, status,
 FROM told
 """
 
-SQL = {"op3_quality_ledger": OP3, "op8_revisit_resolution": OP8}
+OP4 = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos, len(l) AS n
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents
+          WHERE text IS NOT NULL)),
+hashed AS (
+    SELECT *, ('0x' || md5(line)[1:8])::BIGINT AS h FROM lines),
+rolled AS (
+    SELECT *, coalesce(lag(h) OVER o, 0) * 31 + h AS r, length(line) >= 200 AS long_line,
+           coalesce(lead(length(line)) OVER o, 0) >= 200 AS next_long
+    FROM hashed WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+cut AS (
+    SELECT *, (r % 2 = 0 OR long_line OR next_long) AS ends FROM rolled),
+numbered AS (
+    SELECT *, coalesce(sum(ends::INT) OVER (
+        PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS chunk_no FROM cut),
+chunks AS (
+    SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY pos) AS chunk, count(*) AS n_lines,
+           count(*) FILTER (WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]')) AS filled
+    FROM numbered GROUP BY ALL),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_no) > 1
+        AND (filled >= 2 OR (length(chunk) >= 200 AND filled > 0)) AS gone
+    FROM chunks)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN
+           coalesce(string_agg(chunk, chr(10) ORDER BY chunk_no) FILTER (WHERE NOT gone), '') END
+           AS text,
+       coalesce(sum(n_lines), 0)::BIGINT AS n_lines,
+       count(*) FILTER (WHERE gone)::BIGINT AS n_chunks_removed
+FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id
+GROUP BY d.doc_id, d.text
+"""
+
+SQL = {"op4_line_dedup": OP4, "op3_quality_ledger": OP3,
+       "op8_revisit_resolution": OP8}
