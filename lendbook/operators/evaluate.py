@@ -24,12 +24,16 @@ def with_class(predictions: DataFrame, threshold: float = THRESHOLD) -> DataFram
         F.when(F.col("predicted_pd") >= threshold, "default").otherwise("non_default"))
 
 
-def score_counts(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Defaults and non-defaults per distinct PD, with running and overall counts."""
-    counts = predictions.groupBy(*by, "predicted_pd").agg(
+def pd_counts(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Defaults and non-defaults per distinct PD."""
+    return predictions.groupBy(*by, "predicted_pd").agg(
         F.count_if(F.col("default_flag") == 1).alias("bad"),
         F.count_if(F.col("default_flag") == 0).alias("good"))
-    return running_totals(counts, ["predicted_pd"], ["bad", "good"], list(by))
+
+
+def score_counts(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Defaults and non-defaults per distinct PD, with running and overall counts."""
+    return running_totals(pd_counts(predictions, by), ["predicted_pd"], ["bad", "good"], list(by))
 
 
 def _above(name: str) -> Column:
@@ -78,6 +82,26 @@ def threshold_columns(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[st
     }
 
 
+def _squared_miss() -> Column:
+    """Squared distance of PD and outcome, summed over the rows of a distinct PD."""
+    pd = F.col("predicted_pd")
+    miss = F.lit(1.0) - pd
+    return F.col("bad") * miss * miss + F.col("good") * pd * pd
+
+
+def at_threshold(counts: DataFrame, threshold: float = THRESHOLD,
+                 by: Sequence[str] = ("model",)) -> DataFrame:
+    """Brier score and class metrics, which need no order of the PDs."""
+    sums = counts.groupBy(*by).agg(
+        F.sum(F.col("bad") + F.col("good")).alias("rows"), F.sum(_squared_miss()).alias("squared"),
+        *[value.alias(name) for name, value in _confusion(threshold).items()])
+    cells = threshold_columns(*[F.col(name) for name in ("tp", "fp", "tn", "fn")])
+    return sums.select(
+        *by, F.try_divide(F.col("squared"), F.col("rows")).alias("brier_score"),
+        *[value.alias(name) for name, value in cells.items()],
+        F.lit(threshold).alias("threshold"))
+
+
 def evaluate(counts: DataFrame, threshold: float = THRESHOLD,
              by: Sequence[str] = ("model",)) -> DataFrame:
     """All metrics per model from one pass over the counted predictions."""
@@ -91,12 +115,10 @@ def evaluate(counts: DataFrame, threshold: float = THRESHOLD,
         + _precision(_above("bad"), _above("good"))) / 2
     gap = F.abs(fraction(F.col("cum_bad"), total_bad)
                 - fraction(F.col("cum_good"), total_good))
-    miss = F.lit(1.0) - F.col("predicted_pd")
-    squared = bad * miss * miss + good * F.col("predicted_pd") * F.col("predicted_pd")
     sums = counts.groupBy(*by).agg(
         pairs.alias("pairs"), F.max(total_bad).alias("p"), F.max(total_good).alias("n"),
         F.sum(step).alias("pr_auc"), F.max(gap).alias("ks"),
-        F.sum(squared).alias("squared"),
+        F.sum(_squared_miss()).alias("squared"),
         *[value.alias(name) for name, value in _confusion(threshold).items()])
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     auc = F.try_divide(F.col("pairs").cast("double"), p * n * 2)

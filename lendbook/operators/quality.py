@@ -121,11 +121,16 @@ def row_count(df: DataFrame, expected: int) -> DataFrame:
                    ["dq_row_count"])
 
 
+def _filled_columns(df: DataFrame) -> Column:
+    """How many columns hold a value in any row."""
+    return reduce(lambda left, right: left + right,
+                  [(F.count(name) > 0).cast("bigint") for name in df.columns])
+
+
 def column_count(df: DataFrame, expected: int) -> DataFrame:
-    """Columns too many or too few; the count of columns is schema, not data."""
-    difference = abs(len(df.columns) - expected)
-    return _report(df.agg(F.count("*").alias("rows")).select(
-        F.lit(difference).cast("bigint").alias("dq_col_count")), ["dq_col_count"])
+    """Columns too many or too few, of those that hold any value."""
+    return _report(df.agg(F.abs(_filled_columns(df) - expected).alias("dq_col_count")),
+                   ["dq_col_count"])
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -236,34 +241,51 @@ class QualityError(ValueError):
 def gate(report: DataFrame, critical: Sequence[str] | None = None) -> DataFrame:
     """Fail the job when a critical check has violations; otherwise hand the report on.
 
-    The report has one row per check, so bringing it to the driver is cheap.
+    The report has one row per check. It is computed once, here, and handed on as its rows.
     """
-    bad = report.where("violations > 0")
-    if critical is not None:
-        bad = bad.where(F.col("check").isin(list(critical)))
-    failed = {row["check"]: row["violations"] for row in bad.collect()}
+    rows = report.collect()
+    failed = {row["check"]: row["violations"] for row in rows
+              if row["violations"] and (critical is None or row["check"] in critical)}
     if failed:
         raise QualityError(f"critical checks failed: {failed}")
-    return report
+    return report.sparkSession.createDataFrame(rows, report.schema)
+
+
+def _suite(flat: DataFrame, rules: Rules, expected_rows: int | None) -> DataFrame:
+    """Rules, missing values, columns and rows from one scan; the key from one shuffle."""
+    others = [name for name in flat.columns if name not in S.NULLABLE_COLUMNS]
+    missing = reduce(lambda left, right: left + right, [
+        (F.count(name) < F.count("*")).cast("bigint") for name in others])
+    counted = {
+        **{name: F.count_if(~F.coalesce(holds, F.lit(False))) for name, holds in rules.items()},
+        "dq_missing_only_in": missing,
+        "dq_col_count": F.abs(_filled_columns(flat) - len(S.FLAT_COLUMNS)),
+    }
+    if expected_rows is not None:
+        counted["dq_row_count"] = F.abs(F.count("*") - F.lit(expected_rows))
+    wide = flat.agg(*[value.alias(name) for name, value in counted.items()])
+    return _report(wide, list(counted)).unionAll(
+        duplicate_rows(flat, ["application_id"], "dq_unique_key"))
 
 
 def validation_suite(flat: DataFrame, dti_range: tuple = (0, 1),
                      expected_rows: int | None = None) -> DataFrame:
     """Every check on the application record, as (check, violations, pass)."""
-    parts = [
-        run_rules(flat, portfolio_rules(dti_range)),
-        duplicate_rows(flat, ["application_id"], "dq_unique_key"),
-        missing_only_in(flat, S.NULLABLE_COLUMNS),
-        column_count(flat, len(S.FLAT_COLUMNS)),
-    ]
-    if expected_rows is not None:
-        parts.append(row_count(flat, expected_rows))
-    return reduce(DataFrame.unionAll, parts)
+    return _suite(flat, portfolio_rules(dti_range), expected_rows)
+
+
+def gate_suite(flat: DataFrame, expected_rows: int) -> DataFrame:
+    """The checks that stop the cleaning stage. A missing debt ratio is let through here."""
+    rules = portfolio_rules()
+    ratio = F.col("debt_to_income_ratio")
+    rules["dq_dti_range_or_missing"] = ratio.isNull() | rules["dq_dti_range"]
+    wanted = {name: holds for name, holds in rules.items() if name in GATE_CHECKS}
+    return _suite(flat, wanted, expected_rows).where(F.col("check").isin(GATE_CHECKS))
 
 
 # Checks that stop the cleaning stage.
 GATE_CHECKS = [
-    "dq_col_count", "dq_unique_key", "dq_not_null", "dq_flag_domain", "dq_app_status_domain",
-    "dq_loan_status_domain", "dq_nonneg_money", "dq_bureau_range", "dq_review_order",
-    "dq_approval_order", "dq_disbursement_order",
+    "dq_row_count", "dq_col_count", "dq_unique_key", "dq_not_null", "dq_flag_domain",
+    "dq_app_status_domain", "dq_loan_status_domain", "dq_nonneg_money", "dq_bureau_range",
+    "dq_dti_range_or_missing", "dq_review_order", "dq_approval_order", "dq_disbursement_order",
 ]

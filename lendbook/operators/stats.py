@@ -21,12 +21,17 @@ from lendbook.plans import views as V
 def numeric_summary(table: DataFrame,
                     columns: Sequence[str] = tuple(S.PROFILED_COLUMNS)) -> DataFrame:
     """Count, mean, median, deviation, extremes and quartiles per numeric column."""
-    long = unpivot(table, columns)
-    moments = long.groupBy("variable").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    quantiles = exact_quantiles(long, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    measures = {
+        "count": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = table.agg(*[
+        F.struct(*[measure(F.col(column).cast("double")).alias(name)
+                   for name, measure in measures.items()]).alias(column) for column in columns])
+    moments = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(column).alias("variable"), F.col(column).alias("m"))
+        for column in columns])).alias("row")).select("row.variable", "row.m.*")
+    quantiles = exact_quantiles(unpivot(table, columns),
+                                {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    # One row per column on either side.
     return moments.join(quantiles, "variable").select(
         "variable", "count", "mean", "median", "sd", "min", "p25", "p75", "max")
 

@@ -97,6 +97,9 @@ def stage_sql() -> dict[str, str]:
         "rel_intersect": query("""
             SELECT customer_id FROM flat WHERE application_status = 'Rejected' INTERSECT
             SELECT customer_id FROM flat WHERE application_status = 'Disbursed'"""),
+        "rel_except": query("""
+            SELECT customer_id FROM flat EXCEPT
+            SELECT customer_id FROM flat WHERE application_status = 'Disbursed'"""),
         "ml_split_check": query("""SELECT
             (SELECT count(*) FROM (SELECT customer_id FROM split WHERE side = 'train'
              INTERSECT SELECT customer_id FROM split WHERE side = 'test')) AS overlap,
