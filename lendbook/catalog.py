@@ -188,10 +188,10 @@ def _quality_queries() -> dict[str, Query]:
             p.joined("applications", "assessments", "decisions"), S.NULLABLE_COLUMNS)),
         "dq_missingness": _on_portfolio(lambda p: DQ.missingness(p.flat)),
         "dq_bands_valid": _on_portfolio(lambda p: DQ.unexpected_labels(X.bands(p.flat))),
-        "dq_no_infinite": _on_portfolio(
-            lambda p: DQ.infinite_values(X.clean_table(p.flat), list(X.RATIOS))),
-        "dq_model_population": _on_portfolio(lambda p: DQ.model_population(
-            p.flat, X.model_table(X.clean_table(p.flat)))),
+        "dq_no_infinite": _on_clean(
+            lambda table: DQ.infinite_values(table, list(X.RATIOS))),
+        "dq_model_population": lambda spark, sf_dir: plain(DQ.model_population(
+            load_portfolio(spark, sf_dir).flat, X.model_table(clean_table(spark, sf_dir)))),
         "prof_headline": _on_portfolio(lambda p: P.headline(p.flat)),
         "prof_frequency": _on_portfolio(lambda p: P.frequency(p.flat)),
         "prof_segment_rates": _on_portfolio(lambda p: P.segment_tables(p.flat)),
@@ -209,16 +209,18 @@ def _feature_queries() -> dict[str, Query]:
     missing = [f"{name}_missing" for name in S.IMPUTED_COLUMNS]
 
     def part(columns: list[str]) -> Query:
-        return _on_portfolio(
-            lambda p: X.clean_table(p.flat).select("application_id", *columns))
+        return _on_clean(lambda table: table.select("application_id", *columns))
+
+    def imputed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flat = load_portfolio(spark, sf_dir).flat
+        return X.impute(flat, medians(spark, sf_dir)).select("application_id", *imputed)
 
     return {
         "feat_missing_flags": _on_portfolio(
             lambda p: X.missing_flags(p.flat).select("application_id", *missing)),
-        "feat_median_impute": _on_portfolio(
-            lambda p: X.impute(p.flat, X.fit_medians(p.flat))
-            .select("application_id", *imputed)),
-        "feat_safe_ratio": part(["loan_to_annual_revenue_ratio"]),
+        "feat_median_impute": imputed_columns,
+        "feat_safe_ratio": _on_portfolio(lambda p: p.flat.select(
+            "application_id", X.ratio("loan_to_annual_revenue_ratio"))),
         "feat_ratios": part(list(X.RATIOS)),
         "feat_flags": _on_portfolio(lambda p: X.flags(p.flat).select(
             "application_id", "has_previous_default", "has_existing_loan", "has_collateral")),
@@ -226,10 +228,10 @@ def _feature_queries() -> dict[str, Query]:
             lambda p: X.bands(p.flat).select("application_id", *X.PORTFOLIO)),
         "feat_durations": _on_portfolio(
             lambda p: X.durations(p.flat).select("application_id", *X.DURATIONS)),
-        "feat_clean_table": _on_portfolio(lambda p: X.clean_table(p.flat)),
-        "feat_model_table": _on_portfolio(lambda p: X.model_table(X.clean_table(p.flat))),
-        "feat_leakage_guard": _on_portfolio(
-            lambda p: X.predictor_report(X.model_table(X.clean_table(p.flat)))),
+        "feat_clean_table": lambda spark, sf_dir: plain(X.clean_table(
+            load_portfolio(spark, sf_dir).flat, medians(spark, sf_dir))),
+        "feat_model_table": _on_model(lambda table: table),
+        "feat_leakage_guard": _on_model(X.predictor_report),
     }
 
 
@@ -239,10 +241,16 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
         name: F.round(F.col(name), digits) for name, digits in places.items()})
 
 
+def medians(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """The medians of the imputed columns, fitted once and stored."""
+    return _stored(spark, sf_dir, "medians", lambda: spark.createDataFrame(
+        [X.fit_medians(load_portfolio(spark, sf_dir).flat)])).first().asDict()
+
+
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned record, written once; statistics, models and dashboard read it."""
-    return _stored(spark, sf_dir, "clean",
-                   lambda: X.clean_table(load_portfolio(spark, sf_dir).flat))
+    return _stored(spark, sf_dir, "clean", lambda: X.clean_table(
+        load_portfolio(spark, sf_dir).flat, medians(spark, sf_dir)))
 
 
 def _on_clean(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -413,10 +421,9 @@ def holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "holdout", lambda: parts[0].unionByName(parts[1]))
 
 
-def feature_moments(model: PipelineModel, rows: DataFrame, column: str) -> DataFrame:
+def feature_moments(recipe: PipelineModel, rows: DataFrame, column: str) -> DataFrame:
     """(feature, low, high, mean, deviation) of a fitted recipe's vector."""
-    names = F.array(*[F.lit(name) for name in M.feature_names(model)])
-    recipe = PipelineModel(model.stages[:-1])
+    names = F.array(*[F.lit(name) for name in M.feature_names(recipe)])
     values = recipe.transform(rows).select(
         F.posexplode(vector_to_array(F.col(column))).alias("position", "value"))
     return values.groupBy("position").agg(
@@ -447,25 +454,102 @@ def never_lent(p: Portfolio) -> DataFrame:
         rows.where(V.disbursed()).select("customer_id"))
 
 
+def cv_predictions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Out-of-fold predictions of the regression or the forest, computed once."""
+    fit = M.fit_logistic if kind == "logistic" else M.fit_forest
+    return _stored(spark, sf_dir, f"cv_{kind}", lambda: M.cross_predict(
+        _side(spark, sf_dir, "train"), fit))
+
+
+#: Labelled rows of the registered tuning query, about; drawn by whole customers. All 12 grid
+#: points are fitted on five folds with 500 trees of any depth; on all rows of the driver's tables
+#: the 60 fits take hours. 0 uses all rows.
+TUNING_ROWS = 150
+
+
+def tuning_rows(spark: SparkSession) -> int | None:
+    return int(spark.conf.get("spark.lendbook.tuning.rows", str(TUNING_ROWS))) or None
+
+
+def tuning_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of every grid point, computed once."""
+    return _stored(spark, sf_dir, "tuning", lambda: M.tune_predictions(
+        _side(spark, sf_dir, "train"), labelled_rows=tuning_rows(spark)))
+
+
+def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.summarise_folds(tuning_predictions(spark, sf_dir), by=["mtry", "min_n"])
+
+
+def scored_once(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """Rows and applications scored per group, and whether every PD is a probability."""
+    return predictions.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.countDistinct("application_id").alias("applications"),
+        F.min(F.coalesce(F.col("predicted_pd").between(0, 1), F.lit(False)).cast("int"))
+        .alias("within"))
+
+
+def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean PD of the regression on its training rows, overall and per level of the nominal
+    predictors. An unpenalised fit makes each equal to the observed default rate."""
+    scored = M.predict(fitted(spark, sf_dir, "logistic"), _side(spark, sf_dir, "train"),
+                       keep=S.NOMINAL_PREDICTORS)
+    groups = F.array(F.struct(F.lit("all").alias("variable"), F.lit("all").alias("level")), *[
+        F.struct(F.lit(name).alias("variable"), F.col(name).alias("level"))
+        for name in S.NOMINAL_PREDICTORS])
+    return scored.select("predicted_pd", F.explode(groups).alias("g")).groupBy(
+        "g.variable", "g.level").agg(F.round(F.avg("predicted_pd"), 3).alias("default_rate"))
+
+
+def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that change when a model is saved once more and read back."""
+    model, path = fitted(spark, sf_dir, "logistic"), _place(spark, sf_dir, "model_copy")
+    M.save(model, path)
+    rows = split_table(spark, sf_dir)
+    again = M.predict(M.load(path), rows).withColumnRenamed("predicted_pd", "again")
+    return M.predict(model, rows).join(again.select("application_id", "again"),
+                                       "application_id").agg(
+        F.count("*").alias("rows"),
+        F.count_if(~F.col("predicted_pd").eqNullSafe(F.col("again"))).alias("differing"))
+
+
+def recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout applications and whether their score follows from the stored PD."""
+    scored = SC.with_score(M.predict(fitted(spark, sf_dir, "logistic"),
+                                     _side(spark, sf_dir, "test")))
+    low, high = F.lit(1e-6), F.lit(1 - 1e-6)
+    pd = F.greatest(low, F.least(high, F.col("predicted_pd")))
+    factor = 50 / F.log(F.lit(2.0))
+    score = 600 - factor * F.log(F.lit(20.0)) + factor * F.log((1 - pd) / pd)
+    limited = F.greatest(F.lit(300.0), F.least(F.lit(850.0), score))
+    return scored.select("application_id", (F.abs(F.col("credit_score") - limited) <= 0.51).cast(
+        "int").alias("follows"))
+
+
+def importance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest's variables and whether all importances are shares of one."""
+    shares = M.importance(fitted(spark, sf_dir, "forest"))
+    total = shares.agg((F.round(F.sum("importance"), 6) == 1).cast("int").alias("whole"))
+    return shares.select("variable", F.col("importance").between(0, 1).cast("int").alias(
+        "within")).crossJoin(F.broadcast(total))       # one row
+
+
 def _model_queries() -> dict[str, Query]:
     def recipe_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-        moments = feature_moments(fitted(spark, sf_dir, "logistic"),
+        model = fitted(spark, sf_dir, "logistic")
+        moments = feature_moments(PipelineModel(model.stages[:-1]),
                                   _side(spark, sf_dir, "train"), "features")
         return rounded(moments.select("feature", "low", "high"), low=6, high=6)
 
     def recipe_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-        moments = feature_moments(fitted(spark, sf_dir, "logistic"),
-                                  _side(spark, sf_dir, "train"), "varying")
+        train = _side(spark, sf_dir, "train")
+        moments = feature_moments(M.prepare(train, normalise=False)[0], train, "varying")
         return rounded(moments, low=6, high=6, mean=4, deviation=4)
 
     def scored_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
         test = _side(spark, sf_dir, "test")
         return SC.with_score(M.predict(fitted(spark, sf_dir, "logistic"), test))
 
-    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
-        trees = int(spark.conf.get("spark.lendbook.tuning.trees", "20"))
-        return M.tune_forest(_side(spark, sf_dir, "train"), trees=trees)
-
     return {
         "rel_semi_join": lambda s, d: _membership(s, d, "left_semi"),
         "rel_anti_join": lambda s, d: _membership(s, d, "left_anti"),
@@ -483,20 +567,41 @@ def _model_queries() -> dict[str, Query]:
         "ml_recipe_rf": recipe_rf,
         "ml_logistic": lambda s, d: M.predict(
             fitted(s, d, "logistic"), _side(s, d, "test")),
-        "ml_lr_coefficients": lambda s, d: M.coefficients(fitted(s, d, "logistic")),
-        "ml_cv_metrics": lambda s, d: M.cross_validate(_side(s, d, "train"), M.fit_logistic),
+        "ml_logistic_balance": balance,
+        "ml_lr_coefficients": lambda s, d: M.coefficients(
+            fitted(s, d, "logistic"), _side(s, d, "train")),
+        "ml_lr_terms": lambda s, d: M.coefficients(fitted(s, d, "logistic")).select("term"),
+        "ml_cv_metrics": lambda s, d: M.summarise_folds(cv_predictions(s, d, "logistic")),
+        "ml_cv_check": lambda s, d: scored_once(cv_predictions(s, d, "logistic"), ["fold"]),
         "ml_random_forest": lambda s, d: M.predict(
             fitted(s, d, "forest"), _side(s, d, "test")),
         "ml_rf_importance": lambda s, d: M.importance(fitted(s, d, "forest")),
-        "ml_rf_cv": lambda s, d: M.cross_validate(
-            _side(s, d, "train"), M.fit_forest, metrics=["roc_auc", "pr_auc"]),
+        "ml_random_forest_check": lambda s, d: scored_once(
+            M.predict(fitted(s, d, "forest"), _side(s, d, "test"), keep=["side"]), ["side"]),
+        "ml_rf_importance_check": importance_check,
+        "ml_rf_cv": lambda s, d: M.summarise_folds(
+            cv_predictions(s, d, "forest"), metrics=["roc_auc", "pr_auc"]),
+        "ml_rf_cv_check": lambda s, d: scored_once(cv_predictions(s, d, "forest"), ["fold"]),
         "ml_rf_tuning": tuned,
+        "ml_rf_tuning_grid": lambda s, d: tuned(s, d).select(
+            "mtry", "min_n", "metric", "n", F.col("mean").between(0, 1).cast("int").alias("within")),
+        "ml_rf_best": lambda s, d: M.best_parameters(tuned(s, d)),
         "ml_holdout_metrics": lambda s, d: EV.evaluate(
             EV.score_counts(holdout_predictions(s, d))),
+        "ml_holdout_check": lambda s, d: holdout_predictions(s, d).groupBy("model").agg(
+            F.count("*").alias("rows"), F.sum("default_flag").alias("defaults"),
+            F.count_if(F.col("predicted_pd").isNull()).alias("left_out")),
+        "ml_holdout_bins": lambda s, d: EV.calibration(holdout_predictions(s, d)).select(
+            "model", "bin", "observations"),
         "ml_holdout_calibration": lambda s, d: EV.calibration(holdout_predictions(s, d)),
         "sc_apply_model": scored_holdout,
+        "sc_apply_model_check": recomputed,
+        "sc_output_checks_model": lambda s, d: PS.output_checks(scored_holdout(s, d)),
+        "sc_summary_model": lambda s, d: PS.score_summary(scored_holdout(s, d)),
+        "sc_band_summary_model": lambda s, d: PS.band_summary(scored_holdout(s, d)),
         "sink_model": lambda s, d: M.predict(  # saved and loaded by fitted()
             fitted(s, d, "logistic"), split_table(s, d), keep=["side"]),
+        "sink_model_check": reloaded,
     }
 
 
@@ -509,6 +614,10 @@ def _source_queries() -> dict[str, Query]:
             return plain(files.read_csv(spark, path, df.schema))
         return run
 
+    def clean_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = X.clean_table(load_portfolio(spark, sf_dir).flat, medians(spark, sf_dir))
+        return through_csv("csv_clean", lambda _: table)(spark, sf_dir)
+
     def text_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _place(spark, sf_dir, "csv_text")
         files.write_csv(damaged_text(load_portfolio(spark, sf_dir).flat), path)
@@ -529,7 +638,7 @@ def _source_queries() -> dict[str, Query]:
 
     return {
         "src_csv": through_csv("csv_flat", lambda p: p.flat),
-        "src_csv_inferred": through_csv("csv_clean", lambda p: X.clean_table(p.flat)),
+        "src_csv_inferred": clean_through_csv,
         "sink_csv": through_csv("csv_exposure", V.customer_exposure),
         "src_require_columns": _on_portfolio(lambda p: files.column_report(
             files.require_columns(p.flat, S.FLAT_COLUMNS), S.FLAT_COLUMNS)),
@@ -566,7 +675,7 @@ def _stream_queries() -> dict[str, Query]:
         if set(arrivals.columns) != set(schema.names):
             raise ValueError("applicant files do not have the expected columns")
         STREAM.score_stream(STREAM.read_applicants(spark, source, schema), predict, output,
-                            f"{output}/checkpoint").awaitTermination()
+                            f"{output}/checkpoint", medians(spark, sf_dir)).awaitTermination()
         return output
 
     def fixed_pd(features: DataFrame) -> DataFrame:
@@ -590,6 +699,10 @@ def _stream_queries() -> dict[str, Query]:
         "sc_apply_stream": scored,
         "sc_apply_stream_rejects": rejected,
         "sc_apply_stream_model": with_model,
+        "sc_apply_stream_model_check": lambda s, d: with_model(s, d).select(
+            "application_id", (F.col("predicted_pd").between(0, 1) & F.col(
+                "credit_score").isNotNull() & F.col("risk_band").isNotNull()).cast("int")
+            .alias("scored")),
     }
 
 

@@ -25,8 +25,8 @@ def with_class(predictions: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def pd_counts(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Defaults and non-defaults per distinct PD."""
-    return predictions.groupBy(*by, "predicted_pd").agg(
+    """Defaults and non-defaults per distinct PD; rows without a PD are left out."""
+    return predictions.where(F.col("predicted_pd").isNotNull()).groupBy(*by, "predicted_pd").agg(
         F.count_if(F.col("default_flag") == 1).alias("bad"),
         F.count_if(F.col("default_flag") == 0).alias("good"))
 
@@ -160,8 +160,11 @@ def pr_curve(counts: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
 def calibration(predictions: DataFrame, bins: int = 10, key: str = "application_id",
                 by: Sequence[str] = ("model",)) -> DataFrame:
-    """Mean PD against observed rate in equally filled bins of PD; ties follow the key."""
-    rows = predictions.select(*by, key, "predicted_pd", "default_flag", F.lit(1).alias("row"))
+    """Mean PD against observed rate in equally filled bins of PD; ties follow the key.
+
+    Rows without a PD are left out.
+    """
+    rows = predictions.where(F.col("predicted_pd").isNotNull()).select(*by, key, "predicted_pd", "default_flag", F.lit(1).alias("row"))
     ranked = running_totals(rows, ["predicted_pd", key], ["row"], list(by))
     return (
         ranked.groupBy(*by, tile(F.col("cum_row"), F.col("total_row"), bins).alias("bin"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendbook import schemas as S
@@ -47,9 +47,13 @@ RATIOS = {
 }
 
 
+def ratio(name: str) -> Column:
+    top, bottom = RATIOS[name]
+    return safe_ratio(F.col(top), F.col(bottom)).alias(name)
+
+
 def ratios(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        name: safe_ratio(F.col(top), F.col(bottom)) for name, (top, bottom) in RATIOS.items()})
+    return df.withColumns({name: ratio(name) for name in RATIOS})
 
 
 def flags(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterable
 from functools import partial, reduce
 from itertools import product
@@ -16,6 +17,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     SQLTransformer, StandardScaler, VarianceThresholdSelector, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,22 +32,24 @@ FOREST = {"mtry": 6, "min_n": 15, "trees": 500}
 GRID = {"mtry": [3, 6, 9, 12], "min_n": [5, 15, 25]}
 SEED = 20260922
 UNKNOWN_LEVEL = "unknown"
-MAX_LEVELS = 1000
 PARALLELISM = 5
-# Fifteen levels gave the same ranking metrics as ten at twice the cost on the trial data; a much
-# larger training set may want more.
-MAX_DEPTH = 10
+#: Trees are not bounded in depth; this is the greatest depth Spark accepts.
+MAX_DEPTH = 30
 
 
-def nominal_levels(train: DataFrame) -> dict[str, list[str]]:
-    """Sorted training levels of each nominal predictor; a missing value is a level."""
+def nominal_levels(train: DataFrame, max_levels: int = 1000) -> dict[str, list[str]]:
+    """Sorted training levels of each nominal predictor; a missing value is a level.
+
+    Each level becomes a column of the model, so more than ``max_levels`` in all is an error: a
+    predictor like that is an identifier. Nothing is dropped.
+    """
     filled = train.select(*[
         F.coalesce(F.col(name), F.lit(UNKNOWN_LEVEL)).alias(name)
         for name in S.NOMINAL_PREDICTORS])
     found = unpivot(filled, S.NOMINAL_PREDICTORS, as_type="string").distinct()
-    rows = found.limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"nominal predictors have more than {MAX_LEVELS} levels")
+    rows = found.limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise ValueError(f"nominal predictors have more than {max_levels} levels")
     return {name: sorted(row["value"] for row in rows if row["variable"] == name)
             for name in S.NOMINAL_PREDICTORS}
 
@@ -69,11 +73,11 @@ def _indicators(levels: dict[str, list[str]]) -> dict[str, str]:
     return conditions
 
 
-def recipe(train: DataFrame, normalise: bool) -> list:
+def recipe(train: DataFrame, normalise: bool, max_levels: int = 1000) -> list:
     """Stages from the modelling table to a feature vector: indicator columns, constant columns
     dropped, and for the regression every column centred and scaled."""
     leakage_guard(set(train.columns) - {"side", "fold"})
-    conditions = _indicators(nominal_levels(train))
+    conditions = _indicators(nominal_levels(train, max_levels))
     selected = ", ".join(f"{sql} AS `{name}`" for name, sql in conditions.items())
     stages = [
         SQLTransformer(statement="SELECT *" + (f", {selected}" if selected else "")
@@ -113,10 +117,40 @@ def logistic() -> LogisticRegression:
                               standardization=False, maxIter=200, tol=1e-8)
 
 
+class ConvergenceError(ValueError):
+    """Raised when a fit stops at its limit of iterations."""
+
+
 def fit_logistic(train: DataFrame) -> PipelineModel:
-    """Unpenalised logistic regression of default."""
+    """Unpenalised logistic regression of default; fails when it does not converge."""
     prepared, rows = prepare(train, normalise=True)
-    return PipelineModel([*prepared.stages, logistic().fit(rows)])
+    rows = spread(rows).persist()
+    try:
+        model = logistic().fit(rows)
+    finally:
+        rows.unpersist()
+    steps = model.summary.totalIterations
+    if steps >= model.getMaxIter():
+        raise ConvergenceError(f"the regression has not converged after {steps} iterations")
+    return PipelineModel([*prepared.stages, model])
+
+
+def aliased_terms(model: PipelineModel, train: DataFrame, tolerance: float = 1e-9) -> list[str]:
+    """Terms that are linear combinations of the terms before them.
+
+    Their weight cannot be told from that of the others. Found by sweeping the correlations of
+    the columns, one small matrix, in order of the terms.
+    """
+    recipe = PipelineModel(model.stages[:-1])
+    rows = recipe.transform(complete_rows(train)).select("features")
+    left = Correlation.corr(rows, "features").first()[0].toArray().copy()
+    found = []
+    for place, name in enumerate(feature_names(model)):
+        if left[place, place] < tolerance:
+            found.append(name)
+            continue
+        left -= left[:, [place]] @ left[[place], :] / left[place, place]
+    return found
 
 
 def _forest(mtry: int, min_n: int, trees: int, max_depth: int,
@@ -157,17 +191,23 @@ def feature_names(model: PipelineModel) -> list[str]:
     return [inputs[index] for index in sorted(model.stages[2].selectedFeatures)]
 
 
-def coefficients(model: PipelineModel) -> DataFrame:
+def coefficients(model: PipelineModel, train: DataFrame | None = None) -> DataFrame:
     """(term, coefficient, odds_ratio) for default, and the same with the sign turned round for
-    non-default. One row per model term."""
+    non-default. One row per model term.
+
+    With the training rows, ``aliased`` tells the terms whose coefficient has no meaning of its
+    own, because other terms determine them.
+    """
+    aliased = set(aliased_terms(model, train)) if train is not None else set()
     fit = model.stages[-1]
     terms = [("(Intercept)", float(fit.intercept))]
     terms += [(name, float(value))
               for name, value in zip(feature_names(model), fit.coefficients.toArray())]
-    rows = [(term, value, math.exp(value), -value, math.exp(-value)) for term, value in terms]
+    rows = [(term, value, math.exp(value), -value, math.exp(-value), int(term in aliased))
+            for term, value in terms]
     return SparkSession.getActiveSession().createDataFrame(
-        rows, "term string, coefficient double, odds_ratio double, "
-              "non_default_coefficient double, non_default_odds_ratio double")
+        rows, "term string, coefficient double, odds_ratio double, non_default_coefficient double, "
+              "non_default_odds_ratio double, aliased int")
 
 
 def importance(model: PipelineModel) -> DataFrame:
@@ -215,11 +255,13 @@ def cross_predict(folded: DataFrame, fit: Callable[[DataFrame], PipelineModel],
 
 def summarise_folds(predictions: DataFrame, by: Iterable[str] = (),
                     metrics: Iterable[str] = tuple(CV_METRICS)) -> DataFrame:
-    """(metric, mean, std_err, n) over folds, from one counting job for all folds."""
+    """(metric, mean, std_err, n) over folds, from one counting job for all folds.
+
+    Rows without a PD are left out, as they are in the holdout metrics; ``left_out`` counts them.
+    """
     by, metrics = list(by), list(metrics)
     keys = [*by, "fold"]
-    scored = predictions.where("predicted_pd IS NOT NULL")
-    per_fold = E.evaluate(E.score_counts(scored, by=keys), by=keys)
+    per_fold = E.evaluate(E.score_counts(predictions, by=keys), by=keys)
     named = per_fold.select(*keys, *[F.col(name).alias(CV_METRICS[name]) for name in metrics])
     long = named.unpivot(keys, [CV_METRICS[name] for name in metrics], "metric", "value")
     return long.groupBy(*by, "metric").agg(
@@ -233,29 +275,53 @@ def cross_validate(folded: DataFrame, fit: Callable[[DataFrame], PipelineModel],
     return summarise_folds(cross_predict(folded, fit), metrics=metrics)
 
 
-def tune_forest(folded: DataFrame, grid: dict[str, list[int]] | None = None,
-                trees: int = FOREST["trees"], max_depth: int = MAX_DEPTH,
-                parallelism: int = PARALLELISM) -> DataFrame:
-    """Cross-validated metrics for every grid point, as (mtry, min_n, metric, ...).
+def labelled_sample(folded: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` labelled rows, drawn by whole customers with the lowest hash of their id."""
+    total = folded.count()
+    share = min(1.0, rows / max(1, total))
+    return folded.where(F.pmod(F.xxhash64(F.lit("tuning"), "customer_id"), F.lit(1_000_000))
+                        < int(share * 1_000_000))
+
+
+def tune_predictions(folded: DataFrame, grid: dict[str, list[int]] | None = None,
+                     trees: int = FOREST["trees"], max_depth: int = MAX_DEPTH,
+                     parallelism: int = PARALLELISM,
+                     labelled_rows: int | None = None) -> DataFrame:
+    """Out-of-fold predictions for every grid point, with mtry, min_n and fold.
 
-    The recipe of a fold does not depend on the grid, so it is fitted and applied once.
+    The recipe of a fold does not depend on the grid, so it is fitted and applied once. A forest
+    scores its fold as soon as it is fitted, the scores are written, and the forest is let go:
+    the driver holds one forest per fold that is being worked on. ``labelled_rows`` bounds the
+    rows fitted and scored (see ``labelled_sample``); by default all are used.
     """
     points = list(product(*[(grid or GRID)[name] for name in ("mtry", "min_n")]))
+    place = f"{work_folder(folded.sparkSession)}/tuning/{uuid.uuid4().hex}"
+    if labelled_rows is not None:
+        folded = labelled_sample(folded, labelled_rows)
 
     def one(train: DataFrame, held: DataFrame) -> DataFrame:
         prepared, rows = prepare(train, normalise=False)
         rows = spread(rows).persist()
+        number = held.first()["fold"]
         try:
-            parts = []
             for mtry, min_n in points:
                 model = _forest(mtry, min_n, trees, max_depth, SEED).fit(rows)
                 scored = predict(PipelineModel([*prepared.stages, model]), held, keep=["fold"])
-                parts.append(scored.withColumns({"mtry": F.lit(mtry), "min_n": F.lit(min_n)}))
-            return reduce(DataFrame.unionByName, parts)
+                scored.withColumns({"mtry": F.lit(mtry), "min_n": F.lit(min_n)}).write.parquet(
+                    f"{place}/{mtry}_{min_n}_{number}")
         finally:
             rows.unpersist()
+        return folded.sparkSession.read.parquet(f"{place}/*_{number}")
 
-    return summarise_folds(_over_folds(folded, one, parallelism), by=["mtry", "min_n"])
+    return _over_folds(folded, one, parallelism)
+
+
+def tune_forest(folded: DataFrame, grid: dict[str, list[int]] | None = None,
+                trees: int = FOREST["trees"], max_depth: int = MAX_DEPTH,
+                parallelism: int = PARALLELISM, labelled_rows: int | None = None) -> DataFrame:
+    """Cross-validated metrics for every grid point, as (mtry, min_n, metric, ...)."""
+    return summarise_folds(tune_predictions(
+        folded, grid, trees, max_depth, parallelism, labelled_rows), by=["mtry", "min_n"])
 
 
 def best_parameters(tuned: DataFrame, metric: str = "roc_auc") -> DataFrame:
@@ -266,6 +332,13 @@ def best_parameters(tuned: DataFrame, metric: str = "roc_auc") -> DataFrame:
         F.col("std_err").alias(f"cv_{metric}_std_err"))
 
 
+def left_out(predictions: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """Rows that no metric counts because a predictor, and so the PD, is missing."""
+    return predictions.groupBy(*by).agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("predicted_pd").isNull()).alias("left_out"))
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -25,6 +25,11 @@ INPUT_COLUMNS = [
     "collateral_value", "bank_account_age_years",
 ]
 
+# Predictors without an imputed form; an applicant without one could not be scored.
+REQUIRED = [name for name in INPUT_COLUMNS if name in S.NUMERIC_PREDICTORS and name not in (
+    "annual_revenue", "monthly_revenue", "requested_loan_amount", "loan_tenure_months",
+    "debt_to_income_ratio")]
+
 
 def applicant_schema(flat: T.StructType = S.FLAT_LONG_KEYS) -> T.StructType:
     return T.StructType([flat[name] for name in INPUT_COLUMNS])
@@ -35,6 +40,7 @@ def input_problems() -> Column:
     positive = ["annual_revenue", "monthly_revenue", "requested_loan_amount",
                 "loan_tenure_months"]
     checks = {f"{name} must be positive": F.col(name) > 0 for name in positive}
+    checks |= {f"{name} must be given": F.col(name).isNotNull() for name in REQUIRED}
     checks["debt_to_income_ratio must be within 0 and 1"] = \
         F.col("debt_to_income_ratio").between(0, 1)
     checks["bureau_score must be within 300 and 850"] = \
@@ -44,12 +50,9 @@ def input_problems() -> Column:
     return F.concat_ws("; ", *failed)
 
 
-def applicant_features(applicants: DataFrame) -> DataFrame:
-    """Modelling columns of an applicant; what was entered stands for the imputed value."""
-    entered = applicants.withColumns({
-        **{f"{name}_imputed": F.col(name).cast("double") for name in S.IMPUTED_COLUMNS},
-        **{f"{name}_missing": F.lit(0) for name in S.IMPUTED_COLUMNS},
-    })
+def applicant_features(applicants: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """Modelling columns of an applicant, missing values flagged and imputed as in training."""
+    entered = X.impute(X.missing_flags(applicants), medians)
     derived = X.flags(X.ratios(entered)).drop("collateral_coverage_ratio").withColumnRenamed(
         "collateral_coverage_ratio_imputed", "collateral_coverage_ratio")
     return derived.select(
@@ -69,16 +72,16 @@ def read_applicants(spark: SparkSession, path: str, schema: T.StructType | None
 
 
 def score_stream(applicants: DataFrame, predict: Callable[[DataFrame], DataFrame],
-                 output: str, checkpoint: str) -> StreamingQuery:
+                 output: str, checkpoint: str, medians: dict[str, float]) -> StreamingQuery:
     """Score everything that is available and stop.
 
-    ``predict`` adds ``predicted_pd`` to the feature table. Each batch overwrites its own
+    ``medians`` are those the model was trained with. ``predict`` adds ``predicted_pd`` to the feature table. Each batch overwrites its own
     folder, so a batch that is repeated after a failure leaves no duplicates.
     """
     def write(batch: DataFrame, number: int) -> None:
         rows = checked(batch).persist()
         try:
-            accepted = applicant_features(rows.where(F.col("problems") == ""))
+            accepted = applicant_features(rows.where(F.col("problems") == ""), medians)
             scored = with_score(predict(accepted)).select(
                 *S.ID_COLUMNS, "predicted_pd", "credit_score", "risk_band",
                 "risk_monitoring_flag")

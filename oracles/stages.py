@@ -57,12 +57,17 @@ def _cast_report() -> str:
 
 ACCEPTED = """annual_revenue > 0 AND monthly_revenue > 0 AND requested_loan_amount > 0
   AND loan_tenure_months > 0 AND debt_to_income_ratio BETWEEN 0 AND 1
-  AND bureau_score BETWEEN 300 AND 850"""
+  AND bureau_score BETWEEN 300 AND 850 AND business_age_years IS NOT NULL
+  AND existing_loans IS NOT NULL AND existing_monthly_debt IS NOT NULL
+  AND credit_history_years IS NOT NULL AND previous_defaults IS NOT NULL"""
+NEEDED = ["business_age_years", "existing_loans", "existing_monthly_debt",
+          "credit_history_years", "previous_defaults"]
 PROBLEMS = [
     ("annual_revenue > 0", "annual_revenue must be positive"),
     ("monthly_revenue > 0", "monthly_revenue must be positive"),
     ("requested_loan_amount > 0", "requested_loan_amount must be positive"),
     ("loan_tenure_months > 0", "loan_tenure_months must be positive"),
+    *[(f"{name} IS NOT NULL", f"{name} must be given") for name in NEEDED],
     ("debt_to_income_ratio BETWEEN 0 AND 1", "debt_to_income_ratio must be within 0 and 1"),
     ("bureau_score BETWEEN 300 AND 850", "bureau_score must be within 300 and 850")]
 STREAM_PREDS = f"""preds AS (
@@ -71,6 +76,33 @@ STREAM_PREDS = f"""preds AS (
   FROM flat WHERE {ACCEPTED})"""
 
 
+def _balance() -> str:
+    parts = ["SELECT 'all' AS variable, 'all' AS level, round(avg(default_flag), 3) AS "
+             "default_rate FROM split WHERE side = 'train'"]
+    parts += [f"SELECT '{c}', {c}, round(avg(default_flag), 3) FROM split WHERE side = 'train' "
+              f"GROUP BY {c}" for c in ("business_type", "loan_purpose")]
+    return query("\nUNION ALL\n".join(parts), *SPLIT_CTES)
+
+
+def _once(by: str, side: str) -> str:
+    """Each row of a side is scored once, with a probability."""
+    return query(f"SELECT {by}, count(*) AS \"rows\", count(DISTINCT application_id) AS "
+                 f"applications, 1 AS \"within\" FROM split WHERE side = '{side}' GROUP BY {by}",
+                 *SPLIT_CTES)
+
+
+# Terms of the models: the columns that are not constant on the training side.
+TERMS = "SELECT feature FROM long GROUP BY feature HAVING min(\"value\") < max(\"value\")"
+GRID_SQL = """SELECT mtry, min_n, metric, count(DISTINCT fold) AS n, 1 AS "within"
+  FROM (SELECT unnest([3, 6, 9, 12])::INT AS mtry),
+       (SELECT unnest([5, 15, 25])::INT AS min_n),
+       (SELECT unnest(['roc_auc', 'pr_auc', 'accuracy', 'precision', 'recall', 'specificity',
+                       'f_meas']) AS metric),
+       (SELECT fold FROM split WHERE side = 'train')
+  GROUP BY mtry, min_n, metric"""
+MODELS = "(SELECT unnest(['Logistic Regression', 'Random Forest']) AS model)"
+
+
 def stage_sql() -> dict[str, str]:
     problems = ", ".join(f"CASE WHEN NOT coalesce({test}, false) THEN '{text}' END"
                          for test, text in PROBLEMS)
@@ -100,6 +132,28 @@ def stage_sql() -> dict[str, str]:
         "rel_except": query("""
             SELECT customer_id FROM flat EXCEPT
             SELECT customer_id FROM flat WHERE application_status = 'Disbursed'"""),
+        "ml_logistic_balance": _balance(),
+        "ml_lr_terms": query(f"SELECT feature AS term FROM ({TERMS}) UNION ALL "
+                             "SELECT '(Intercept)'", *SPLIT_CTES, LONG_TRAIN),
+        "ml_rf_importance_check": query(
+            f"SELECT feature AS variable, 1 AS \"within\", 1 AS whole FROM ({TERMS})",
+            *SPLIT_CTES, LONG_TRAIN),
+        "ml_cv_check": _once("fold", "train"),
+        "ml_rf_cv_check": _once("fold", "train"),
+        "ml_random_forest_check": _once("side", "test"),
+        "ml_rf_tuning_grid": query(GRID_SQL, *SPLIT_CTES),
+        "ml_holdout_check": query(f"""SELECT model, count(*) AS "rows",
+            sum(default_flag)::BIGINT AS defaults, 0::BIGINT AS left_out
+            FROM split, {MODELS} WHERE side = 'test' GROUP BY model""", *SPLIT_CTES),
+        "ml_holdout_bins": query(f"""SELECT model, bin, count(*) AS observations FROM
+            (SELECT ntile(10) OVER (ORDER BY application_id)::INT AS bin FROM split
+             WHERE side = 'test'), {MODELS} GROUP BY model, bin""", *SPLIT_CTES),
+        "sc_apply_model_check": query(
+            "SELECT application_id, 1 AS follows FROM split WHERE side = 'test'", *SPLIT_CTES),
+        "sink_model_check": query(
+            "SELECT count(*) AS \"rows\", 0::BIGINT AS differing FROM split", *SPLIT_CTES),
+        "sc_apply_stream_model_check": query(
+            f"SELECT application_id, 1 AS scored FROM flat WHERE {ACCEPTED}"),
         "ml_split_check": query("""SELECT
             (SELECT count(*) FROM (SELECT customer_id FROM split WHERE side = 'train'
              INTERSECT SELECT customer_id FROM split WHERE side = 'test')) AS overlap,

@@ -176,7 +176,7 @@ def test_stream_scores_valid_and_rejects_invalid(spark, small, tmp_path):
     stream = scoring.read_applicants(spark, source, files_per_batch=1)
     query = scoring.score_stream(
         stream, lambda rows: rows.withColumn("predicted_pd", F.lit(0.05)),
-        str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        str(tmp_path / "out"), str(tmp_path / "checkpoint"), X.fit_medians(small.flat))
     query.awaitTermination()
     scored = spark.read.parquet(str(tmp_path / "out/scored"))
     rejected = spark.read.parquet(str(tmp_path / "out/rejected"))
@@ -188,13 +188,71 @@ def test_stream_scores_valid_and_rejects_invalid(spark, small, tmp_path):
 
 def test_features_are_the_same_for_training_and_serving(small, table):
     served = scoring.applicant_features(
-        small.flat.where("application_status = 'Disbursed' AND bureau_score IS NOT NULL AND "
-                         "bank_account_age_years IS NOT NULL"))
+        small.flat.where("application_status = 'Disbursed'"), X.fit_medians(small.flat))
     trained = table.join(served.select("application_id"), "application_id").select(
         *served.columns)
     assert served.exceptAll(trained).count() == 0
 
 
+@pytest.mark.parametrize("name", S.IMPUTED_COLUMNS)
+def test_applicant_without_an_optional_input_is_scored(small, table, name):
+    model = M.fit_logistic(table)
+    row = small.flat.where("annual_revenue > 0 AND bureau_score IS NOT NULL AND "
+                           "debt_to_income_ratio BETWEEN 0 AND 1").limit(5)
+    emptied = scoring.checked(row.withColumn(name, F.lit(None).cast(row.schema[name].dataType)))
+    accepted = emptied.where("problems = ''")
+    if name == "bureau_score":
+        assert accepted.count() == 0
+        return
+    scored = M.predict(model, scoring.applicant_features(accepted, X.fit_medians(small.flat)))
+    assert scored.where("predicted_pd BETWEEN 0 AND 1").count() == row.count()
+
+
+def test_applicant_without_a_needed_input_is_rejected(small):
+    row = small.flat.limit(1).withColumn("credit_history_years", F.lit(None).cast("decimal(6,1)"))
+    assert "credit_history_years must be given" in scoring.checked(row).first()["problems"]
+
+
+def test_aliased_terms_are_told(table):
+    doubled = table.withColumn("annual_revenue", F.col("monthly_revenue") * 12)
+    terms = M.aliased_terms(M.fit_logistic(doubled), doubled)
+    assert "annual_revenue" in terms and "business_age_years" not in terms
+
+
+def test_fit_without_convergence_is_an_error(table, monkeypatch):
+    regression = M.logistic
+    monkeypatch.setattr(M, "logistic", lambda: regression().setMaxIter(1))
+    with pytest.raises(M.ConvergenceError):
+        M.fit_logistic(table)
+
+
+def test_tuning_sample_takes_whole_customers(table):
+    part = M.labelled_sample(table, 60)
+    kept = {row["customer_id"] for row in part.select("customer_id").collect()}
+    assert 0 < part.count() < table.count()
+    assert table.where(F.col("customer_id").isin(list(kept))).count() == part.count()
+
+
+def test_rows_without_a_pd_are_left_out_and_counted(spark):
+    rows = spark.createDataFrame([("m", 0.9, 1), ("m", 0.1, 0), ("m", None, 1)],
+                                 "model string, predicted_pd double, default_flag int")
+    assert E.evaluate(E.score_counts(rows)).first()["recall"] == 1.0
+    assert E.at_threshold(E.pd_counts(rows)).first()["recall"] == 1.0
+    assert M.left_out(rows, ["model"]).first()["left_out"] == 1
+
+
+def test_gate_lets_a_missing_debt_ratio_through_and_counts_rows(small):
+    rows = small.flat.count()
+    no_ratio = small.flat.withColumn("debt_to_income_ratio", F.lit(None).cast("decimal(6,3)"))
+    report = {r["check"]: r["violations"] for r in Q.gate_suite(no_ratio, rows).collect()}
+    assert report["dq_dti_range_or_missing"] == 0 and len(report) == len(Q.GATE_CHECKS) == 13
+    with pytest.raises(Q.QualityError, match="dq_row_count"):
+        Q.gate(Q.gate_suite(small.flat, rows + 1))
+    above = small.flat.withColumn("debt_to_income_ratio", F.lit(1.5).cast("decimal(6,3)"))
+    with pytest.raises(Q.QualityError, match="dq_dti_range_or_missing"):
+        Q.gate(Q.gate_suite(above, rows))
+
+
 def test_plain_turns_decimals_into_doubles(small):
     kinds = {f.dataType.typeName() for f in plain(small.flat).schema}
     assert "decimal" not in kinds
