@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -47,9 +48,15 @@ def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as written to the shared checkpoint folder."""
-    work_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows as written to a table in the shared work folder.
+
+    A table rather than a checkpoint: what the optimizer knows of a checkpoint's columns grows
+    with every renaming in a loop, until the driver cannot hold it. Tables stay under
+    ``spark.checkpoint.dir`` in the folder of the application.
+    """
+    place = f"{work_folder(df.sparkSession)}/llm/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def positions(df: DataFrame, order_by: Column, group_by: Sequence[str] = (),

@@ -123,13 +123,12 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b), for ids that have one.
 
     Alternating stars: every id's greater neighbours are hung on its smallest neighbour, then the
-    smaller ones too, until nothing changes. Smallest neighbours are written before they are
-    joined back, so that an id with very many links is a skewed join Spark can split.
+    smaller ones too, until each component is one star. Smallest neighbours are written before
+    they are joined back, so that an id with very many links is a skewed join Spark can split.
     """
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias(
         "lo")).where("hi <> lo").distinct())
-    state = None
-    while True:
+    while not _only_stars(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = cut_lineage(both.groupBy("u").agg(
@@ -140,10 +139,15 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut_lineage(
             large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .where("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct())
-        after = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if after == state:
-            return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-        state = after
+    return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every id hangs on one smaller id, on which nothing but ids hang."""
+    ends = edges.select(F.col("hi").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.union(edges.select("lo", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return sums.where("hangs > 1 or (hangs > 0 and holds > 0)").isEmpty()
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> bool:
@@ -242,9 +246,9 @@ def linked_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     tried = first.select("a", "b")
     rest = cut_lineage(across(candidates.select("a", "b").join(tried, ["a", "b"], "left_anti"),
                               found))
-    more = cut_lineage(verified(rest, texts))
-    links = links.union(more)
-    found = components(links)
+    if not rest.isEmpty():
+        links = links.union(cut_lineage(verified(rest, texts)))
+        found = components(links)
 
     # Buckets that still hold several components: members of different ones meet.
     labelled = cut_lineage(met.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -257,5 +261,7 @@ def linked_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
         F.col("x.component") < F.col("y.component"))).select(
         F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     untried = cut_lineage(pairs.join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    if untried.isEmpty():
+        return found
     last = cut_lineage(verified(untried, texts))
-    return components(links.union(last))
+    return found if last.isEmpty() else components(links.union(last))
