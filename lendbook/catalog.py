@@ -22,6 +22,7 @@ from lendbook.operators import quality as DQ
 from lendbook.operators import split as SP
 from lendbook.operators import stats as ST
 from lendbook.plans import dashboard as DB
+from lendbook.plans import pipeline as PIPE
 from lendbook.plans import questions as Q
 from lendbook.plans import scoring as PS
 from lendbook.plans import views as V
@@ -200,8 +201,12 @@ def _quality_queries() -> dict[str, Query]:
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate's report; every order must have become one application."""
-    expected = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
-    return DQ.gate(DQ.gate_suite(load_portfolio(spark, sf_dir).flat, expected), DQ.GATE_CHECKS)
+    return DQ.gate(DQ.gate_suite(load_portfolio(spark, sf_dir).flat,
+                                 order_count(spark, sf_dir)), DQ.GATE_CHECKS)
+
+
+def order_count(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").count()
 
 
 def _feature_queries() -> dict[str, Query]:
@@ -249,8 +254,8 @@ def medians(spark: SparkSession, sf_dir: str) -> dict[str, float]:
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned record, written once; statistics, models and dashboard read it."""
-    return _stored(spark, sf_dir, "clean", lambda: X.clean_table(
-        load_portfolio(spark, sf_dir).flat, medians(spark, sf_dir)))
+    return _stored(spark, sf_dir, "clean", lambda: PIPE.cleaned(
+        load_portfolio(spark, sf_dir).flat, order_count(spark, sf_dir), medians(spark, sf_dir)))
 
 
 def _on_clean(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -374,12 +379,8 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Training, tuning and evaluation all start from this table, so they see the same split.
     """
-    def build() -> DataFrame:
-        table = X.model_table(clean_table(spark, sf_dir))
-        order = SP.arithmetic_key("customer_id")
-        return SP.with_folds(SP.group_split(table, order=order), order=order)
-
-    return _stored(spark, sf_dir, "split", build)
+    return _stored(spark, sf_dir, "split", lambda: PIPE.divided(
+        clean_table(spark, sf_dir), SP.arithmetic_key("customer_id")))
 
 
 _STORED: set[str] = set()
@@ -407,6 +408,7 @@ def fitted(spark: SparkSession, sf_dir: str, kind: str) -> PipelineModel:
     """The logistic regression or the forest, fitted on the training side, saved, and loaded."""
     path = _place(spark, sf_dir, f"model_{kind}")
     if path not in _STORED:
+        PIPE.assert_divided(split_table(spark, sf_dir))
         train = _side(spark, sf_dir, "train")
         M.save(M.fit_logistic(train) if kind == "logistic" else M.fit_forest(train), path)
         _STORED.add(path)
@@ -548,7 +550,7 @@ def _model_queries() -> dict[str, Query]:
 
     def scored_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
         test = _side(spark, sf_dir, "test")
-        return SC.with_score(M.predict(fitted(spark, sf_dir, "logistic"), test))
+        return PIPE.scored(M.predict(fitted(spark, sf_dir, "logistic"), test))
 
     return {
         "rel_semi_join": lambda s, d: _membership(s, d, "left_semi"),

@@ -92,3 +92,10 @@ def fold_check(df: DataFrame) -> DataFrame:
         F.count_if((F.col("defaults") == 0) | (F.col("non_defaults") == 0))
         .alias("violations")).select(F.lit("missing_class").alias("check"), "violations")
     return spread.unionAll(classes)
+
+
+def assert_folds(df: DataFrame) -> None:
+    failed = {row["check"]: row["violations"] for row in fold_check(df).collect()
+              if row["violations"]}
+    if failed:
+        raise ValueError(f"folds are invalid: {failed}")

@@ -42,7 +42,7 @@ facts AS (
               WHEN f.d1 IS NULL THEN 'Submitted'
               WHEN o.o_orderstatus = 'O' THEN 'Under Review'
               ELSE 'Approved' END AS status
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN line_sums l ON l.l_orderkey = o.o_orderkey
   LEFT JOIN first_days f ON f.o_orderkey = o.o_orderkey),
 outcomes AS (
@@ -67,14 +67,14 @@ flat AS (
          (rev_cents::DECIMAL(18,0) * 0.01)::DECIMAL(18,2) AS annual_revenue,
          requested::DECIMAL(18,2) AS requested_loan_amount,
          tenure::INT AS loan_tenure_months, prio AS loan_purpose,
-         least(opn, 7)::INT AS existing_loans,
+         opn::INT AS existing_loans,
          (((mon_cents::HUGEINT * dti_t) // 1000)::DECIMAL(18,0) * 0.01)::DECIMAL(18,2)
            AS existing_monthly_debt,
          (dti_t::DECIMAL(9,0) * 0.001)::DECIMAL(6,3) AS debt_to_income_ratio,
          CASE WHEN id % 67 <> 0 THEN 300 + (bal_cents + 100000) // 2000 END::INT
            AS bureau_score,
          ((q % 300)::DECIMAL(9,0) * 0.1)::DECIMAL(6,1) AS credit_history_years,
-         least(a, 3)::INT AS previous_defaults,
+         a::INT AS previous_defaults,
          retail_cents::DECIMAL(18,2) AS collateral_value,
          CASE WHEN id % 71 <> 0 THEN ((cust % 250)::DECIMAL(9,0) * 0.1)::DECIMAL(6,1) END
            AS bank_account_age_years,

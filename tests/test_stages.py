@@ -13,7 +13,7 @@ from lendbook.operators import features as X
 from lendbook.operators import model as M
 from lendbook.operators import quality as Q
 from lendbook.operators import split as SP
-from lendbook.plans import questions, views
+from lendbook.plans import pipeline, questions, views
 from lendbook.sources import files
 from lendbook.sources.driver_tables import order_lines, workflow_days
 from lendbook.sources.star import plain
@@ -253,6 +253,33 @@ def test_gate_lets_a_missing_debt_ratio_through_and_counts_rows(small):
         Q.gate(Q.gate_suite(above, rows))
 
 
+def test_from_csv_to_scores(spark, small, tmp_path):
+    path = str(tmp_path / "record.csv")
+    text = small.flat.withColumns({
+        name: F.concat(F.lit("K"), F.col(name).cast("string")) for name in S.ID_COLUMNS})
+    files.write_csv(text, path)
+    flat = files.read_csv(spark, path, S.FLAT_TEXT_KEYS)
+    out = pipeline.run(flat, str(tmp_path / "work"), 1500)
+    assert out.clean.count() == 1500
+    assert out.scored.count() == out.split.where("side = 'test'").count()
+    assert out.metrics.first()["roc_auc"] > 0.5
+    with pytest.raises(Q.QualityError, match="dq_row_count"):
+        pipeline.run(flat, str(tmp_path / "other"), 1501)
+
+
+def test_stages_stop(small, table, tmp_path):
+    one_class = SP.with_folds(SP.group_split(table)).withColumn("default_flag", F.lit(0))
+    with pytest.raises(ValueError, match="split is invalid"):
+        pipeline.assert_divided(one_class)
+    torn = SP.with_folds(SP.group_split(table)).withColumn("fold", F.when(
+        F.col("application_id") % 2 == 0, 1).otherwise(2))
+    with pytest.raises(ValueError, match="folds are invalid"):
+        pipeline.assert_divided(torn)
+    with pytest.raises(Q.QualityError, match="pd_range"):
+        pipeline.scored(table.select(*S.ID_COLUMNS, S.LABEL).withColumn(
+            "predicted_pd", F.lit(1.5)))
+
+
 def test_plain_turns_decimals_into_doubles(small):
     kinds = {f.dataType.typeName() for f in plain(small.flat).schema}
     assert "decimal" not in kinds
