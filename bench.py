@@ -25,7 +25,7 @@ HEADLINE = [
     "feat_clean_table", "feat_model_table", "eda_numeric_summary", "eda_default_rate_tables",
     "eda_correlation", "eda_wilcoxon", "eda_chi_square", "ev_compare", "ev_calibration",
     "sc_apply", "sc_band_summary", "ml_group_split", "ml_fold_report", "ml_logistic",
-    "db_kpis",
+    "ml_cv_metrics", "ml_rf_tuning", "sc_apply_stream", "sc_apply_stream_model", "db_kpis",
 ]
 
 

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from lendbook.session import work_folder
 
+#: Rows of a shift table that is broadcast: some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
 
 def running_totals(df: DataFrame, order_by: Sequence[str | Column], sums: Sequence[str],
                    group_by: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_x`` (inclusive) and ``total_x`` for every column in ``sums``.
 
     Rows are range-partitioned on (group, order), summed inside each range, and shifted by the
-    total of the ranges before it. The shift table has one row per range and group, so it is
-    small whatever the input. The ranged rows are checkpointed: range limits come from a
+    total of the ranges before it. The shift table has one row per range and group; it is
+    counted, and broadcast only up to ``BROADCAST_ROWS``. The ranged rows are checkpointed: range limits come from a
     sample, and a lost executor must not draw them again. ``order_by`` should be unique within
     a group, or already aggregated, so that equal keys need no order among themselves; a hot
     group is spread over as many ranges as its rows fill.
@@ -40,7 +43,11 @@ def running_totals(df: DataFrame, order_by: Sequence[str | Column], sums: Sequen
         *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before_{name}")
           for name in sums],
         *[F.sum(name).over(group).alias(f"total_{name}") for name in sums])
-    return ranged.join(F.broadcast(shifts), ["_range", *group_by]).select(
+    if group_by and per_range.count() > BROADCAST_ROWS:
+        found = ranged.join(shifts, ["_range", *group_by])
+    else:
+        found = ranged.join(F.broadcast(shifts), ["_range", *group_by])
+    return found.select(
         *df.columns,
         *[(F.col(f"_in_{name}") + F.col(f"_before_{name}")).alias(f"cum_{name}")
           for name in sums],

@@ -29,6 +29,17 @@ def test_running_totals_equal_a_global_window(spark, groups):
     assert got.exceptAll(expected).count() == 0 and got.count() == 3000
 
 
+def test_running_totals_without_a_broadcast(spark, monkeypatch):
+    from lendbook.operators import prefix
+
+    df = skewed(spark).withColumn("one", F.lit(1))
+    want = running_totals(df, ["v", "id"], ["one"], ["g"])
+    monkeypatch.setattr(prefix, "BROADCAST_ROWS", 0)
+    got = running_totals(df, ["v", "id"], ["one"], ["g"])
+    assert "ResolvedHint" not in got._jdf.queryExecution().analyzed().toString()
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
 @pytest.mark.parametrize("rows", [3, 10, 97, 100])
 def test_tile_equals_ntile(spark, rows):
     df = spark.range(rows).withColumn("pos", F.row_number().over(Window.orderBy("id")))
