@@ -395,6 +395,13 @@ def _stored(spark: SparkSession, sf_dir: str, name: str,
     return spark.read.parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Remove what the queries of this application have stored; the next ones start anew."""
+    own = work_folder(spark)
+    _STORED.difference_update([path for path in _STORED if path.startswith(own)])
+    star.cleanup(spark)
+
+
 def _place(spark: SparkSession, sf_dir: str, name: str) -> str:
     scale = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
     return f"{work_folder(spark)}/{scale}/{name}"

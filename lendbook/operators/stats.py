@@ -66,7 +66,8 @@ CORRELATED = ["bureau_score_imputed", "debt_to_income_ratio", "business_age_year
               "loan_to_annual_revenue_ratio", "collateral_coverage_ratio",
               "monthly_debt_to_revenue_ratio"]
 CHI_SQUARE_VARIABLES = ["business_type", "loan_purpose", "has_previous_default"]
-RANK_SUM_VARIABLES = CORRELATED[:4]
+RANK_SUM_VARIABLES = ["bureau_score_imputed", "debt_to_income_ratio", "business_age_years",
+                      "loan_to_annual_revenue_ratio"]
 
 
 def correlation(table: DataFrame, columns: Sequence[str] = tuple(CORRELATED)) -> DataFrame:

@@ -12,6 +12,7 @@ RATIO3 = T.DecimalType(6, 3)
 
 
 def _flat(key_type: T.DataType) -> T.StructType:
+    # Names and types of the record, in its order.
     text, whole, day = T.StringType(), T.IntegerType(), T.DateType()
     fields = {
         "application_id": key_type,
@@ -53,6 +54,7 @@ FLAT_TEXT_KEYS = _flat(T.StringType())
 FLAT_LONG_KEYS = _flat(T.LongType())
 FLAT_COLUMNS = FLAT_LONG_KEYS.names
 
+# The columns of each entity.
 ENTITY_COLUMNS = {
     "applications": [
         "application_id", "customer_id", "application_date", "business_type",
@@ -101,6 +103,7 @@ IMPUTED_COLUMNS = [
 ]
 BUREAU_RANGE = (300, 850)
 
+# Identifiers, label and predictors.
 ID_COLUMNS = ["application_id", "customer_id"]
 LABEL = "default_flag"
 NOMINAL_PREDICTORS = ["business_type", "loan_purpose"]
@@ -115,7 +118,7 @@ NUMERIC_PREDICTORS = [
     "bank_account_age_years_missing",
 ]
 PREDICTORS = NOMINAL_PREDICTORS + NUMERIC_PREDICTORS
-# Known only after the credit decision: never allowed among predictors.
+# Fixed values. Known only after the credit decision: never allowed among predictors.
 LEAKAGE_COLUMNS = [
     "outstanding_balance", "days_past_due", "missed_payments", "total_payments", "loan_status",
     "application_status", "credit_review_date", "approval_date", "disbursement_date",
@@ -124,4 +127,5 @@ LEAKAGE_COLUMNS = [
     "application_to_disbursement_days",
 ]
 # The nineteen measures profiled in the numeric summary: predictors without the 0/1 flags.
-PROFILED_COLUMNS = NUMERIC_PREDICTORS[:19]
+PROFILED_COLUMNS = [name for name in NUMERIC_PREDICTORS
+                    if not name.startswith("has_") and not name.endswith("_missing")]

@@ -52,5 +52,11 @@ def work_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
+def remove_work(spark: SparkSession) -> None:
+    """Delete the application's work folder and everything in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 _CHECKPOINTED: set[str] = set()

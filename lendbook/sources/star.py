@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendbook import schemas as S
-from lendbook.session import work_folder
+from lendbook.session import remove_work, work_folder
 from lendbook.sources.driver_tables import credit_applications
 
 ROWS_PER_BUCKET = 4_000_000
@@ -116,6 +116,14 @@ def load_portfolio(spark: SparkSession, sf_dir: str, refresh: bool = False) -> P
     return Portfolio.of_flat(spark.table(_PUBLISHED[key]))
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Drop the application's published tables and delete its work folder."""
+    application = spark.sparkContext.applicationId
+    for key in [key for key in _PUBLISHED if key[0] == application]:
+        spark.sql(f"DROP TABLE IF EXISTS {_PUBLISHED.pop(key)}")
+    remove_work(spark)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, for consumers without a fixed-point type."""
     return df.select(*[

@@ -4,7 +4,7 @@ from oracles.base import DISBURSED, GRANTED, count_if, query, total
 
 from oracles.quality import CLEAN_CTES, MODEL_CTES, NUMERIC
 
-PROFILED = NUMERIC[:19]
+PROFILED = [c for c in NUMERIC if not c.startswith("has_") and not c.endswith("_missing")]
 CORRELATED = ["bureau_score_imputed", "debt_to_income_ratio", "business_age_years",
               "loan_to_annual_revenue_ratio", "collateral_coverage_ratio",
               "monthly_debt_to_revenue_ratio"]

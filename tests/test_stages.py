@@ -283,3 +283,22 @@ def test_stages_stop(small, table, tmp_path):
 def test_plain_turns_decimals_into_doubles(small):
     kinds = {f.dataType.typeName() for f in plain(small.flat).schema}
     assert "decimal" not in kinds
+
+
+def test_cleanup_removes_tables_and_folder(spark, tmp_path):
+    """In another session's place: the shared portfolio of the tests must stay."""
+    from lendbook.sources import star
+
+    before = dict(star._PUBLISHED)
+    star._PUBLISHED.clear()
+    star._PUBLISHED[spark.sparkContext.applicationId, "gone"] = "lendbook_gone"
+    spark.range(3).write.mode("overwrite").option("path", str(tmp_path / "t")).saveAsTable(
+        "lendbook_gone")
+    removed = []
+    keep, star.remove_work = star.remove_work, removed.append
+    try:
+        star.cleanup(spark)
+    finally:
+        star.remove_work = keep
+        star._PUBLISHED.update(before)
+    assert not spark.catalog.tableExists("lendbook_gone") and removed == [spark]
