@@ -9,9 +9,10 @@ equal to the similarity, and the share that agrees is concentrated around it.
 Candidates. Texts with equal words are one class from the start. Classes with an equal band meet
 in a bucket. A bucket is not turned into pairs: its members are checked against its smallest
 member, the pivot. First each class checks the pivot it shares most bands with; links that hold
-are joined into components; then pivots of other components are checked; last, in buckets that
-still hold several components, the members of different components. A pair inside a component is
-never looked at, since it could not change the result.
+are joined into components; then pivots of other components are checked. What is left are members of
+buckets that still hold several components. Their pairs are not emitted either: they are joined on
+the shingles that a similar pair must share among its rarest ones (see ``crossing``), which is
+exact. A pair inside a component is never looked at, since it could not change the result.
 
 Verification. Pairs are checked on full sets of shingles. The pairs of a pivot are cut into
 blocks, the texts are dealt to the blocks they take part in, and each block reads the pivot's
@@ -20,12 +21,13 @@ text first and then streams over the others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendbook.llm.common import cut_lineage
@@ -250,18 +252,84 @@ def linked_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
         links = links.union(cut_lineage(verified(rest, texts)))
         found = components(links)
 
-    # Buckets that still hold several components: members of different ones meet.
-    labelled = cut_lineage(met.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "rep", F.coalesce("component", "rep").alias("component")))
+    # Members of buckets that still hold several components.
+    labelled = met.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "band", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = cut_lineage(labelled)
     open_buckets = cut_lineage(labelled.groupBy("band").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high")).where(
         "_low < _high").select("band"))
-    left = labelled.join(open_buckets, "band")
-    pairs = left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (
-        F.col("x.component") < F.col("y.component"))).select(
-        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    untried = cut_lineage(pairs.join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    left = cut_lineage(labelled.join(open_buckets, "band").select("rep", "component").distinct())
+    if left.isEmpty():
+        return found
+    untried = cut_lineage(crossing(left, texts).join(
+        candidates.select("a", "b"), ["a", "b"], "left_anti"))
     if untried.isEmpty():
         return found
     last = cut_lineage(verified(untried, texts))
     return found if last.isEmpty() else components(links.union(last))
+
+
+HOT_SHINGLE = 64
+SIZE_STEP = 0.95
+_SETS = "rep bigint, component bigint, n bigint, tokens array<bigint>"
+
+
+def crossing(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of ``members`` (rep, component) of different components that may be similar.
+
+    Shingles are ordered by how many members have them, the rarest first. Of a similar pair, the
+    first shared shingle in that order stands so early in both that enough can follow; so each
+    member is met only by its first shingles, and most of what members of one family have in
+    common is never joined on. For shingles that many members have, the sizes are dealt into
+    narrow classes and a member answers to a class of partners only where the shingle stands
+    early enough for partners of that size. No similar pair is lost.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [shingles(words_of(text.as_py())).view(np.int64) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(list(map(len, tokens)), pa.int64()),
+                 pa.array(tokens, pa.list_(pa.int64()))],
+                names=["rep", "component", "n", "tokens"])
+
+    own = ["rep", "set_key"]
+    long = cut_lineage(texts.join(members, F.col("doc_id") == F.col("rep")).select(
+        "rep", "component", "text").mapInArrow(sets, _SETS)).select(
+        "rep", "component", "n", F.xxhash64("tokens").alias("set_key"),
+        F.explode("tokens").alias("token"))
+    # Shingles of one member only match nothing; they count as the first of their member.
+    shared = cut_lineage(long.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    whole = Window.partitionBy(*own)
+    placed = long.join(shared, "token").withColumn(
+        "place", F.col("n") - F.count(F.lit(1)).over(whole)
+        + F.row_number().over(whole.orderBy("df", "token")) - 1)
+    first = cut_lineage(placed.where(
+        F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+
+    def pairs(rows: DataFrame, keys: list[str], also: Column) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        able = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+        same = also
+        for key in keys:
+            same = same & (F.col(f"x.{key}") == F.col(f"y.{key}"))
+        return x.join(y, same & (F.col("x.component") < F.col("y.component")) & (
+            able * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)).select(
+            F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+    rare = pairs(first.where(F.col("df") <= HOT_SHINGLE), ["token"], F.lit(True))
+    step = -math.log(SIZE_STEP)
+    reach = math.ceil(math.log(100 / percent) / step) + 1
+    own_class = F.floor(F.log("n") / step)
+    classed = first.where(F.col("df") > HOT_SHINGLE).withColumn("class", own_class).withColumn(
+        "partner", F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)))
+    least_size = F.floor(F.exp(F.col("partner") * step) * 0.999)
+    answering = cut_lineage(classed.where(
+        F.col("place") <= F.col("n") - F.ceil((F.col("n") + least_size) * percent / (
+            100 + percent))).select(
+        "token", "rep", "component", "n", "place", "class",
+        F.least("class", "partner").alias("low"), F.greatest("class", "partner").alias("high")))
+    hot = pairs(answering, ["token", "low", "high"], F.col("x.class") + F.col("y.class") == (
+        F.col("x.low") + F.col("x.high")))
+    return rare.union(hot).distinct()
