@@ -1,9 +1,9 @@
 """Repeated passages removed by content-defined chunks of lines.
 
-A document is a sequence of lines. A rolling hash over the hashes of neighbouring lines decides
-after which lines a chunk ends, so boundaries depend on the lines around them and not on where
-in a document they stand: the same passage is cut the same way wherever it was pasted. A very
-long line is a passage by itself and ends the chunks before and after it. Chunks of several
+A document is a sequence of lines. A hash rolls over the hashes of neighbouring lines, and a chunk
+ends where it is smaller than before and not greater than after. Boundaries thus depend on the
+lines around them and not on where in a document they stand: the same passage is cut the same way
+wherever it was pasted, and no two boundaries are neighbours. A very long line is a passage by itself and ends the chunks before and after it. Chunks of several
 lines, or one such long line, that occur more than once in all documents are kept where they
 come first and removed elsewhere, after their bytes have been compared with the kept ones.
 
@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 
 from lendbook.llm.common import cut_lineage
 
-WINDOW = 2                  # lines under the rolling hash
-DIVISOR = 2                 # a chunk ends where the hash is a multiple of it
-BASE = 31
+BASE = 31                   # of the hash that rolls over two lines
 #: Code points from which a line is a passage by itself; fifty words are about 300.
 LONG_LINE = 200
 MIN_LINES = 2
@@ -33,13 +31,17 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def _ends_after(lines: Column, hashes: Column, at: Column) -> Column:
+def _rolled(hashes: Column) -> Column:
+    """The hash of every line and the one before it."""
+    return F.transform(hashes, lambda own, at: F.coalesce(
+        F.get(hashes, at - 1), F.lit(0)) * BASE + own)
+
+
+def _ends_after(lines: Column, rolled: Column, at: Column) -> Column:
     """Whether a chunk ends after line ``at`` (from 0); there is a line after it."""
-    rolled = F.lit(0).cast("long")
-    for back in range(WINDOW - 1, -1, -1):
-        rolled = rolled * BASE + F.when(at >= back, hashes[at - back]).otherwise(F.lit(0))
-    return (rolled % DIVISOR == 0) | (F.length(lines[at]) >= LONG_LINE) | (
-        F.length(lines[at + 1]) >= LONG_LINE)
+    own, before, after = rolled[at], F.get(rolled, at - 1), rolled[at + 1]
+    return F.coalesce((own < before) & (own <= after), F.lit(False)) | (
+        F.length(lines[at]) >= LONG_LINE) | (F.length(lines[at + 1]) >= LONG_LINE)
 
 
 def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFrame:
@@ -48,11 +50,12 @@ def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFr
     Null texts have no chunks. Joining the texts by a newline gives the text back.
     """
     split = docs.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    hashed = split.withColumn("_hashes", F.transform("_lines", _line_hash))
-    lines, hashes = F.col("_lines"), F.col("_hashes")
+    hashed = split.withColumn("_hashes", F.transform("_lines", _line_hash)).withColumn(
+        "_rolled", _rolled(F.col("_hashes")))
+    lines, rolled = F.col("_lines"), F.col("_rolled")
     starts = hashed.withColumn("_starts", F.filter(
         F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda at: (at == 0) | _ends_after(lines, hashes, at - 1)))
+        lambda at: (at == 0) | _ends_after(lines, rolled, at - 1)))
 
     parts = starts.withColumn("_parts", F.transform("_starts", lambda start, place: F.slice(
         lines, start + 1, F.coalesce(F.get(F.col("_starts"), place + 1), F.size(lines)) - start)))
@@ -60,7 +63,12 @@ def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFr
         F.array_join(part, "\n").alias("text"), F.size(part).alias("n_lines"),
         F.size(F.filter(part, lambda line: F.btrim(line, F.lit(_BLANK)) != "")).alias("filled")))
     return parts.withColumn(into, F.when(F.col(text_col).isNotNull(), chunk)).drop(
-        "_lines", "_hashes", "_starts", "_parts")
+        "_lines", "_hashes", "_rolled", "_starts", "_parts")
+
+
+def _key(doc_id: Column) -> Column:
+    """The id as a join key that is never null."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
 def occurrences(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -71,7 +79,7 @@ def occurrences(docs: DataFrame, with_text: bool = False) -> DataFrame:
         "chunk_no", "chunk")).where((F.col("chunk.filled") >= MIN_LINES) | (
             F.col("chunk.filled") > 0) & (F.length("chunk.text") >= LONG_LINE))
     text = [F.col("chunk.text").alias("chunk_text")] if with_text else []
-    return chunks.select("doc_id", "chunk_no", F.unhex(F.md5("chunk.text")).alias("key"), *text)
+    return chunks.select("doc_id", _key(F.col("doc_id")).alias("_id"), "chunk_no", F.unhex(F.md5("chunk.text")).alias("key"), *text)
 
 
 def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -97,19 +105,17 @@ def rewrite(docs: DataFrame) -> DataFrame:
     repeated = cut_lineage(seen.groupBy("key").agg(
         F.min(place).alias("first"), F.max(place).alias("_last")).where(
         "first < _last").select("key", "first"))
-    holders = repeated.select(F.col("first.doc_id").alias("_id")).distinct()
-    kept = occurrences(
-        texts.join(holders, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"),
-        with_text=True)
+    holders = repeated.select(_key(F.col("first.doc_id")).alias("_id")).distinct()
+    kept = occurrences(texts.withColumn("_id", _key(F.col("doc_id"))).join(
+        holders, "_id", "left_semi"), with_text=True)
     # A digest that two different texts share keeps the first one; others then differ in bytes.
     firsts = cut_lineage(kept.join(repeated, "key").where(
         place == F.col("first")).groupBy("key", "first").agg(
         F.first("chunk_text").alias("chunk_text")))
     later = seen.join(firsts, "key").where(place != F.col("first"))
-    compared = later.groupBy("doc_id").agg(F.collect_list(F.concat(
-        F.col("chunk_no"), F.lit(":"), F.col("chunk_text"))).alias("_compared")).withColumnRenamed(
-        "doc_id", "_id")
-    joined = docs.join(compared, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    compared = later.groupBy("_id").agg(F.collect_list(F.concat(
+        F.col("chunk_no"), F.lit(":"), F.col("chunk_text"))).alias("_compared"))
+    joined = docs.withColumn("_id", _key(F.col("doc_id"))).join(compared, "_id", "left")
     return _without(with_chunks(joined, "text")).select(
         *[c for c in docs.columns if c not in ("n_lines", "n_chunks_removed")],
         "n_lines", "n_chunks_removed")

@@ -118,7 +118,9 @@ rolled AS (
            coalesce(lead(length(line)) OVER o, 0) >= 200 AS next_long
     FROM hashed WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 cut AS (
-    SELECT *, (r % 2 = 0 OR long_line OR next_long) AS ends FROM rolled),
+    SELECT *, (coalesce(r < lag(r) OVER o AND r <= lead(r) OVER o, false)
+               OR long_line OR next_long) AS ends
+    FROM rolled WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 numbered AS (
     SELECT *, coalesce(sum(ends::INT) OVER (
         PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
