@@ -133,7 +133,12 @@ def _without(rows: DataFrame) -> DataFrame:
     n_lines = F.coalesce(F.aggregate("_chunks", F.lit(0), lambda total, chunk: (
         total + chunk["n_lines"]).cast("int")), F.lit(0))
     removed = F.coalesce(F.size("_all") - F.size("_staying"), F.lit(0))
-    return left.withColumns({
-        "text": F.when(F.col("text").isNotNull(), text), "n_lines": n_lines.cast("long"),
-        "n_chunks_removed": F.when(F.col("_all").isNotNull(), removed).otherwise(
-            F.lit(0)).cast("long")})
+    # Through a generated row, so that a filter on the result stays above it. Else the optimizer
+    # would compute the text again in a filter on the scan, with every step inside the next.
+    result = F.explode_outer(F.array(F.struct(
+        F.when(F.col("text").isNotNull(), text).alias("text"),
+        n_lines.cast("long").alias("n_lines"),
+        F.when(F.col("_all").isNotNull(), removed).otherwise(F.lit(0)).cast("long")
+        .alias("n_chunks_removed"))))
+    names = [c for c in rows.columns if c not in ("text", "n_lines", "n_chunks_removed")]
+    return left.select(*names, result.alias("_result")).select(*names, "_result.*")
