@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from lendbook.llm.common import kept_in_worker
 
 #: Bounds of what a worker keeps; beyond them it computes anew what it did not keep.
-MAX_STATES = 150_000
-MAX_PIECES = 500_000
-MAX_PAIRS = 800_000
+MAX_STATES = 80_000
+MAX_PIECES = 250_000
+MAX_PAIRS = 400_000
 DECODE_BLOCK = 2048
 
 
