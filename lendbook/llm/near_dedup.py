@@ -272,7 +272,7 @@ def linked_classes(classes: DataFrame, texts: DataFrame) -> DataFrame:
 
 HOT_SHINGLE = 64
 SIZE_STEP = 0.95
-_SETS = "rep bigint, component bigint, n bigint, tokens array<bigint>"
+_SETS = "rep bigint, component bigint, n bigint, set_key binary, tokens array<bigint>"
 
 
 def crossing(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -291,14 +291,14 @@ def crossing(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Da
             tokens = [shingles(words_of(text.as_py())).view(np.int64) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(list(map(len, tokens)), pa.int64()),
+                 pa.array([xxhash.xxh3_128_digest(t.tobytes()) for t in tokens], pa.binary()),
                  pa.array(tokens, pa.list_(pa.int64()))],
-                names=["rep", "component", "n", "tokens"])
+                names=["rep", "component", "n", "set_key", "tokens"])
 
     own = ["rep", "set_key"]
     long = cut_lineage(texts.join(members, F.col("doc_id") == F.col("rep")).select(
         "rep", "component", "text").mapInArrow(sets, _SETS)).select(
-        "rep", "component", "n", F.xxhash64("tokens").alias("set_key"),
-        F.explode("tokens").alias("token"))
+        "rep", "component", "n", "set_key", F.explode("tokens").alias("token"))
     # Shingles of one member only match nothing; they count as the first of their member.
     shared = cut_lineage(long.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     whole = Window.partitionBy(*own)
