@@ -470,10 +470,10 @@ def cv_predictions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         _side(spark, sf_dir, "train"), fit))
 
 
-#: Labelled rows of the registered tuning query, about; drawn by whole customers. All 12 grid
-#: points are fitted on five folds with 500 trees of any depth; on all rows of the driver's tables
-#: the 60 fits take hours. 0 uses all rows.
-TUNING_ROWS = 150
+#: Labelled rows that the registered tuning query fits, by default all (0). All 12 grid points are
+#: fitted on five folds with 500 trees of any depth; a number bounds the rows of the fits, drawn
+#: by whole customers, and never the rows that are scored.
+TUNING_ROWS = 0
 
 
 def tuning_rows(spark: SparkSession) -> int | None:
@@ -594,6 +594,8 @@ def _model_queries() -> dict[str, Query]:
         "ml_rf_tuning": tuned,
         "ml_rf_tuning_grid": lambda s, d: tuned(s, d).select(
             "mtry", "min_n", "metric", "n", F.col("mean").between(0, 1).cast("int").alias("within")),
+        "ml_rf_tuning_check": lambda s, d: scored_once(
+            tuning_predictions(s, d), ["mtry", "min_n"]),
         "ml_rf_best": lambda s, d: M.best_parameters(tuned(s, d)),
         "ml_holdout_metrics": lambda s, d: EV.evaluate(
             EV.score_counts(holdout_predictions(s, d))),

@@ -18,7 +18,7 @@ from pyspark.ml.feature import (
     SQLTransformer, StandardScaler, VarianceThresholdSelector, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendbook import schemas as S
@@ -275,12 +275,30 @@ def cross_validate(folded: DataFrame, fit: Callable[[DataFrame], PipelineModel],
     return summarise_folds(cross_predict(folded, fit), metrics=metrics)
 
 
+def sampled(folded: DataFrame, rows: int) -> Column:
+    """Whether a row belongs to the sample of ``labelled_sample``.
+
+    The threshold is exact: customers are taken in order of the hash of their id until they hold
+    ``rows`` rows. The driver reads at most ``rows`` counts, one per customer.
+    """
+    if folded.count() <= rows:
+        return F.lit(True)
+    place = F.xxhash64(F.lit("tuning"), "customer_id")
+    counts = folded.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    last, held = None, 0
+    for row in counts.orderBy("place").limit(rows).collect():
+        if held >= rows:
+            break
+        last, held = row["place"], held + row["n"]
+    return place <= F.lit(last).cast("long")
+
+
 def labelled_sample(folded: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` labelled rows, drawn by whole customers with the lowest hash of their id."""
-    total = folded.count()
-    share = min(1.0, rows / max(1, total))
-    return folded.where(F.pmod(F.xxhash64(F.lit("tuning"), "customer_id"), F.lit(1_000_000))
-                        < int(share * 1_000_000))
+    """``rows`` labelled rows or, as customers are taken whole, a few more; all if there are less.
+
+    Customers with the lowest hash of their id are taken.
+    """
+    return folded.where(sampled(folded, rows))
 
 
 def tune_predictions(folded: DataFrame, grid: dict[str, list[int]] | None = None,
@@ -292,15 +310,15 @@ def tune_predictions(folded: DataFrame, grid: dict[str, list[int]] | None = None
     The recipe of a fold does not depend on the grid, so it is fitted and applied once. A forest
     scores its fold as soon as it is fitted, the scores are written, and the forest is let go:
     the driver holds one forest per fold that is being worked on. ``labelled_rows`` bounds the
-    rows fitted and scored (see ``labelled_sample``); by default all are used.
+    rows fitted (see ``labelled_sample``), by default all; every row of a fold is scored always.
     """
     points = list(product(*[(grid or GRID)[name] for name in ("mtry", "min_n")]))
     place = f"{work_folder(folded.sparkSession)}/tuning/{uuid.uuid4().hex}"
-    if labelled_rows is not None:
-        folded = labelled_sample(folded, labelled_rows)
+    chosen = None if labelled_rows is None else sampled(folded, labelled_rows)
 
     def one(train: DataFrame, held: DataFrame) -> DataFrame:
-        prepared, rows = prepare(train, normalise=False)
+        fitted = train if chosen is None else train.where(chosen)
+        prepared, rows = prepare(fitted, normalise=False)
         rows = spread(rows).persist()
         number = held.first()["fold"]
         try:

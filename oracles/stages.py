@@ -100,6 +100,12 @@ GRID_SQL = """SELECT mtry, min_n, metric, count(DISTINCT fold) AS n, 1 AS "withi
                        'f_meas']) AS metric),
        (SELECT fold FROM split WHERE side = 'train')
   GROUP BY mtry, min_n, metric"""
+GRID_ROWS_SQL = """SELECT mtry, min_n, count(*) AS "rows",
+         count(DISTINCT application_id) AS applications, 1 AS "within"
+  FROM (SELECT unnest([3, 6, 9, 12])::INT AS mtry),
+       (SELECT unnest([5, 15, 25])::INT AS min_n),
+       (SELECT application_id FROM split WHERE side = 'train')
+  GROUP BY mtry, min_n"""
 MODELS = "(SELECT unnest(['Logistic Regression', 'Random Forest']) AS model)"
 
 
@@ -142,6 +148,7 @@ def stage_sql() -> dict[str, str]:
         "ml_rf_cv_check": _once("fold", "train"),
         "ml_random_forest_check": _once("side", "test"),
         "ml_rf_tuning_grid": query(GRID_SQL, *SPLIT_CTES),
+        "ml_rf_tuning_check": query(GRID_ROWS_SQL, *SPLIT_CTES),
         "ml_holdout_check": query(f"""SELECT model, count(*) AS "rows",
             sum(default_flag)::BIGINT AS defaults, 0::BIGINT AS left_out
             FROM split, {MODELS} WHERE side = 'test' GROUP BY model""", *SPLIT_CTES),

@@ -233,6 +233,23 @@ def test_tuning_sample_takes_whole_customers(table):
     assert table.where(F.col("customer_id").isin(list(kept))).count() == part.count()
 
 
+def test_tuning_sample_is_exact_and_bounds_only_the_fit(table):
+    folded = SP.with_folds(table, folds=2)
+    counts = [r["n"] for r in folded.groupBy("customer_id").agg(F.count("*").alias("n")).collect()]
+    assert 60 <= M.labelled_sample(folded, 60).count() < 60 + max(counts)
+    assert M.labelled_sample(folded, 10 ** 9).count() == folded.count()
+    scored = M.tune_predictions(folded, {"mtry": [3, 6], "min_n": [15]}, trees=3, max_depth=3,
+                                labelled_rows=60)
+    rows = {r["mtry"]: r["count"] for r in scored.groupBy("mtry").count().collect()}
+    assert rows == {3: folded.count(), 6: folded.count()}
+
+
+def test_tuning_takes_all_rows_by_default(spark):
+    from lendbook.catalog import tuning_rows
+
+    assert tuning_rows(spark) is None
+
+
 def test_rows_without_a_pd_are_left_out_and_counted(spark):
     rows = spark.createDataFrame([("m", 0.9, 1), ("m", 0.1, 0), ("m", None, 1)],
                                  "model string, predicted_pd double, default_flag int")
