@@ -28,21 +28,39 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with ``_row``, a number of each row's own whatever its id; written once."""
+    return cut_lineage(docs.select(*DOCUMENT_COLUMNS).withColumn(
+        "_row", F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` whose ``_row`` is not in ``gone``."""
+    return rows.join(cut_lineage(gone), "_row", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
+    """One document, that with the smallest id, of each group of near copies.
+
+    Every row is a document of its own: null and repeated ids take no other row with them. A null
+    id comes after all others.
+    """
     bound_batches(spark)
-    found = near_dedup.groups(docs)
-    gone = cut_lineage(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(
-        *DOCUMENT_COLUMNS)
+    rows = numbered(docs)
+    found = near_dedup.groups(rows, id_col="_row").select(
+        F.col("doc_id").alias("_row"), "component_id")
+    placed = cut_lineage(found.join(rows.select("_row", "doc_id"), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    stays = placed.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return without(rows, placed.select("_row").join(stays, "_row", "left_anti"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = cut_lineage(found.select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(
-        *DOCUMENT_COLUMNS)
+    """Documents that hold no benchmark item; each row is judged by its own text."""
+    rows = numbered(docs)
+    found = decontaminate.contaminated(
+        rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return without(rows, found.select(F.col("doc_id").alias("_row")).distinct())
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

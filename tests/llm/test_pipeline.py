@@ -96,3 +96,25 @@ def test_run_is_its_stages(spark, stages):
 def test_stage_names_follow_the_order():
     assert [re.sub(r"\W+", " ", name) for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "line dedup", "near dedup", "benchmark decontamination", "byte level BPE"]
+
+
+def test_null_and_repeated_ids_take_no_other_row_with_them(spark):
+    words = [f"w{i} x{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:59]), " ".join(reversed(words))]
+    (item,), = duckdb.sql(f"SELECT min(text) FROM '{SF}/benchmark.parquet'").fetchall()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs.repartition(3), SF).collect()),
+                      key=str)
+
+    # A group of null ids only, one with a null id, and a row that is like no other.
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2])]
+    got = left(corpus_pipeline.near_stage, rows)
+    assert len(got) == 2 and (None, texts[2]) in got
+    rows = [(7, texts[0]), (None, texts[1]), (None, texts[2]), (7, "another text " * 9)]
+    assert left(corpus_pipeline.near_stage, rows) == sorted(
+        [rows[0], rows[2], rows[3]], key=str)
+    rows = [(None, item), (None, texts[0]), (7, f"so {item}"), (7, texts[2])]
+    assert left(corpus_pipeline.benchmark_stage, rows) == sorted([rows[1], rows[3]], key=str)
