@@ -55,6 +55,18 @@ def test_added_kinds(text, kind):
     assert kind in {s["kind"] for s in pii.find(text, pii.compiled_kinds())}
 
 
+@pytest.mark.parametrize("text, ibans", [
+    ("IBAN ES9121000418450200051332 BIC CAIXESBB", ["ES9121000418450200051332"]),
+    ("AT611904300234573201 BIC X", ["AT611904300234573201"]),
+    ("AT61 1904 3002 3457 3201 SWIFT", ["AT61 1904 3002 3457 3201"]),
+    ("AB12 CDEF DE89 3704 0044 0532 0130 00 IBAN ES9121000418450200051332 AT611904300234573201.",
+     ["DE89 3704 0044 0532 0130 00", "ES9121000418450200051332", "AT611904300234573201"]),
+    ("IBAN ES9121000418450200051333 BIC CAIXESBB", [])])
+def test_account_numbers_before_words_in_capitals(text, ibans):
+    found = [s for s in pii.find(text, pii.compiled_kinds()) if s["kind"] == "iban"]
+    assert [text[s["start"]:s["end"]] for s in found] == ibans
+
+
 @pytest.mark.parametrize("text", [
     "DE89 3704 0044 0532 0130 01", "part 219-09-9999", "000-12-3456 ssn"])
 def test_checksums_and_context_reject(text):
