@@ -47,14 +47,21 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 #: Where such an implied end stops looking.
 SCOPE = frozenset("ul ol dl table article main section div body html blockquote".split())
 
-#: Words in class, id or role that mark a part as not the article.
-NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adsense|sponsor(?:ed|s)?|promo(?:s|tion)?|"
-    r"banner|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|widgets?|footer|foot|header|masthead|"
+# Words in class, id or role that mark a part as not the article.
+_WORDS = (
+    r"ads?|advert(?:s|isement|ising)?|adsense|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|"
+    r"nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|widgets?|footer|foot|header|masthead|"
     r"cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|"
-    r"commentlist|disqus|replies|respond|complementary|contentinfo|pagination|pager|toolbar|"
-    r"skip|hidden)(?:$|[\s_-])", re.I)
+    r"subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|"
+    r"comments?|commentlist|disqus|replies|respond|complementary|contentinfo|pagination|pager|"
+    r"toolbar|skip|hidden")
+#: A token is a mark if it is such a word or a compound of one: ``site-footer`` is a footer and
+#: ``share-buttons`` belong to sharing, while ``sidebar-layout`` or ``header-fixed`` are neither.
+NOT_CONTENT = re.compile(
+    rf"(?:[a-z0-9]+[-_]+)*(?:{_WORDS})(?:[-_]+(?:areas?|bars?|blocks?|box(?:es)?|buttons?|container|"
+    r"form|icons?|inner|items?|lists?|links?|posts?|section|slots?|units?|wrap(?:per)?|[0-9]+))*", re.I)
+#: Tokens that tell how a part looks or what it has, not what it is.
+_STATE = re.compile(r"(?:no|not|non|has|have|with|without|is|hide|show|overflow)[-_].*", re.I)
 _NOTED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|"
                      r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
@@ -111,7 +118,8 @@ def pieces_of(page: str) -> Iterator[tuple[str, str, str]]:
 def marked(attributes: str) -> bool:
     """Whether the attributes say that an element is not part of the article."""
     return bool(attributes) and (
-        any(NOT_CONTENT.search(a or b or c) for a, b, c in _NOTED.findall(attributes))
+        any(NOT_CONTENT.fullmatch(token) and not _STATE.fullmatch(token)
+            for a, b, c in _NOTED.findall(attributes) for token in (a or b or c).split())
         or bool(_HIDDEN.search(attributes)))
 
 
@@ -129,12 +137,12 @@ class Item:
 def sequence(page: str) -> list[Item]:
     """The page as words and tags, with text that is not content marked ``other``."""
     items: list[Item] = []
-    stack: list[tuple[str, bool, bool, bool]] = []      # name, skipped, inside content, in link
+    stack: list[tuple[str, str, bool, bool]] = []       # name, skipped, inside content, in link
     # ``open_names`` saves searching the stack for elements that are not open.
     open_names: Counter = Counter()
 
-    def top() -> tuple[str, bool, bool, bool]:
-        return stack[-1] if stack else ("", False, False, False)
+    def top() -> tuple[str, str, bool, bool]:
+        return stack[-1] if stack else ("", "", False, False)
 
     def end(name: str, stops: frozenset | None = None) -> None:
         if not open_names[name]:
@@ -170,10 +178,16 @@ def sequence(page: str) -> list[Item]:
         _, skipped, inside, link = top()
         # The title of an article often stands in a header of its own.
         kept_heading = skipped and inside and name in HEADINGS and stack[-1][0] == "header" \
-            and not any(e[1] and e[0] != "header" for e in stack)
-        out = name in SKIPPED or name == "header" or (
-            rest and name not in CONTENT and name not in ("html", "body") and marked(rest))
-        stack.append((name, (skipped or out) and not kept_heading,
+            and not next((e[1] for e in reversed(stack) if e[0] != "header"), "")
+        # What only a mark skips comes back with an article or main element of its own.
+        if skipped == "mark" and name in CONTENT and not inside:
+            skipped = ""
+        if name in SKIPPED or name == "header":
+            skipped = "element"
+        elif not skipped and rest and name not in CONTENT and name not in ("html", "body") \
+                and marked(rest):
+            skipped = "mark"
+        stack.append((name, "" if kept_heading else skipped,
                       inside or name in CONTENT, link or name == "a"))
         open_names[name] += 1
     return items

@@ -180,6 +180,19 @@ def test_main_text(page, text):
     assert html_text.main_text(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize("names", [
+    "page overflow-hidden", "content no-sidebar", "site has-sidebar", "with-menu", "sidebar"])
+def test_a_wrapper_does_not_skip_the_article(names):
+    page = f"<div class='{names}'><div class=site-footer>no no no</div><article><p>yes yes yes " \
+           "yes yes yes yes yes yes yes yes yes</article></div>"
+    assert html_text.main_text(page, WEIGHTS) == " ".join(["yes"] * 12)
+
+
+@pytest.mark.parametrize("names", ["page overflow-hidden", "content no-sidebar", "site has-sidebar"])
+def test_a_wrapper_that_only_tells_its_state_is_no_mark(names):
+    assert html_text.main_text(f"<div class='{names}'><p>yes yes yes</div>", WEIGHTS) == "yes yes yes"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(-5, 5), max_size=30))
 def test_best_region_is_the_greatest_sum(scores):
