@@ -132,6 +132,9 @@ class Item:
     text: str
     n_words: int
     inside: bool            # inside an article or main element
+    skipped: bool = False   # a tag of an element whose text is left out
+    article: int = 0        # number of the outermost article it is in, and of the outermost main
+    main: int = 0
 
 
 def sequence(page: str) -> list[Item]:
@@ -144,17 +147,26 @@ def sequence(page: str) -> list[Item]:
     def top() -> tuple[str, str, bool, bool]:
         return stack[-1] if stack else ("", "", False, False)
 
-    def end(name: str, stops: frozenset | None = None) -> None:
+    numbers = Counter()
+    article = main = 0
+
+    def end(name: str, stops: frozenset | None = None) -> str | None:
+        """Close an element; how it was skipped, or None where there is nothing to close."""
+        nonlocal article, main
         if not open_names[name]:
-            return
+            return None
         for place in range(len(stack) - 1, -1, -1):
             if stack[place][0] == name:
+                how = stack[place][1]
                 for closed in stack[place:]:
                     open_names[closed[0]] -= 1
                 del stack[place:]
-                return
+                article = article if open_names["article"] else 0
+                main = main if open_names["main"] else 0
+                return how
             if stops and stack[place][0] in stops:
-                return
+                return None
+        return None
 
     for kind, name, rest in pieces_of(page):
         if kind == "text":
@@ -162,12 +174,14 @@ def sequence(page: str) -> list[Item]:
             text = html.unescape(rest) if "&" in rest else rest
             count = len(text.split())
             items.append(Item("other" if skipped else "link" if link else "word",
-                              "", text, count, inside))
+                              "", text, count, inside, False, article, main))
             continue
-        items.append(Item("tag", name, "", 0, top()[2] and not (
-            kind == "close" and name in CONTENT)))
+        item = Item("tag", name, "", 0, top()[2] and not (kind == "close" and name in CONTENT),
+                    bool(top()[1]), article, main)
+        items.append(item)
         if kind == "close":
-            end(name)
+            how = end(name)
+            item.skipped = item.skipped if how is None else bool(how)
             continue
         if name in CLOSES_P:
             end("p", SCOPE)
@@ -187,6 +201,11 @@ def sequence(page: str) -> list[Item]:
         elif not skipped and rest and name not in CONTENT and name not in ("html", "body") \
                 and marked(rest):
             skipped = "mark"
+        item.skipped = bool(skipped) and not kept_heading
+        if name in CONTENT and not skipped:
+            numbers[name] += 1
+            article = article or numbers[name] if name == "article" else article
+            main = main or numbers[name] if name == "main" else main
         stack.append((name, "" if kept_heading else skipped,
                       inside or name in CONTENT, link or name == "a"))
         open_names[name] += 1
@@ -223,6 +242,34 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best_start, best_end
 
 
+def scores_of(items: list[Item], weights: Weights) -> list[float]:
+    """The scores of a page's items.
+
+    Text that is left out scores nothing, and nor do the tags around it, so that it does not part
+    what stands before it from what follows. Only before and after the article or main element of
+    a page do such tags count: there they part the article from the rest.
+    """
+    framed = any(item.article or item.main for item in items)
+    return [0.0 if item.skipped and (item.inside or not framed) else weights.of(item)
+            for item in items]
+
+
+def whole_content(items: list[Item], start: int, end: int) -> tuple[int, int]:
+    """The stretch, with the articles at its ends whole; a main without articles counts as one."""
+    with_articles = {item.main for item in items if item.article}
+
+    def owner(item: Item) -> tuple[int, int]:
+        return (item.article, 0) if item.article else (
+            0, 0 if item.main in with_articles else item.main)
+
+    first, last = owner(items[start]), owner(items[end - 1])
+    while any(first) and start > 0 and owner(items[start - 1]) == first:
+        start -= 1
+    while any(last) and end < len(items) and owner(items[end]) == last:
+        end += 1
+    return start, end
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The article of a page; empty for null, empty and content-free pages.
 
@@ -231,9 +278,10 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     items = sequence(page)
-    start, end = best_region([weights.of(item) for item in items])
+    start, end = best_region(scores_of(items, weights))
     if start == end:
         return ""
+    start, end = whole_content(items, start, end)
     # A block is taken whole: a link at its edge must not cut it.
     while start > 0 and not (items[start].kind == "tag" and items[start].name in BLOCKS):
         start -= 1

@@ -193,6 +193,25 @@ def test_a_wrapper_that_only_tells_its_state_is_no_mark(names):
     assert html_text.main_text(f"<div class='{names}'><p>yes yes yes</div>", WEIGHTS) == "yes yes yes"
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=x>more {i}</a></li>" for i in range(40)) + "</ul>"
+MENUS = html_text.Weights({"word": 4.0, "link": 0.2, "other": 0.0}, {
+    "p": -0.01, "article": -10.0, "aside": -4.0, "div": -4.0, "a": -4.0, "li": -4.0, "ul": -4.0})
+
+
+@pytest.mark.parametrize("element", ["article", "main", "section"])
+def test_a_large_aside_does_not_cut_the_article(element):
+    first, last = "first " * 20, "last " * 200
+    page = f"<{element}><p>{first}</p><aside>{LINKS}</aside><p>{last}</p></{element}>"
+    assert html_text.main_text(page, MENUS) == f"{first.strip()}\n{last.strip()}"
+
+
+@pytest.mark.parametrize("element", ["article", "main"])
+def test_a_list_of_links_ends_the_article(element):
+    page = f"<nav>{LINKS}</nav><{element}><p>{'word ' * 50}</p>{LINKS}</{element}><div>{LINKS}</div>"
+    assert html_text.main_text(page, MENUS).split("\n") == [
+        ("word " * 50).strip(), *[f"more {i}" for i in range(40)]]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(-5, 5), max_size=30))
 def test_best_region_is_the_greatest_sum(scores):
