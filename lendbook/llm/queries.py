@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lendbook.llm import (bpe, decontaminate, html_text, line_chunks, near_dedup, pii, quality,
                           shards, token_counts, warc)
-from lendbook.llm.common import table
+from lendbook.llm.common import cut_lineage, table
 from lendbook.llm.sql import SQL  # noqa: F401  (registered with the queries)
 
 
@@ -57,6 +57,12 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fail_bits")
 
 
+def op3_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy over the whole table: what each of its rules rejects, and rejects alone."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.ablations(cut_lineage(quality.ledger(docs).select("doc_id", "fail_bits")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that repeat."""
     return line_chunks.remove_repeated(table(spark, sf_dir, "documents"))

@@ -108,6 +108,20 @@ def test_ablations(spark):
     assert kept == ["v1", "v2"]
 
 
+def test_ablations_over_the_whole_table(spark):
+    from lendbook.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r["version"], r["rule"]): (r["rejected"], r["failing"], r["only_this"])
+           for r in QUERIES["op3_rule_ablations"](spark, sf).collect()}
+    bits = [r["fail_bits"] for r in QUERIES["op3_quality_ledger"](spark, sf).collect()]
+    places = {rule.name: 1 << place for place, rule in enumerate(quality.RULES)}
+    assert got == {(p.version, name): (
+        sum(b & p.mask() != 0 for b in bits), sum(b & places[name] != 0 for b in bits),
+        sum(b & p.mask() == places[name] for b in bits))
+        for p in quality.POLICIES for name in p.rules}
+
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LONG = ["a" * 5000, "  lead  and   trail  " * 50, " " * 300, "▁x▁ " * 200, "日本語テキスト" * 100,
         "x\ty\nz" * 200, "ab" * 777 + " " * 20 + "é😀" * 300, "1234567890" * 100, "\n" * 500]
