@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendbook.llm import (bpe, decontaminate, html_text, line_chunks, near_dedup, pii, quality,
-                          shards, token_counts, warc)
+from lendbook.llm import (block_search, bpe, decontaminate, html_text, line_chunks, mixture,
+                          near_dedup, periodic_runs, pii, quality, shards, token_counts, warc)
 from lendbook.llm.common import cut_lineage, table
 from lendbook.llm.sql import SQL  # noqa: F401  (registered with the queries)
 
@@ -115,6 +115,37 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix by source takes; each source is a pattern."""
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    taken, sources = mixture.mix(
+        table(spark, sf_dir, "documents").select("doc_id", "text", "source"), words,
+        F.array("source"))
+    named = sources.select(F.col("source").alias("pattern"), F.col("size").alias("source_size"),
+                           "target")
+    return taken.join(named, "pattern").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, and the text without their repeats."""
+    docs = periodic_runs.with_looped_tails(
+        table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periodic_runs.longest(F.col("runs"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", best).withColumn(
+        "length", -F.col("best.less"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "length",
+        "best.period", F.expr("1000 * length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return block_search.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` one after the other."""
     return _corpus_pipeline().run(spark, sf_dir)

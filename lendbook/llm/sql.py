@@ -142,5 +142,32 @@ FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id
 GROUP BY d.doc_id, d.text
 """
 
+_TERMS = r"""regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP13 = f"""
+WITH held AS (
+    SELECT row_number() OVER () AS doc, doc_id, terms, len(terms) AS n
+    FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS all_terms FROM held),
+counted AS (
+    SELECT doc, doc_id, n, term, count(*) AS tf
+    FROM (SELECT doc, doc_id, n, unnest(terms) AS term FROM held) GROUP BY ALL),
+asked AS (
+    SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+weighed AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, corpus GROUP BY term, docs),
+scored AS (
+    SELECT item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (
+        1000 * tf + 20 * (100 - 50 + (50 * n * docs) // all_terms))))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN weighed USING (term), corpus GROUP BY ALL),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 SQL = {"op4_line_dedup": OP4, "op3_quality_ledger": OP3,
-       "op8_revisit_resolution": OP8}
+       "op8_revisit_resolution": OP8, "op13_ranked_search": OP13}
