@@ -16,6 +16,7 @@ from lendbook import schemas as S
 from lendbook.functions import scorecard as SC
 from lendbook.operators import evaluate as EV
 from lendbook.operators import features as X
+from lendbook.operators import forest_grid as G
 from lendbook.operators import model as M
 from lendbook.operators import profile as P
 from lendbook.operators import quality as DQ
@@ -167,11 +168,12 @@ def _quality_queries() -> dict[str, Query]:
         "dq_row_count": expected_rows,
         "dq_col_count": _on_portfolio(
             lambda p: DQ.column_count(p.flat, len(S.FLAT_COLUMNS))),
+        "dq_empty_columns": _on_portfolio(lambda p: DQ.empty_columns(
+            p.flat.withColumn("bureau_score", F.lit(None).cast("int")))),
         "dq_unique_key": _on_portfolio(
             lambda p: DQ.duplicate_rows(p.flat, ["application_id"], "dq_unique_key")),
         "dq_duplicate_keys": _on_portfolio(lambda p: DQ.duplicate_keys(damaged(p.flat))),
-        "dq_full_duplicates": _on_portfolio(lambda p: DQ.duplicate_rows(
-            damaged(p.flat), p.flat.columns, "dq_full_duplicates")),
+        "dq_full_duplicates": _on_portfolio(lambda p: DQ.full_duplicates(damaged(p.flat))),
         "dq_missing_only_in": _on_portfolio(
             lambda p: DQ.missing_only_in(p.flat, S.NULLABLE_COLUMNS)),
         "dq_suite": _on_portfolio(lambda p: DQ.validation_suite(p.flat, (0.03, 0.92))),
@@ -470,20 +472,22 @@ def cv_predictions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         _side(spark, sf_dir, "train"), fit))
 
 
-#: Labelled rows that the registered tuning query fits, by default all (0). All 12 grid points are
-#: fitted on five folds with 500 trees of any depth; a number bounds the rows of the fits, drawn
-#: by whole customers, and never the rows that are scored.
-TUNING_ROWS = 0
-
-
-def tuning_rows(spark: SparkSession) -> int | None:
-    return int(spark.conf.get("spark.lendbook.tuning.rows", str(TUNING_ROWS))) or None
+def tuning_rows(spark: SparkSession) -> int:
+    """Labelled rows that the grid's forests are fitted on; every row of a fold is scored."""
+    return int(spark.conf.get("spark.lendbook.tuning.rows", str(G.LABELLED_ROWS)))
 
 
 def tuning_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of every grid point, computed once."""
-    return _stored(spark, sf_dir, "tuning", lambda: M.tune_predictions(
-        _side(spark, sf_dir, "train"), labelled_rows=tuning_rows(spark)))
+    """Out-of-fold predictions of every grid point: one table, which all queries of the grid read.
+
+    A query that was ended leaves the trees and folds it has finished, and the next goes on there.
+    """
+    train, rows = _side(spark, sf_dir, "train"), tuning_rows(spark)
+    place = _place(spark, sf_dir, f"tuning_{rows}")
+    if place not in _STORED:
+        G.tune_predictions(train, place, labelled_rows=rows)
+        _STORED.add(place)
+    return spark.read.parquet(f"{place}/scores")
 
 
 def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,12 @@
 """Default models on Spark ML: feature recipe, logistic regression, random forest,
-cross-validation and tuning over customer-grouped folds."""
+cross-validation over customer-grouped folds. ``forest_grid`` tunes forests."""
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections.abc import Callable, Iterable
 from functools import partial, reduce
-from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -160,7 +158,8 @@ def _forest(mtry: int, min_n: int, trees: int, max_depth: int,
     return RandomForestClassifier(
         labelCol=S.LABEL, featuresCol="varying", numTrees=trees,
         featureSubsetStrategy=str(mtry), minInstancesPerNode=max(1, (min_n + 1) // 2),
-        maxDepth=max_depth, impurity="gini", seed=seed, maxMemoryInMB=2048)
+        maxDepth=max_depth, impurity="gini", seed=seed, maxMemoryInMB=2048,
+        cacheNodeIds=True)      # else every level ships all trees so far to every task
 
 
 def fit_forest(train: DataFrame, mtry: int = FOREST["mtry"], min_n: int = FOREST["min_n"],
@@ -301,47 +300,6 @@ def labelled_sample(folded: DataFrame, rows: int) -> DataFrame:
     return folded.where(sampled(folded, rows))
 
 
-def tune_predictions(folded: DataFrame, grid: dict[str, list[int]] | None = None,
-                     trees: int = FOREST["trees"], max_depth: int = MAX_DEPTH,
-                     parallelism: int = PARALLELISM,
-                     labelled_rows: int | None = None) -> DataFrame:
-    """Out-of-fold predictions for every grid point, with mtry, min_n and fold.
-
-    The recipe of a fold does not depend on the grid, so it is fitted and applied once. A forest
-    scores its fold as soon as it is fitted, the scores are written, and the forest is let go:
-    the driver holds one forest per fold that is being worked on. ``labelled_rows`` bounds the
-    rows fitted (see ``labelled_sample``), by default all; every row of a fold is scored always.
-    """
-    points = list(product(*[(grid or GRID)[name] for name in ("mtry", "min_n")]))
-    place = f"{work_folder(folded.sparkSession)}/tuning/{uuid.uuid4().hex}"
-    chosen = None if labelled_rows is None else sampled(folded, labelled_rows)
-
-    def one(train: DataFrame, held: DataFrame) -> DataFrame:
-        fitted = train if chosen is None else train.where(chosen)
-        prepared, rows = prepare(fitted, normalise=False)
-        rows = spread(rows).persist()
-        number = held.first()["fold"]
-        try:
-            for mtry, min_n in points:
-                model = _forest(mtry, min_n, trees, max_depth, SEED).fit(rows)
-                scored = predict(PipelineModel([*prepared.stages, model]), held, keep=["fold"])
-                scored.withColumns({"mtry": F.lit(mtry), "min_n": F.lit(min_n)}).write.parquet(
-                    f"{place}/{mtry}_{min_n}_{number}")
-        finally:
-            rows.unpersist()
-        return folded.sparkSession.read.parquet(f"{place}/*_{number}")
-
-    return _over_folds(folded, one, parallelism)
-
-
-def tune_forest(folded: DataFrame, grid: dict[str, list[int]] | None = None,
-                trees: int = FOREST["trees"], max_depth: int = MAX_DEPTH,
-                parallelism: int = PARALLELISM, labelled_rows: int | None = None) -> DataFrame:
-    """Cross-validated metrics for every grid point, as (mtry, min_n, metric, ...)."""
-    return summarise_folds(tune_predictions(
-        folded, grid, trees, max_depth, parallelism, labelled_rows), by=["mtry", "min_n"])
-
-
 def best_parameters(tuned: DataFrame, metric: str = "roc_auc") -> DataFrame:
     """The grid point with the highest mean of a metric."""
     return tuned.where(F.col("metric") == metric).orderBy(

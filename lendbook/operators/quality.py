@@ -109,6 +109,20 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
                    [check])
 
 
+def full_duplicates(df: DataFrame, check: str = "dq_full_duplicates") -> DataFrame:
+    """How many rows repeat an earlier row in every column.
+
+    Rows are counted by a fingerprint of 64 bits, the only thing that is shuffled of all rows. Whole
+    rows are compared where a fingerprint stands more than once: there alone can rows be equal,
+    and there alone can different rows share one.
+    """
+    columns = df.columns
+    marked = df.withColumn("_print", F.xxhash64(*columns))
+    often = marked.groupBy("_print").agg(F.count("*").alias("_n")).where("_n > 1")
+    alike = marked.join(often.select("_print"), "_print", "left_semi").select(*columns)
+    return duplicate_rows(alike, columns, check)
+
+
 def duplicate_keys(df: DataFrame, key: str = "application_id") -> DataFrame:
     """The keys that occur more than once."""
     return (df.groupBy(key).agg(F.count("*").alias("duplicate_count"))
@@ -121,16 +135,22 @@ def row_count(df: DataFrame, expected: int) -> DataFrame:
                    ["dq_row_count"])
 
 
-def _filled_columns(df: DataFrame) -> Column:
-    """How many columns hold a value in any row."""
-    return reduce(lambda left, right: left + right,
-                  [(F.count(name) > 0).cast("bigint") for name in df.columns])
+def column_count(df: DataFrame, expected: int) -> DataFrame:
+    """Columns too many or too few; whether they hold values does not matter."""
+    return _report(df.agg(_columns_off(df, expected).alias("dq_col_count")), ["dq_col_count"])
 
 
-def column_count(df: DataFrame, expected: int) -> DataFrame:
-    """Columns too many or too few, of those that hold any value."""
-    return _report(df.agg(F.abs(_filled_columns(df) - expected).alias("dq_col_count")),
-                   ["dq_col_count"])
+def _columns_off(df: DataFrame, expected: int) -> Column:
+    return F.lit(abs(len(df.columns) - expected)).cast("bigint")
+
+
+def empty_columns(df: DataFrame) -> DataFrame:
+    """(column, rows) of columns without any value, from one scan. No column of an empty table is
+    told."""
+    counted = df.agg(F.count("*").alias("rows"), *[
+        (F.count(name) == 0).alias(name) for name in df.columns])
+    return counted.unpivot(["rows"], df.columns, "column", "empty").where(
+        F.col("empty") & (F.col("rows") > 0)).select("column", "rows")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -259,7 +279,7 @@ def _suite(flat: DataFrame, rules: Rules, expected_rows: int | None) -> DataFram
     counted = {
         **{name: F.count_if(~F.coalesce(holds, F.lit(False))) for name, holds in rules.items()},
         "dq_missing_only_in": missing,
-        "dq_col_count": F.abs(_filled_columns(flat) - len(S.FLAT_COLUMNS)),
+        "dq_col_count": _columns_off(flat, len(S.FLAT_COLUMNS)),
     }
     if expected_rows is not None:
         counted["dq_row_count"] = F.abs(F.count("*") - F.lit(expected_rows))

@@ -1,5 +1,6 @@
 import warnings
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +11,7 @@ from lendbook import schemas as S
 from lendbook.catalog import damaged
 from lendbook.operators import evaluate as E
 from lendbook.operators import features as X
+from lendbook.operators import forest_grid as G
 from lendbook.operators import model as M
 from lendbook.operators import quality as Q
 from lendbook.operators import split as SP
@@ -158,10 +160,11 @@ def test_unseen_level_and_missing_value(table):
     assert empty.first()["predicted_pd"] is None
 
 
-def test_forest_and_tuning_on_a_small_grid(table):
+def test_forest_and_tuning_on_a_small_grid(table, tmp_path):
     folded = SP.with_folds(table, folds=2)
-    tuned = M.tune_forest(folded, {"mtry": [3, 6], "min_n": [15]}, trees=5, max_depth=4)
-    tuned = tuned.persist()
+    tuned = M.summarise_folds(G.tune_predictions(
+        folded, str(tmp_path / "grid"), {"mtry": [3, 6], "min_n": [15]}, trees=30),
+        by=["mtry", "min_n"]).persist()
     assert tuned.where("metric = 'roc_auc'").count() == 2
     assert M.best_parameters(tuned).first()["mtry"] in (3, 6)
     forest = M.fit_forest(table, trees=5, max_depth=4)
@@ -233,21 +236,116 @@ def test_tuning_sample_takes_whole_customers(table):
     assert table.where(F.col("customer_id").isin(list(kept))).count() == part.count()
 
 
-def test_tuning_sample_is_exact_and_bounds_only_the_fit(table):
+def test_tuning_sample_is_exact_and_bounds_only_the_fit(table, tmp_path):
     folded = SP.with_folds(table, folds=2)
     counts = [r["n"] for r in folded.groupBy("customer_id").agg(F.count("*").alias("n")).collect()]
     assert 60 <= M.labelled_sample(folded, 60).count() < 60 + max(counts)
     assert M.labelled_sample(folded, 10 ** 9).count() == folded.count()
-    scored = M.tune_predictions(folded, {"mtry": [3, 6], "min_n": [15]}, trees=3, max_depth=3,
-                                labelled_rows=60)
+    scored = G.tune_predictions(folded, str(tmp_path / "grid"), {"mtry": [3, 6], "min_n": [15]},
+                                trees=3, labelled_rows=60)
     rows = {r["mtry"]: r["count"] for r in scored.groupBy("mtry").count().collect()}
     assert rows == {3: folded.count(), 6: folded.count()}
 
 
-def test_tuning_takes_all_rows_by_default(spark):
-    from lendbook.catalog import tuning_rows
-
-    assert tuning_rows(spark) is None
+def test_a_grid_goes_on_where_it_stands(spark, table, tmp_path):
+    folded, place = SP.with_folds(table, folds=2), str(tmp_path / "grid")
+    order = ["mtry", "min_n", "application_id"]
+    small = G.tune_predictions(folded, place, {"mtry": [3], "min_n": [15]}, trees=4)
+    first = small.orderBy(*order).collect()
+    grown = []
+    grow, G.grow_grid = G.grow_grid, lambda *a, **k: grown.append((set(a[1]), a[2])) or grow(*a)
+    try:
+        G.tune_predictions(folded, place, {"mtry": [3], "min_n": [15]}, trees=4)
+        assert grown == []
+        both = G.tune_predictions(folded, place, {"mtry": [3, 6], "min_n": [15]}, trees=4)
+    finally:
+        G.grow_grid = grow
+    assert [point for _, points in grown for point in points] == [(6, 15)]
+    rows = both.orderBy(*order).collect()
+    assert rows[:len(first)] == first and len(rows) == 2 * len(first)
+    anew = G.tune_predictions(folded.repartition(7), str(tmp_path / "other"),
+                              {"mtry": [3, 6], "min_n": [15]}, trees=4)
+    assert anew.orderBy(*order).collect() == rows
+
+
+def plain_cut(features, labels, weight):
+    """The least Gini impurity over every cut of every column."""
+    best = None
+    for column in features.T:
+        for cut in np.unique(column)[:-1]:
+            impurity = 0.0
+            for side in (column <= cut, column > cut):
+                n, good = weight[side].sum(), (weight * labels)[side].sum()
+                impurity += 2 * good * (n - good) / n if n else 0.0
+            best = impurity if best is None else min(best, impurity)
+    return best
+
+
+def test_trees_cut_best_and_stop_at_min_n():
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        features = rng.integers(0, 6, (60, 4)).astype(float)
+        labels = (rng.random(60) < 0.2 + 0.1 * features[:, trial % 4]).astype(float)
+        sample = G.Sample.of(features, labels)
+        trees = G.grow(sample, 4, 8, 3, np.random.default_rng(trial))
+        drawn = np.random.default_rng(trial)
+        weights = [np.bincount(drawn.integers(0, 60, 60), minlength=60) for _ in range(3)]
+        total = np.zeros(60)
+        for root in range(3):
+            open_nodes = [(root, np.arange(60))]
+            while open_nodes:
+                node, rows = open_nodes.pop()
+                weight = weights[root][rows].astype(float)
+                own = labels[rows]
+                n, good = weight.sum(), (weight * own).sum()
+                assert trees.share[node] == pytest.approx(good / n)
+                least = plain_cut(features[rows][weight > 0], own[weight > 0], weight[weight > 0])
+                now = 2 * good * (n - good) / n
+                if n < 8 or now == 0 or least is None or least > now - 1e-9:
+                    assert trees.feature[node] == -1
+                    total[rows] += trees.share[node]
+                    continue
+                right = features[rows, trees.feature[node]] > trees.cut[node]
+                made = 0.0
+                for side in (right, ~right):
+                    m, g = weight[side].sum(), (weight * own)[side].sum()
+                    made += 2 * g * (m - g) / m
+                assert made == pytest.approx(least)
+                open_nodes += [(trees.left[node], rows[~right]),
+                               (trees.left[node] + 1, rows[right])]
+        assert G.score(trees, features) == pytest.approx(total)
+
+
+def test_grid_of_rows_without_a_predictor(table, tmp_path):
+    folded = SP.with_folds(table, folds=2)
+    holed = folded.withColumn("annual_revenue", F.when(
+        F.col("application_id") % 5 > 0, F.col("annual_revenue")))
+    scored = G.tune_predictions(holed, str(tmp_path / "grid"), {"mtry": [40], "min_n": [5]},
+                                trees=3)
+    missing = holed.where("annual_revenue is null").count()
+    assert scored.count() == folded.count()
+    assert scored.where("predicted_pd is null").count() == missing > 0
+    with pytest.raises(ValueError, match="no folds"):
+        G.tune_predictions(folded.limit(0), str(tmp_path / "empty"))
+
+
+def test_empty_columns_are_told_and_pass_the_gate(spark, small):
+    rows = small.flat.count()
+    empty = small.flat.withColumn("bureau_score", F.lit(None).cast("int"))
+    report = {r["check"]: r["violations"] for r in Q.gate_suite(empty, rows).collect()}
+    assert report["dq_col_count"] == 0
+    assert [r["column"] for r in Q.empty_columns(empty).collect()] == ["bureau_score"]
+    more = Q.gate_suite(small.flat.withColumn("extra", F.lit(None).cast("int")), rows)
+    assert {r["check"]: r["violations"] for r in more.collect()}["dq_col_count"] == 1
+    assert Q.column_count(small.flat.limit(0), 30).first()["violations"] == 0
+    assert Q.empty_columns(small.flat.limit(0)).collect() == []
+
+
+def test_full_duplicates(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (1, "a"), (None, "a"), (None, "a"),
+                                  (None, "a")], "x int, y string")
+    assert Q.full_duplicates(rows).first()["violations"] == 3
+    assert Q.full_duplicates(rows.limit(0)).first()["violations"] == 0
 
 
 def test_rows_without_a_pd_are_left_out_and_counted(spark):
