@@ -29,15 +29,49 @@ def test_running_totals_equal_a_global_window(spark, groups):
     assert got.exceptAll(expected).count() == 0 and got.count() == 3000
 
 
-def test_running_totals_without_a_broadcast(spark, monkeypatch):
-    from lendbook.operators import prefix
-
-    df = skewed(spark).withColumn("one", F.lit(1))
-    want = running_totals(df, ["v", "id"], ["one"], ["g"])
-    monkeypatch.setattr(prefix, "BROADCAST_ROWS", 0)
+def test_running_totals_shuffle_rows_once_and_broadcast_no_hint(spark, tmp_path):
+    skewed(spark).withColumn("one", F.lit(1)).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
     got = running_totals(df, ["v", "id"], ["one"], ["g"])
     assert "ResolvedHint" not in got._jdf.queryExecution().analyzed().toString()
-    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got.select("*")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [plan[place + 1] for place, line in enumerate(plan) if "Exchange" in line]
+    # One shuffle is of rows, the others of sums by range and group.
+    assert len([line for line in below if "Project" in line and "bucketizer" in line]) == 1, plan
+    assert len(below) == 4
+    assert "rangepartitioning" not in "".join(plan)
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "string", "decimal(38,4)", "date",
+                                  "timestamp", "boolean"])
+def test_running_totals_over_any_kind(spark, kind):
+    values = {"date": "date_add(date'2020-01-01', cast(v as int))",
+              "timestamp": "timestamp_seconds(v)", "string": "concat('a common start ', v)",
+              "boolean": "v > 200"}.get(kind, f"cast(v as {kind})")
+    df = skewed(spark).selectExpr(
+        f"if(v % 11 = 1, null, {values}) AS v", "id", "1L AS one")
+    order = Window.orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    expected = df.select("id", F.sum("one").over(order).alias("cum_one"))
+    got = running_totals(df, ["v", "id"], ["one"]).select("id", "cum_one")
+    assert got.exceptAll(expected).count() == 0 and got.count() == 3000
+
+
+def test_a_hot_value_is_spread(spark):
+    from lendbook.operators.prefix import ranged
+
+    df = spark.range(30_000).selectExpr("if(id % 3 > 0, 0.5D, id / 30000) AS v", "id")
+    sizes = [row["count"] for row in ranged(df, ["v", "id"]).groupBy(
+        "_range", "_part").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 6000
+    odd = spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (None, 3), (-0.0, 4),
+                                 (0.0, 5), (float("-inf"), 6)], "v double, id int")
+    assert sorted(row["_range"] for row in ranged(odd, ["v"]).collect())[0] == 0.0
 
 
 @pytest.mark.parametrize("rows", [3, 10, 97, 100])
