@@ -13,7 +13,7 @@ from lendbook.functions.bands import PORTFOLIO
 from lendbook.functions.exprs import count_where, div, fraction, month_label
 from lendbook.functions.pvalues import chi_square_tail, normal_two_sided
 from lendbook.operators.prefix import running_totals
-from lendbook.operators.quantiles import exact_quantiles, unpivot
+from lendbook.operators.quantiles import unpivot, wide_quantiles
 from lendbook.operators.segments import segment_rates_many
 from lendbook.plans import views as V
 
@@ -29,8 +29,7 @@ def numeric_summary(table: DataFrame,
     moments = wide.select(F.explode(F.array(*[
         F.struct(F.lit(column).alias("variable"), F.col(column).alias("m"))
         for column in columns])).alias("row")).select("row.variable", "row.m.*")
-    quantiles = exact_quantiles(unpivot(table, columns),
-                                {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    quantiles = wide_quantiles(table, columns, {"p25": 0.25, "median": 0.5, "p75": 0.75})
     # One row per column on either side.
     return moments.join(quantiles, "variable").select(
         "variable", "count", "mean", "median", "sd", "min", "p25", "p75", "max")

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lendbook.operators.prefix import running_totals, tile
-from lendbook.operators.quantiles import exact_medians, exact_quantiles
+from lendbook.operators.quantiles import exact_medians, exact_quantiles, wide_quantiles
 from lendbook.operators.segments import segment_rates, segment_rates_many
 from lendbook.operators.split import assert_split, fold_check, group_split, split_check, with_folds
 
@@ -82,6 +82,41 @@ def test_tile_equals_ntile(spark, rows):
     assert both.where("mine <> spark").count() == 0
 
 
+@pytest.mark.parametrize("fetched, steps", [(20_000, 128), (5, 16), (1, 4)])
+def test_wide_quantiles_equal_percentile(spark, fetched, steps):
+    df = spark.range(20_000).selectExpr(
+        "pow(2.5D, id % 97) * (id % 13 - 6) AS wide", "if(id % 3 > 0, 0.5D, id / 7) AS hot",
+        "cast(id % 2 AS int) AS two", "cast(NULL AS double) AS none",
+        "if(id % 5 > 0, double('NaN'), id * 1.0D) AS holed",
+        "if(id % 10 = 0, double('-Infinity'), if(id % 10 = 1, double('Infinity'), id)) AS ends",
+        "cast(id AS decimal(20,3)) / 8 AS money", "if(id = 77, 1L, NULL) AS one")
+    probs = {"p0": 0.0, "p25": 0.25, "median": 0.5, "p999": 0.999, "p100": 1.0}
+    names = [name for name in df.columns]
+    got = {row[0]: row[1:] for row in wide_quantiles(df, names, probs, fetched, steps).collect()}
+    assert set(got) == set(names) - {"none"}
+    clean = df.select(*[F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")).alias(n)
+                        for n in names])
+    for name in got:
+        wanted = clean.agg(*[F.percentile(name, F.lit(p)) for p in probs.values()]).first()
+        assert tuple(got[name]) == pytest.approx(tuple(wanted), rel=1e-12), name
+    assert wide_quantiles(df.limit(0), names, probs).collect() == []
+
+
+def test_wide_quantiles_shuffle_no_row_per_value(spark):
+    """Rows written to shuffles: one for each task and pass, and the values of the last brackets."""
+    df = spark.range(0, 50_000, 1, 4).selectExpr("id * 1.5D AS a", "sin(id) AS b")
+    tracker = spark._jsc.sc().statusTracker()
+    spark.sparkContext.setJobGroup("wide", "")
+    wide_quantiles(df, ["a", "b"], {"median": 0.5}, fetched=100)
+    store = spark._jsc.sc().statusStore()
+    written = 0
+    for job in tracker.getJobIdsForGroup("wide"):
+        for stage in tracker.getJobInfo(job).get().stageIds():
+            written += store.lastStageAttempt(stage).shuffleWriteRecords()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < written < 500
+
+
 def test_exact_quantiles_equal_percentile(spark):
     df = skewed(spark).select(F.col("g").alias("variable"),
                               (F.col("v") / 3).alias("value"))
