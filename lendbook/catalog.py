@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lendbook import schemas as S
 from lendbook.functions import scorecard as SC
+from lendbook.operators import artifacts as ART
 from lendbook.operators import evaluate as EV
 from lendbook.operators import features as X
 from lendbook.operators import forest_grid as G
@@ -257,7 +258,8 @@ def medians(spark: SparkSession, sf_dir: str) -> dict[str, float]:
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned record, written once; statistics, models and dashboard read it."""
     return _stored(spark, sf_dir, "clean", lambda: PIPE.cleaned(
-        load_portfolio(spark, sf_dir).flat, order_count(spark, sf_dir), medians(spark, sf_dir)))
+        load_portfolio(spark, sf_dir).flat, order_count(spark, sf_dir),
+        lambda: medians(spark, sf_dir)))
 
 
 def _on_clean(build: Callable[[DataFrame], DataFrame]) -> Query:
@@ -424,6 +426,16 @@ def fitted(spark: SparkSession, sf_dir: str, kind: str) -> PipelineModel:
     return M.load(path)
 
 
+def artifact(spark: SparkSession, sf_dir: str) -> ART.Artifact:
+    """The regression with the medians, split and folds it was fitted with, as one artefact."""
+    place = _place(spark, sf_dir, "artifact")
+    if place not in _STORED:
+        ART.save(place, fitted(spark, sf_dir, "logistic"), medians(spark, sf_dir),
+                 split_table(spark, sf_dir))
+        _STORED.add(place)
+    return ART.load(spark, place)
+
+
 def holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models' PDs on the held-out side, each computed once."""
     test = _side(spark, sf_dir, "test")
@@ -617,6 +629,7 @@ def _model_queries() -> dict[str, Query]:
         "sink_model": lambda s, d: M.predict(  # saved and loaded by fitted()
             fitted(s, d, "logistic"), split_table(s, d), keep=["side"]),
         "sink_model_check": reloaded,
+        "sink_model_manifest": lambda s, d: artifact(s, d).manifest.select("part", "rows"),
     }
 
 
@@ -638,6 +651,11 @@ def _source_queries() -> dict[str, Query]:
         files.write_csv(damaged_text(load_portfolio(spark, sf_dir).flat), path)
         return files.read_csv_text(spark, path)
 
+    def quarantined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+        path = _place(spark, sf_dir, "csv_damaged")
+        files.write_csv(damaged_text(load_portfolio(spark, sf_dir).flat), path)
+        return files.read_csv_quarantined(spark, path, S.FLAT_LONG_KEYS, f"{path}_read")
+
     def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = ["customer", "lineitem", "orders", "part"]
         files.require_artifacts(spark, [f"{sf_dir}/{name}.parquet" for name in names])
@@ -654,6 +672,10 @@ def _source_queries() -> dict[str, Query]:
     return {
         "src_csv": through_csv("csv_flat", lambda p: p.flat),
         "src_csv_inferred": clean_through_csv,
+        "src_csv_quarantine": lambda s, d: plain(quarantined(s, d)[0]),
+        "src_csv_rejects": lambda s, d: quarantined(s, d)[1].select(
+            F.get_json_object("record", "$.application_id").cast("long").alias(
+                "application_id"), "reasons"),
         "sink_csv": through_csv("csv_exposure", V.customer_exposure),
         "src_require_columns": _on_portfolio(lambda p: files.column_report(
             files.require_columns(p.flat, S.FLAT_COLUMNS), S.FLAT_COLUMNS)),
@@ -699,20 +721,26 @@ def _stream_queries() -> dict[str, Query]:
 
     def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         output = run(spark, sf_dir, "stream_fixed", fixed_pd)
-        return spark.read.parquet(f"{output}/scored").drop("batch")
+        return STREAM.read_scored(spark, output).drop("batch")
 
     def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
         output = run(spark, sf_dir, "stream_rejects", fixed_pd)
-        return spark.read.parquet(f"{output}/rejected").drop("batch")
+        return STREAM.read_rejected(spark, output).drop("batch")
+
+    def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+        output = run(spark, sf_dir, "stream_commits", fixed_pd)
+        return STREAM.read_commits(spark, output).agg(*[
+            F.sum(name).alias(name) for name in ("arrived", "scored", "rejected")])
 
     def with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         model = fitted(spark, sf_dir, "logistic")
         output = run(spark, sf_dir, "stream_model", lambda rows: M.predict(model, rows))
-        return spark.read.parquet(f"{output}/scored").drop("batch")
+        return STREAM.read_scored(spark, output).drop("batch")
 
     return {
         "sc_apply_stream": scored,
         "sc_apply_stream_rejects": rejected,
+        "sc_apply_stream_commits": commits,
         "sc_apply_stream_model": with_model,
         "sc_apply_stream_model_check": lambda s, d: with_model(s, d).select(
             "application_id", (F.col("predicted_pd").between(0, 1) & F.col(

@@ -288,6 +288,12 @@ def _suite(flat: DataFrame, rules: Rules, expected_rows: int | None) -> DataFram
         duplicate_rows(flat, ["application_id"], "dq_unique_key"))
 
 
+def with_rejects(report: DataFrame, rejects: DataFrame) -> DataFrame:
+    """A report with one more check: no record was rejected when the source was read."""
+    counted = rejects.agg(F.count("*").alias("src_no_rejects"))
+    return report.unionAll(_report(counted, ["src_no_rejects"]))
+
+
 def validation_suite(flat: DataFrame, dti_range: tuple = (0, 1),
                      expected_rows: int | None = None) -> DataFrame:
     """Every check on the application record, as (check, violations, pass)."""

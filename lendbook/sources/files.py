@@ -22,6 +22,55 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS, inferSchema="false").csv(path)
 
 
+#: Name of the column with a line that has too few or too many fields.
+BROKEN_LINE = "_corrupt_record"
+
+
+def checked_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV with a header as text, one column per declared column, and ``reasons``.
+
+    ``reasons`` names every field that does not parse as its declared type, or tells that the line
+    does not have the declared number of fields; it is empty for a good row. A line is read
+    whole for this, whatever columns are asked for.
+    """
+    text = T.StructType([T.StructField(name, T.StringType()) for name in schema.names]
+                        + [T.StructField(BROKEN_LINE, T.StringType())])
+    rows = spark.read.schema(text).options(
+        **CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN_LINE,
+        columnPruning="false").csv(path)
+    unparsed = [
+        F.when(F.col(field.name).isNotNull()
+               & F.col(field.name).try_cast(field.dataType).isNull(),
+               F.lit(f"{field.name} is no {field.dataType.simpleString()}"))
+        for field in schema if not isinstance(field.dataType, T.StringType)]
+    broken = F.when(F.col(BROKEN_LINE).isNotNull(), F.lit(
+        f"the line does not have {len(schema)} fields"))
+    return rows.withColumn("reasons", F.coalesce(broken, F.concat_ws("; ", *unparsed)))
+
+
+def read_csv_quarantined(spark: SparkSession, path: str, schema: T.StructType,
+                         place: str) -> tuple[DataFrame, DataFrame]:
+    """The good rows of a CSV in their declared types, and the rejected ones with the reasons.
+
+    The file is parsed once; what comes of it is written below ``place``, where the reject table
+    stays: ``record`` is the line, or its fields by name, and ``reasons`` says why. No value
+    is ever lost by turning it into a missing one. ``quality.with_rejects`` shows the count to
+    the gate.
+    """
+    bad = F.col("reasons") != ""
+    checked_csv(spark, path, schema).withColumn("rejected", bad).write.mode(
+        "overwrite").partitionBy("rejected").parquet(f"{place}/lines")
+    text = T.StructType([T.StructField(name, T.StringType())
+                         for name in [*schema.names, BROKEN_LINE, "reasons"]]
+                        + [T.StructField("rejected", T.BooleanType())])
+    rows = spark.read.schema(text).parquet(f"{place}/lines")
+    record = F.coalesce(F.col(BROKEN_LINE), F.to_json(F.struct(*schema.names)))
+    rows.where("rejected").select(record.alias("record"), "reasons").write.mode(
+        "overwrite").parquet(f"{place}/rejects")
+    good = cast_columns(rows.where("NOT rejected"), schema)
+    return good, spark.read.schema("record string, reasons string").parquet(f"{place}/rejects")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV directory with a header per part, no row names, missing values empty."""
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

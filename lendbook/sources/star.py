@@ -78,6 +78,16 @@ class Portfolio:
                       [getattr(self, entity) for entity in entities])
 
 
+    def record(self) -> DataFrame:
+        """The 30-column application record. From separate tables, an application that is missing
+        in one of them, or whose customer is, is not in it; the gate counts rows."""
+        if self.flat is not None:
+            return self.flat
+        whole = self.joined("applications", "assessments", "decisions", "performance")
+        return whole.join(self.customers.select("customer_id"), "customer_id", "left_semi").select(
+            *S.FLAT_COLUMNS)
+
+
 def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Enough buckets to use the cluster and to keep each one a few hundred megabytes."""
     by_size = math.ceil(rows / rows_per_bucket)

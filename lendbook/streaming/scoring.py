@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -75,8 +75,11 @@ def score_stream(applicants: DataFrame, predict: Callable[[DataFrame], DataFrame
                  output: str, checkpoint: str, medians: dict[str, float]) -> StreamingQuery:
     """Score everything that is available and stop.
 
-    ``medians`` are those the model was trained with. ``predict`` adds ``predicted_pd`` to the feature table. Each batch overwrites its own
-    folder, so a batch that is repeated after a failure leaves no duplicates.
+    ``medians`` are those the model was trained with. ``predict`` adds ``predicted_pd`` to the
+    feature table. Each batch overwrites its own folder, so a batch that is repeated after a
+    failure leaves no duplicates. Its commit record, the rows that arrived and those seen on the
+    way into either table, comes last; ``read_scored`` and ``read_rejected`` show committed
+    batches only, so both tables always tell of the same applicants.
     """
     def write(batch: DataFrame, number: int) -> None:
         rows = checked(batch).persist()
@@ -85,11 +88,43 @@ def score_stream(applicants: DataFrame, predict: Callable[[DataFrame], DataFrame
             scored = with_score(predict(accepted)).select(
                 *S.ID_COLUMNS, "predicted_pd", "credit_score", "risk_band",
                 "risk_monitoring_flag")
-            scored.write.mode("overwrite").parquet(f"{output}/scored/batch={number}")
             rejected = rows.where(F.col("problems") != "").select(*S.ID_COLUMNS, "problems")
-            rejected.write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
+            seen = {"scored": Observation(), "rejected": Observation()}
+            for name, part in (("scored", scored), ("rejected", rejected)):
+                part.observe(seen[name], F.count(F.lit(1)).alias("n")).write.mode(
+                    "overwrite").parquet(f"{output}/{name}/batch={number}")
+            told = {name: seen[name].get["n"] for name in seen}
+            arrived = rows.count()
+            if arrived != sum(told.values()):
+                raise ValueError(f"batch {number}: {arrived} applicants, but {told}")
+            batch.sparkSession.createDataFrame(
+                [(arrived, told["scored"], told["rejected"])], _COMMIT).coalesce(1).write.mode(
+                "overwrite").parquet(f"{output}/commits/batch={number}")
         finally:
             rows.unpersist()
 
     return (applicants.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+_COMMIT = "arrived bigint, scored bigint, rejected bigint"
+
+
+def read_commits(spark: SparkSession, output: str) -> DataFrame:
+    """(batch, arrived, scored, rejected) of every committed batch."""
+    return spark.read.schema(f"{_COMMIT}, batch bigint").parquet(f"{output}/commits")
+
+
+def _committed(spark: SparkSession, output: str, name: str) -> DataFrame:
+    done = read_commits(spark, output).select("batch")
+    rows = spark.read.parquet(f"{output}/{name}").withColumn("batch", F.col("batch").cast("long"))
+    return rows.join(done, "batch", "left_semi").select(*[
+        column for column in rows.columns if column != "batch"], "batch")
+
+
+def read_scored(spark: SparkSession, output: str) -> DataFrame:
+    return _committed(spark, output, "scored")
+
+
+def read_rejected(spark: SparkSession, output: str) -> DataFrame:
+    return _committed(spark, output, "rejected")

@@ -116,6 +116,22 @@ def stage_sql() -> dict[str, str]:
         "src_csv": query(FLAT_PLAIN),
         "src_csv_inferred": query(CLEAN_PLAIN, *CLEAN_CTES),
         "sink_csv": query(EXPOSURE),
+        "src_csv_quarantine": query(
+            FLAT_PLAIN + " WHERE application_id % 17 <> 0 AND application_id % 19 <> 0 "
+            "AND application_id % 23 <> 0"),
+        "src_csv_rejects": query("""SELECT application_id, concat_ws('; ',
+            CASE WHEN application_id % 23 = 0 THEN 'application_date is no date' END,
+            CASE WHEN application_id % 17 = 0 THEN 'bureau_score is no int' END,
+            CASE WHEN application_id % 19 = 0 THEN 'approved_amount is no decimal(18,2)' END)
+            AS reasons FROM flat WHERE application_id % 17 = 0 OR application_id % 19 = 0
+            OR application_id % 23 = 0"""),
+        "sink_model_manifest": query(f"""SELECT 'split' AS part, count(*) AS "rows" FROM split
+            UNION ALL SELECT 'train', count(*) FROM split WHERE side = 'train'
+            UNION ALL SELECT 'medians', 4 UNION ALL
+            SELECT 'model', count(*) FROM ({TERMS})""", *SPLIT_CTES, LONG_TRAIN),
+        "sc_apply_stream_commits": query(f"""SELECT count(*) AS arrived,
+            (count(*) FILTER (WHERE {ACCEPTED})) AS scored,
+            (count(*) FILTER (WHERE NOT coalesce({ACCEPTED}, false))) AS rejected FROM flat"""),
         "src_require_columns": query("\nUNION ALL\n".join(
             f"SELECT '{c}' AS \"column\", count({c}) AS filled, 1 AS present FROM flat"
             for c in FLAT_NAMES)),

@@ -1,14 +1,19 @@
+import shutil
 import warnings
+from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendbook import schemas as S
 from lendbook.catalog import damaged
+from lendbook.operators import artifacts as ART
 from lendbook.operators import evaluate as E
 from lendbook.operators import features as X
 from lendbook.operators import forest_grid as G
@@ -18,7 +23,7 @@ from lendbook.operators import split as SP
 from lendbook.plans import pipeline, questions, views
 from lendbook.sources import files
 from lendbook.sources.driver_tables import order_lines, workflow_days
-from lendbook.sources.star import plain
+from lendbook.sources.star import Portfolio, plain
 from lendbook.streaming import scoring
 
 
@@ -368,20 +373,138 @@ def test_gate_lets_a_missing_debt_ratio_through_and_counts_rows(small):
         Q.gate(Q.gate_suite(above, rows))
 
 
+FITS = {"Logistic Regression": M.fit_logistic,
+        "Random Forest": lambda train: M.fit_forest(train, trees=10)}
+
+
 def test_from_csv_to_scores(spark, small, tmp_path):
     path = str(tmp_path / "record.csv")
     text = small.flat.withColumns({
         name: F.concat(F.lit("K"), F.col(name).cast("string")) for name in S.ID_COLUMNS})
     files.write_csv(text, path)
-    flat = files.read_csv(spark, path, S.FLAT_TEXT_KEYS)
-    out = pipeline.run(flat, str(tmp_path / "work"), 1500)
+    flat, rejects = files.read_csv_quarantined(spark, path, S.FLAT_TEXT_KEYS,
+                                               str(tmp_path / "read"))
+    out = pipeline.run(flat, str(tmp_path / "work"), 1500, FITS, rejects=rejects)
     assert out.clean.count() == 1500
     assert out.scored.count() == out.split.where("side = 'test'").count()
-    assert out.metrics.first()["roc_auc"] > 0.5
+    metrics = {r["model"]: r["roc_auc"] for r in out.metrics.collect()}
+    assert set(metrics) == set(FITS) and min(metrics.values()) > 0.5
+    assert out.confusion.count() == 8 and out.calibration.count() == 20
+    for name in FITS:
+        kept = out.artifacts[name]
+        assert kept.medians == X.fit_medians(flat)
+        assert kept.split.count() == out.split.count()
     with pytest.raises(Q.QualityError, match="dq_row_count"):
         pipeline.run(flat, str(tmp_path / "other"), 1501)
 
 
+def test_from_five_tables_to_scores(small, tmp_path):
+    star = Portfolio(small.customers, small.applications, small.assessments, small.decisions,
+                     small.performance)
+    fits = {"Logistic Regression": M.fit_logistic}
+    out = pipeline.run(star, str(tmp_path / "work"), 1500, fits)
+    flat = pipeline.run(small.flat, str(tmp_path / "flat"), 1500, fits)
+    assert out.clean.exceptAll(flat.clean).count() == 0 and out.clean.count() == 1500
+    assert out.metrics.collect() == flat.metrics.collect()
+    torn = Portfolio(small.customers, small.applications, small.assessments.where(
+        "application_id % 7 > 0"), small.decisions, small.performance)
+    with pytest.raises(Q.QualityError, match="dq_row_count"):
+        pipeline.run(torn, str(tmp_path / "torn"), 1500, fits)
+
+
+def test_the_gate_tells_before_medians_fail(small, tmp_path):
+    empty = small.flat.withColumn("bureau_score", F.lit(None).cast("int"))
+    late = empty.withColumn("approval_date", F.date_sub("application_date", 3))
+    with pytest.raises(Q.QualityError, match="dq_approval_order"):
+        pipeline.run(late, str(tmp_path / "late"), 1500)
+    with pytest.raises(ValueError, match="no finite median for: bureau_score"):
+        pipeline.run(empty, str(tmp_path / "empty"), 1500)
+
+
+def test_damaged_lines_go_to_the_reject_table(spark, tmp_path):
+    (tmp_path / "in.csv").write_text(
+        "id,day,amount,name\n1,2024-01-31,1.50,plain\nzz,31.31.2020,2,\"a, b\"\n"
+        "3,2024-02-30,x,c\n4,2024-01-01\n5,2024-01-01,1,d,too many\n6,,,\n"
+        "7,2024-03-01,2.25,\"two words\"\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField(
+        "day", T.DateType()), T.StructField("amount", T.DecimalType(8, 2)), T.StructField(
+        "name", T.StringType())])
+    good, rejects = files.read_csv_quarantined(
+        spark, str(tmp_path / "in.csv"), schema, str(tmp_path / "read"))
+    assert good.schema == schema
+    assert [row["id"] for row in good.orderBy("id").collect()] == [1, 6, 7]
+    assert good.where("id = 6 AND day IS NULL AND amount IS NULL").count() == 1
+    assert good.select("amount").where("id = 7").first()[0] == Decimal("2.25")
+    told = {row["record"]: row["reasons"] for row in rejects.collect()}
+    assert told.pop("4,2024-01-01") == "the line does not have 4 fields"
+    assert told.pop("5,2024-01-01,1,d,too many") == "the line does not have 4 fields"
+    assert sorted(told.values()) == [
+        "day is no date; amount is no decimal(8,2)", "id is no int; day is no date"]
+    assert any('"name":"a, b"' in record for record in told)
+    report = Q.with_rejects(Q.row_count(good, 3), rejects)
+    with pytest.raises(Q.QualityError, match="'src_no_rejects': 4"):
+        Q.gate(report)
+    (tmp_path / "none.csv").write_text("id,day,amount,name\n")
+    good, rejects = files.read_csv_quarantined(
+        spark, str(tmp_path / "none.csv"), schema, str(tmp_path / "none"))
+    assert (good.count(), rejects.count()) == (0, 0)
+
+
+def test_an_artifact_is_whole_or_not_there(spark, table, tmp_path):
+    place = str(tmp_path / "models")
+    with pytest.raises(ART.ArtifactError, match="no whole version"):
+        ART.load(spark, place)
+    split = SP.with_folds(SP.group_split(table))
+    model, medians = M.fit_logistic(split), dict.fromkeys(S.IMPUTED_COLUMNS, 1.5)
+    first = ART.save(place, model, medians, split)
+    second = ART.save(place, M.fit_forest(split, trees=3, max_depth=3), medians, split)
+    assert ART.versions(spark, place) == [first.version, second.version]
+    assert ART.load(spark, place).version == second.version
+    kept = ART.load(spark, place, first.version)
+    assert kept.medians == medians and {r["part"]: r["rows"] for r in kept.manifest.collect()} == {
+        "model": len(M.feature_names(model)), "medians": 4, "split": split.count(),
+        "train": split.where("side = 'train'").count()}
+    spark.createDataFrame([("bureau_score", 2.5)], "variable string, median double").write.mode(
+        "overwrite").parquet(f"{place}/{second.version}/medians")
+    with pytest.raises(ART.ArtifactError, match="medians"):
+        ART.load(spark, place)
+    M.save(M.fit_logistic(split.where("fold <> 1")), f"{place}/{first.version}/model")
+    with pytest.raises(ART.ArtifactError, match="model"):
+        ART.load(spark, place, first.version)
+    shutil.rmtree(f"{place}/{second.version}/manifest")
+    assert ART.versions(spark, place) == [first.version]
+
+
+def test_a_batch_without_a_commit_is_not_shown(spark, small, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    small.flat.select(*scoring.INPUT_COLUMNS).repartition(3).write.parquet(source)
+    calls = []
+
+    def predict(rows):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return rows.withColumn("predicted_pd", F.lit(0.05))
+
+    def stream():
+        scoring.score_stream(scoring.read_applicants(spark, source, files_per_batch=1), predict,
+                             out, str(tmp_path / "checkpoint"),
+                             X.fit_medians(small.flat)).awaitTermination()
+
+    with pytest.raises(StreamingQueryException):
+        stream()
+    spark.range(5).write.parquet(f"{out}/scored/batch=1")          # what a broken batch leaves
+    assert scoring.read_commits(spark, out).count() == 1
+    assert {row["batch"] for row in scoring.read_scored(spark, out).select(
+        "batch").distinct().collect()} == {0}
+    stream()
+    sums = scoring.read_commits(spark, out).agg(*[F.sum(name) for name in (
+        "arrived", "scored", "rejected")]).first()
+    assert tuple(sums) == (1500, scoring.read_scored(spark, out).count(),
+                           scoring.read_rejected(spark, out).count())
+    assert sums[1] + sums[2] == 1500
+
+
 def test_stages_stop(small, table, tmp_path):
     one_class = SP.with_folds(SP.group_split(table)).withColumn("default_flag", F.lit(0))
     with pytest.raises(ValueError, match="split is invalid"):
