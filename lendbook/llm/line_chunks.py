@@ -3,13 +3,15 @@
 A document is a sequence of lines. A hash rolls over the hashes of neighbouring lines, and a chunk
 ends where it is smaller than before and not greater than after. Boundaries thus depend on the
 lines around them and not on where in a document they stand: the same passage is cut the same way
-wherever it was pasted, and no two boundaries are neighbours. A very long line is a passage by itself and ends the chunks before and after it. Chunks of several
-lines, or one such long line, that occur more than once in all documents are kept where they
-come first and removed elsewhere, after their bytes have been compared with the kept ones.
-
-Only DataFrame functions are used. Chunk hashes are shuffled without texts; texts follow for the
-chunks that repeat. An occurrence and the text it is compared with meet in the row of its
-document.
+wherever it was pasted, and no two boundaries are neighbours. A very long line is a passage by
+itself and ends the chunks before and after it. Chunks of several lines, or one such long line,
+that occur more than once in all documents are kept where they come first and removed elsewhere,
+after their bytes have been compared with the kept ones.
+
+Only DataFrame functions are used. Chunk digests are shuffled without texts. Whole texts are
+shuffled once, to meet the numbers of their chunks that repeat, and written. From there the texts
+of these chunks alone, each once, meet the one that is kept; a chunk that differs from it, though
+its digest does not, stays.
 """
 
 from __future__ import annotations
@@ -66,29 +68,30 @@ def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFr
         "_lines", "_hashes", "_rolled", "_starts", "_parts")
 
 
-def _key(doc_id: Column) -> Column:
-    """The id as a join key that is never null."""
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """A key of the row that is never null and that only rows equal in id and text share."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")),
+                                     text)))
 
 
-def occurrences(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Chunks that may be removed: doc_id, place in the document, digest, and the text if asked."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """Chunks of (doc_id, _id, text) that may be removed: both ids, place in the text, digest."""
     # The outer form: for the other, the optimizer would compute the chunks once more in a filter
     # on the scan, with every step of theirs inside the loops of the next.
-    chunks = with_chunks(docs, "text").select("doc_id", F.posexplode_outer("_chunks").alias(
+    return with_chunks(docs, "text").select("doc_id", "_id", F.posexplode_outer("_chunks").alias(
         "chunk_no", "chunk")).where((F.col("chunk.filled") >= MIN_LINES) | (
-            F.col("chunk.filled") > 0) & (F.length("chunk.text") >= LONG_LINE))
-    text = [F.col("chunk.text").alias("chunk_text")] if with_text else []
-    return chunks.select("doc_id", _key(F.col("doc_id")).alias("_id"), "chunk_no", F.unhex(F.md5("chunk.text")).alias("key"), *text)
+            F.col("chunk.filled") > 0) & (F.length("chunk.text") >= LONG_LINE)).select(
+        "doc_id", "_id", "chunk_no", F.unhex(F.md5("chunk.text")).alias("key"))
 
 
 def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, the text without repeated passages, and what was removed; one row per row.
 
     A passage stays in the document with the smallest id, where it comes first. Null texts stay
-    null and have no lines. Rows with equal ids are treated alike, as one document. A null id is
-    smaller than all others. A text of which everything is removed becomes empty. Other columns
-    are not read; an empty table gives an empty result.
+    null and have no lines. Rows equal in id and text are one document; of other rows with equal
+    ids, as of those with null ids, which are smaller than all others, the one with the smaller
+    digest of its text comes first. A text of which everything is removed becomes empty. Other
+    columns are not read; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rewrite(texts).select("doc_id", "text", "n_lines", "n_chunks_removed")
@@ -99,46 +102,57 @@ def rewrite(docs: DataFrame) -> DataFrame:
 
     Columns are named ``n_lines`` and ``n_chunks_removed`` besides; they replace any of that name.
     """
-    texts = docs.select("doc_id", "text")
-    seen = occurrences(texts)
-    place = F.struct("doc_id", "chunk_no")
+    rows = docs.withColumn("_id", _row_key(F.col("doc_id"), F.col("text")))
+    seen = occurrences(rows.select("doc_id", "_id", "text"))
+    place = F.struct("doc_id", "_id", "chunk_no")
     repeated = cut_lineage(seen.groupBy("key").agg(
         F.min(place).alias("first"), F.max(place).alias("_last")).where(
         "first < _last").select("key", "first"))
-    holders = repeated.select(_key(F.col("first.doc_id")).alias("_id")).distinct()
-    kept = occurrences(texts.withColumn("_id", _key(F.col("doc_id"))).join(
-        holders, "_id", "left_semi"), with_text=True)
-    # A digest that two different texts share keeps the first one; others then differ in bytes.
-    firsts = cut_lineage(kept.join(repeated, "key").where(
-        place == F.col("first")).groupBy("key", "first").agg(
-        F.first("chunk_text").alias("chunk_text")))
-    later = seen.join(firsts, "key").where(place != F.col("first"))
-    compared = later.groupBy("_id").agg(F.collect_list(F.concat(
-        F.col("chunk_no"), F.lit(":"), F.col("chunk_text"))).alias("_compared"))
-    joined = docs.withColumn("_id", _key(F.col("doc_id"))).join(compared, "_id", "left")
-    return _without(with_chunks(joined, "text")).select(
+    marks = seen.join(repeated, "key").groupBy("_id").agg(F.collect_set(F.struct(
+        "chunk_no", (place == F.col("first")).alias("stays"), "key")).alias("_marks"))
+    held = cut_lineage(rows.join(marks, "_id", "left"))
+    other = _differing(held)
+    if other.isEmpty():
+        held = held.withColumn("_other", F.lit(None).cast("array<int>"))
+    else:
+        held = held.join(other.groupBy("_id").agg(F.collect_set("chunk_no").alias("_other")),
+                         "_id", "left")
+    return _without(with_chunks(held, "text")).select(
         *[c for c in docs.columns if c not in ("n_lines", "n_chunks_removed")],
         "n_lines", "n_chunks_removed")
 
 
+def _differing(held: DataFrame) -> DataFrame:
+    """(_id, chunk_no) of chunks whose bytes are not those of the kept chunk with their digest."""
+    marked = with_chunks(held.where("_marks IS NOT NULL").select("_id", "text", "_marks"), "text")
+    texts = marked.select("_id", F.explode_outer(F.transform("_marks", lambda mark: F.struct(
+        mark["chunk_no"].alias("chunk_no"), mark["stays"].alias("stays"),
+        mark["key"].alias("key"), F.get(F.col("_chunks"), mark["chunk_no"])["text"].alias(
+            "chunk_text")))).alias("c")).select("_id", "c.*")
+    kept = texts.where("stays").groupBy("key").agg(F.min("chunk_text").alias("kept_text"))
+    return cut_lineage(texts.where("NOT stays").join(kept, "key").where(
+        "chunk_text <> kept_text").select("_id", "chunk_no").distinct())
+
+
 def _without(rows: DataFrame) -> DataFrame:
-    """Chunks equal, byte by byte and in their place, to what is compared leave the text."""
-    numbered = F.transform("_chunks", lambda chunk, place: F.concat(
-        place, F.lit(":"), chunk["text"]))
-    staying = F.array_except(F.col("_all"), F.coalesce("_compared", F.array().cast(
-        "array<string>")))
-    left = rows.withColumn("_all", numbered).withColumn("_staying", staying)
-    text = F.array_join(F.transform("_staying", lambda chunk: F.substring(
-        chunk, F.locate(":", chunk) + 1, F.length(chunk))), "\n")
+    """Chunks that are marked, do not stay and do not differ leave the text."""
+    gone = F.array_except(
+        F.transform(F.filter("_marks", lambda mark: ~mark["stays"]),
+                    lambda mark: mark["chunk_no"]),
+        F.coalesce("_other", F.array().cast("array<int>")))
+    staying = F.filter("_chunks", lambda chunk, place: ~F.coalesce(
+        F.array_contains(F.col("_gone"), place), F.lit(False)))
+    left = rows.withColumn("_gone", gone).withColumn("_staying", staying)
+    text = F.array_join(F.transform("_staying", lambda chunk: chunk["text"]), "\n")
     n_lines = F.coalesce(F.aggregate("_chunks", F.lit(0), lambda total, chunk: (
         total + chunk["n_lines"]).cast("int")), F.lit(0))
-    removed = F.coalesce(F.size("_all") - F.size("_staying"), F.lit(0))
+    removed = F.coalesce(F.size("_chunks") - F.size("_staying"), F.lit(0))
     # Through a generated row, so that a filter on the result stays above it. Else the optimizer
     # would compute the text again in a filter on the scan, with every step inside the next.
     result = F.explode_outer(F.array(F.struct(
         F.when(F.col("text").isNotNull(), text).alias("text"),
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("_all").isNotNull(), removed).otherwise(F.lit(0)).cast("long")
+        F.when(F.col("_chunks").isNotNull(), removed).otherwise(F.lit(0)).cast("long")
         .alias("n_chunks_removed"))))
     names = [c for c in rows.columns if c not in ("text", "n_lines", "n_chunks_removed")]
     return left.select(*names, result.alias("_result")).select(*names, "_result.*")

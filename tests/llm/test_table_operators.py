@@ -131,6 +131,33 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     assert got[7]["text"].count("shared line") <= 5
 
 
+def test_line_dedup_of_rows_with_null_and_equal_ids(spark):
+    """Rows without an id are documents of their own; equal rows are one."""
+    passage = "\n".join(f"line {i} that many texts hold" for i in range(30))
+    texts = [f"one\n{passage}\nend", f"two\n{passage}\nlast", f"three\n{passage}\nover"]
+    for ids in ([None, None, None], [5, 5, 5], [None, 5, 5]):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        got = line_chunks.remove_repeated(docs).collect()
+        whole = [row for row in got if not row["n_chunks_removed"]]
+        assert len(got) == 3 and len(whole) == 1 and passage in whole[0]["text"]
+    alike = spark.createDataFrame([(3, texts[0])] * 3, "doc_id long, text string")
+    assert {row["text"] for row in line_chunks.remove_repeated(alike).collect()} == {texts[0]}
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """With a digest that tells nothing, only chunks that are really equal go."""
+    blocks = ["\n".join(f"block {b} line {i} of it" for i in range(12)) for b in range(3)]
+    docs = spark.createDataFrame(
+        [(1, blocks[0]), (2, blocks[1]), (3, blocks[0]), (4, blocks[2])],
+        "doc_id long, text string")
+    seen = line_chunks.occurrences
+    monkeypatch.setattr(line_chunks, "occurrences", lambda rows: seen(rows).withColumn(
+        "key", F.unhex(F.lit("00"))))
+    got = {row["doc_id"]: row for row in line_chunks.remove_repeated(docs).collect()}
+    assert got[1]["text"] == blocks[0] and got[2]["text"] == blocks[1]
+    assert got[4]["text"] == blocks[2] and got[3]["n_chunks_removed"] <= 1
+
+
 def test_line_dedup_has_no_python(spark):
     rows = spark.createDataFrame([(1, "a\nb"), (2, "a\nb")], "doc_id long, text string")
     plan = line_chunks.remove_repeated(rows)._jdf.queryExecution().toString()
