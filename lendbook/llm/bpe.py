@@ -8,7 +8,8 @@ subset construction runs while texts are read: a deterministic state is the set
 with the tokens each still owes; what all of them owe is emitted at once. A path lives no longer
 than the longest token, which bounds the lookahead. Of all paths exactly one stands between
 tokens at any byte, so the end of a piece is never ambiguous. The table of states is bounded; when
-it is full it is emptied, and fills again with what the texts at hand need.
+it is full, the rest of a piece is read by following its live paths one by one. (Emptying the full
+table was tried and is slower: the states that are needed early are needed most.)
 
 Decoding. A state machine over bytes holds back an unfinished character and puts U+FFFD for
 invalid bytes; its steps are composed per token and kept, so a stream of ids becomes text piece
@@ -25,15 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendbook.llm.common import kept_in_worker
 
-#: Bounds of what a worker keeps: some 100 MB. What is full is emptied and starts anew.
-MAX_STATES = 20_000
-MAX_PIECES = 100_000
-MAX_PAIRS = 150_000
+#: Bounds of what a worker keeps; beyond them it computes anew what it did not keep.
+MAX_STATES = 60_000
+MAX_PIECES = 250_000
+MAX_PAIRS = 250_000
 DECODE_BLOCK = 2048
 
 
@@ -43,14 +45,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def piece_pattern(pattern: str, last: int = 0x10FFFF) -> re.Pattern:
+def piece_pattern(pattern: str, last: int = 0xFFFF) -> re.Pattern:
     r"""A splitting pattern for ``re``: \p{L}, \p{N}, \s and \S become explicit ranges.
 
     White space is the Unicode property, which is not what ``re`` takes for ``\s``. ``last`` is
     the last code point that texts may hold; classes within 16 bits are table lookups.
     """
-    import regex
-
     points = "".join(chr(c) for c in range(last + 1) if not 0xD800 <= c < 0xE000)
 
     def ranges(kind: str) -> str:
@@ -97,24 +97,11 @@ class Transducer:
             self.token_at[node] = rank
         self.own: dict[int, tuple[bytes, bytes] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        """Only the state at the start of a piece is left; its number is 0."""
         start = (((), -1, 0),)
         self.states = {start: 0}
         self.members = [start]
         self.ends: list[tuple[int, ...] | None] = [()]
-        self.steps.clear()
-
-    def _state(self, key: tuple) -> int:
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = len(self.members)
-            self.members.append(key)
-            self.ends.append(next((owed for owed, _, node in key if node == 0), None))
-        return state
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def halves(self, token: int) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token; None for bytes and for tokens that merging
@@ -148,9 +135,8 @@ class Transducer:
         known = self.pairs.get(pair)
         if known is None:
             known = self.stands_alone(token) and not self._merges_over(before, token)
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            self.pairs[pair] = known
+            if len(self.pairs) < MAX_PAIRS:
+                self.pairs[pair] = known
         return known
 
     def _merges_over(self, left: int, right: int) -> bool:
@@ -193,7 +179,11 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """A deterministic step, computed when it is first needed."""
         emitted, key = self._settle(self._advance(self.members[state], byte))
-        target = self._state(key)
+        target = self.states.get(key)
+        if target is None:
+            target = self.states[key] = len(self.members)
+            self.members.append(key)
+            self.ends.append(next((owed for owed, _, node in key if node == 0), None))
         self.steps[state << 8 | byte] = step = (target, emitted)
         return step
 
@@ -203,13 +193,11 @@ class Transducer:
         if whole is not None:
             return [whole]
         state, out, steps = 0, [], self.steps
-        for byte in piece:
+        for at, byte in enumerate(piece):
             step = steps.get(state << 8 | byte)
             if step is None:
                 if len(self.members) >= self.max_states:
-                    here = self.members[state]
-                    self._forget()
-                    state = self._state(here)
+                    return out + self._follow(state, piece, at)
                 step = self._step(state, byte)
             state, emitted = step
             if emitted:
@@ -217,6 +205,17 @@ class Transducer:
         out += self.ends[state]
         return out
 
+    def _follow(self, state: int, piece: bytes, at: int) -> list[int]:
+        """The rest of a piece by its paths, where the table of states is full."""
+        paths, out = self.members[state], []
+        for byte in piece[at:]:
+            paths = self._advance(paths, byte)
+            if len(paths[0][0]) > 32:
+                emitted, paths = self._settle(paths)
+                out += emitted
+        out += next(owed for owed, _, node in paths if node == 0)
+        return out
+
 
 class Encoder:
     """Encodes whole texts: splits them into pieces and keeps the ids of pieces seen before."""
@@ -224,25 +223,22 @@ class Encoder:
     def __init__(self, rank_file: str, pattern: str, max_pieces: int = MAX_PIECES,
                  max_states: int = MAX_STATES):
         self.transducer = Transducer(load_ranks(rank_file), max_states)
-        self.pattern = pattern
-        self.splits: dict[int, re.Pattern] = {}     # compiled when a text needs them
+        self.split_16_bit = piece_pattern(pattern)
+        # Explicit classes of all planes would take 90 MB to compile; few texts need them.
+        self.split_any = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(
+            r"\S", r"\P{White_Space}"))
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
 
     def _packed(self, piece: str) -> bytes:
         ids = array("i", self.transducer.encode(piece.encode())).tobytes()
-        if len(piece) <= 64:
-            if len(self.known) >= self.max_pieces:
-                self.known.clear()
-            self.known[piece] = ids
+        if len(self.known) < self.max_pieces and len(piece) <= 64:
+            self.known[piece] = ids         # early pieces are the frequent ones, and stay
         return ids
 
     def pieces(self, text: str) -> list[str]:
         narrow = text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
-        last = 0xFFFF if narrow else 0x10FFFF
-        if last not in self.splits:
-            self.splits[last] = piece_pattern(self.pattern, last)
-        return self.splits[last].findall(text)
+        return (self.split_16_bit if narrow else self.split_any).findall(text)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a text; none for null and empty texts."""
