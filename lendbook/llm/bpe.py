@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from lendbook.llm.common import kept_in_worker
 
 #: Bounds of what a worker keeps; beyond them it computes anew what it did not keep.
-MAX_STATES = 60_000
-MAX_PIECES = 250_000
-MAX_PAIRS = 250_000
+MAX_STATES = 50_000
+MAX_PIECES = 200_000
+MAX_PAIRS = 150_000
 DECODE_BLOCK = 2048
 
 
