@@ -8,10 +8,17 @@ itself and ends the chunks before and after it. Chunks of several lines, or one
 that occur more than once in all documents are kept where they come first and removed elsewhere,
 after their bytes have been compared with the kept ones.
 
-Only DataFrame functions are used. Chunk digests are shuffled without texts. Whole texts are
-shuffled once, to meet the numbers of their chunks that repeat, and written. From there the texts
-of these chunks alone, each once, meet the one that is kept; a chunk that differs from it, though
-its digest does not, stays.
+The first and the last chunk of a pasted passage take in lines of the text around it, and a passage
+of few lines may hold no boundary at all. So the pairs of neighbouring lines are counted as well: a
+line is covered if it is in a chunk that goes or in a pair that stood before, and an unbroken
+stretch of covered lines goes if it has ``MIN_WORDS`` words. This takes what is left of a passage
+on both sides of its chunks, and passages without a whole chunk. Every line that goes has an equal
+one that stays, at an earlier place.
+
+Only DataFrame functions are used. Digests of chunks and pairs are shuffled without texts. Whole
+texts are shuffled once, to meet the numbers of their chunks and pairs that repeat, and written.
+From there the texts of these alone meet the ones that are kept; what differs from them, though its
+digest does not, stays. Pairs inside of chunks that go are not compared again.
 """
 
 from __future__ import annotations
@@ -25,12 +32,14 @@ BASE = 31                   # of the hash that rolls over two lines
 #: Code points from which a line is a passage by itself; fifty words are about 300.
 LONG_LINE = 200
 MIN_LINES = 2
+#: Words of a stretch of repeated lines that goes though it is not made of whole chunks.
+MIN_WORDS = 50
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def _line_hash(line: Column) -> Column:
-    """The first 32 bits of the line's digest."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+def _line_hash(digest: Column) -> Column:
+    """The first 32 bits of a line's digest."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
 def _rolled(hashes: Column) -> Column:
@@ -42,30 +51,66 @@ def _rolled(hashes: Column) -> Column:
 def _ends_after(lines: Column, rolled: Column, at: Column) -> Column:
     """Whether a chunk ends after line ``at`` (from 0); there is a line after it."""
     own, before, after = rolled[at], F.get(rolled, at - 1), rolled[at + 1]
-    return F.coalesce((own < before) & (own <= after), F.lit(False)) | (
-        F.length(lines[at]) >= LONG_LINE) | (F.length(lines[at + 1]) >= LONG_LINE)
+    return F.coalesce((own < before) & (own <= after), F.lit(False)) | _long(
+        lines[at]) | _long(lines[at + 1])
+
+
+def _long(line: Column) -> Column:
+    return F.length(line) >= LONG_LINE
+
+
+def _filled(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANK)) != ""
 
 
 def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFrame:
-    """Add the chunks of a text: array of (text, lines, lines that are not blank).
+    """Add the chunks of a text: array of (text, start, lines, lines that are not blank).
 
-    Null texts have no chunks. Joining the texts by a newline gives the text back.
+    Null texts have no chunks. Joining the texts by a newline gives the text back. The lines and
+    their digests come along as ``_lines`` and ``_digests``.
     """
     split = docs.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    hashed = split.withColumn("_hashes", F.transform("_lines", _line_hash)).withColumn(
-        "_rolled", _rolled(F.col("_hashes")))
+    hashed = split.withColumn("_digests", F.transform("_lines", F.md5)).withColumn(
+        "_rolled", _rolled(F.transform("_digests", _line_hash)))
     lines, rolled = F.col("_lines"), F.col("_rolled")
     starts = hashed.withColumn("_starts", F.filter(
         F.sequence(F.lit(0), F.size(lines) - 1),
         lambda at: (at == 0) | _ends_after(lines, rolled, at - 1)))
 
-    parts = starts.withColumn("_parts", F.transform("_starts", lambda start, place: F.slice(
-        lines, start + 1, F.coalesce(F.get(F.col("_starts"), place + 1), F.size(lines)) - start)))
+    parts = starts.withColumn("_parts", F.transform("_starts", lambda start, place: F.struct(
+        start.alias("start"), F.slice(lines, start + 1, F.coalesce(
+            F.get(F.col("_starts"), place + 1), F.size(lines)) - start).alias("lines"))))
     chunk = F.transform("_parts", lambda part: F.struct(
-        F.array_join(part, "\n").alias("text"), F.size(part).alias("n_lines"),
-        F.size(F.filter(part, lambda line: F.btrim(line, F.lit(_BLANK)) != "")).alias("filled")))
+        F.array_join(part["lines"], "\n").alias("text"), part["start"].alias("start"),
+        F.size(part["lines"]).alias("n_lines"),
+        F.size(F.filter(part["lines"], _filled)).alias("filled")))
     return parts.withColumn(into, F.when(F.col(text_col).isNotNull(), chunk)).drop(
-        "_lines", "_hashes", "_rolled", "_starts", "_parts")
+        "_rolled", "_starts", "_parts")
+
+
+def _chunk_units() -> Column:
+    """(pair, at, key) of the chunks; no key where a chunk is too little to be removed."""
+    return F.transform("_chunks", lambda chunk, number: F.struct(
+        F.lit(False).alias("pair"), number.alias("at"),
+        F.when((chunk["filled"] >= MIN_LINES) | (chunk["filled"] > 0) & _long(chunk["text"]),
+               F.unhex(F.md5(chunk["text"]))).alias("key")))
+
+
+def _pair_units() -> Column:
+    """(pair, at, key) of every line and the next one, by the first line's number (from 0).
+
+    No key where both are long, as these are chunks of their own, or where both are blank.
+    """
+    lines, digests = F.col("_lines"), F.col("_digests")
+
+    def unit(line: Column, at: Column) -> Column:
+        after = F.get(lines, at + 1)
+        counts = after.isNotNull() & ~(_long(line) & _long(after)) & (
+            _filled(line) | _filled(after))
+        return F.struct(F.lit(True).alias("pair"), at.alias("at"), F.when(counts, F.unhex(F.md5(
+            F.concat(F.get(digests, at), F.get(digests, at + 1))))).alias("key"))
+
+    return F.transform(lines, unit)
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -75,13 +120,13 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Chunks of (doc_id, _id, text) that may be removed: both ids, place in the text, digest."""
+    """What may be removed of (doc_id, _id, text): both ids, whether a pair of lines or a chunk,
+    its number in the text, and its digest."""
     # The outer form: for the other, the optimizer would compute the chunks once more in a filter
     # on the scan, with every step of theirs inside the loops of the next.
-    return with_chunks(docs, "text").select("doc_id", "_id", F.posexplode_outer("_chunks").alias(
-        "chunk_no", "chunk")).where((F.col("chunk.filled") >= MIN_LINES) | (
-            F.col("chunk.filled") > 0) & (F.length("chunk.text") >= LONG_LINE)).select(
-        "doc_id", "_id", "chunk_no", F.unhex(F.md5("chunk.text")).alias("key"))
+    return with_chunks(docs, "text").select("doc_id", "_id", F.explode_outer(F.concat(
+        _chunk_units(), _pair_units())).alias("unit")).select("doc_id", "_id", "unit.*").where(
+        "key IS NOT NULL")
 
 
 def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -91,68 +136,131 @@ def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     null and have no lines. Rows equal in id and text are one document; of other rows with equal
     ids, as of those with null ids, which are smaller than all others, the one with the smaller
     digest of its text comes first. A text of which everything is removed becomes empty. Other
-    columns are not read; an empty table gives an empty result.
+    columns are not read; an empty table gives an empty result. Two neighbouring blank lines are
+    no pair, so three blank lines or more end a stretch.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rewrite(texts).select("doc_id", "text", "n_lines", "n_chunks_removed")
+    return rewrite(texts).select("doc_id", "text", *COUNTS)
+
+
+#: Counts that ``rewrite`` adds: lines of the text, chunks removed whole, lines removed in all.
+COUNTS = ("n_lines", "n_chunks_removed", "n_lines_removed")
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any others) with the text of ``remove_repeated`` in place.
 
-    Columns are named ``n_lines`` and ``n_chunks_removed`` besides; they replace any of that name.
+    Columns are named as in ``COUNTS`` besides; they replace any of that name.
     """
     rows = docs.withColumn("_id", _row_key(F.col("doc_id"), F.col("text")))
     seen = occurrences(rows.select("doc_id", "_id", "text"))
-    place = F.struct("doc_id", "_id", "chunk_no")
+    place = F.struct("doc_id", "_id", "pair", "at")
     repeated = cut_lineage(seen.groupBy("key").agg(
         F.min(place).alias("first"), F.max(place).alias("_last")).where(
         "first < _last").select("key", "first"))
     marks = seen.join(repeated, "key").groupBy("_id").agg(F.collect_set(F.struct(
-        "chunk_no", (place == F.col("first")).alias("stays"), "key")).alias("_marks"))
+        "pair", "at", (place == F.col("first")).alias("stays"), "key")).alias("_marks"))
     held = cut_lineage(rows.join(marks, "_id", "left"))
     other = _differing(held)
     if other.isEmpty():
-        held = held.withColumn("_other", F.lit(None).cast("array<int>"))
+        held = held.withColumn("_other", F.array().cast("array<struct<pair:boolean,at:int>>"))
     else:
-        held = held.join(other.groupBy("_id").agg(F.collect_set("chunk_no").alias("_other")),
-                         "_id", "left")
+        held = held.join(other.groupBy("_id").agg(F.collect_set(
+            F.struct("pair", "at")).alias("_other")), "_id", "left")
     return _without(with_chunks(held, "text")).select(
-        *[c for c in docs.columns if c not in ("n_lines", "n_chunks_removed")],
-        "n_lines", "n_chunks_removed")
+        *[c for c in docs.columns if c not in COUNTS], *COUNTS)
+
+
+def _numbers(marks: str, pair: bool) -> Column:
+    """Numbers of the chunks, or pairs, among marks that do not stay; none without marks."""
+    return F.coalesce(F.transform(F.filter(marks, lambda mark: (
+        mark["pair"] == pair) & ~(mark["stays"] if marks == "_marks" else F.lit(False))),
+        lambda mark: mark["at"]), F.array().cast("array<int>"))
+
+
+def _lines_of(chunks: str) -> Column:
+    """Numbers of the lines in chunks given by their numbers."""
+    return F.flatten(F.transform(chunks, lambda number: F.sequence(
+        F.get(F.col("_chunks"), number)["start"],
+        F.get(F.col("_chunks"), number)["start"]
+        + F.get(F.col("_chunks"), number)["n_lines"] - 1)))
+
+
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """Add ``_later``, the chunks that stood before, and ``_inside``, the pairs within them."""
+    claimed = rows.withColumn("_later", _numbers("_marks", False)).withColumn(
+        "_claimed", _lines_of("_later"))
+    return claimed.withColumn("_inside", F.array_intersect(
+        "_claimed", F.transform("_claimed", lambda at: at - 1))).drop("_claimed")
 
 
 def _differing(held: DataFrame) -> DataFrame:
-    """(_id, chunk_no) of chunks whose bytes are not those of the kept chunk with their digest."""
-    marked = with_chunks(held.where("_marks IS NOT NULL").select("_id", "text", "_marks"), "text")
-    texts = marked.select("_id", F.explode_outer(F.transform("_marks", lambda mark: F.struct(
-        mark["chunk_no"].alias("chunk_no"), mark["stays"].alias("stays"),
-        mark["key"].alias("key"), F.get(F.col("_chunks"), mark["chunk_no"])["text"].alias(
-            "chunk_text")))).alias("c")).select("_id", "c.*")
-    kept = texts.where("stays").groupBy("key").agg(F.min("chunk_text").alias("kept_text"))
+    """(_id, pair, at) of chunks and pairs whose bytes are not those that are kept by their
+    digest."""
+    marked = _with_repeats(with_chunks(held.where("_marks IS NOT NULL").select(
+        "_id", "text", "_marks"), "text"))
+
+    def compared(mark: Column) -> Column:
+        at = mark["at"]
+        text = F.when(mark["pair"], F.concat_ws(
+            "\n", F.get(F.col("_lines"), at), F.get(F.col("_lines"), at + 1))).otherwise(
+            F.get(F.col("_chunks"), at)["text"])
+        return F.struct(mark["pair"].alias("pair"), at.alias("at"), mark["stays"].alias("stays"),
+                        mark["key"].alias("key"), text.alias("unit_text"))
+
+    needed = F.filter("_marks", lambda mark: ~mark["pair"] | mark["stays"] | ~F.array_contains(
+        F.col("_inside"), mark["at"]))
+    texts = marked.select("_id", F.explode_outer(F.transform(needed, compared)).alias("u")).select(
+        "_id", "u.*")
+    kept = texts.where("stays").groupBy("key").agg(F.min("unit_text").alias("kept_text"))
     return cut_lineage(texts.where("NOT stays").join(kept, "key").where(
-        "chunk_text <> kept_text").select("_id", "chunk_no").distinct())
+        "unit_text <> kept_text").select("_id", "pair", "at").distinct())
+
+
+def _stretches(numbers: str) -> Column:
+    """(first, last) of the unbroken stretches of sorted, distinct numbers."""
+    every = F.col(numbers)
+    firsts = F.filter(every, lambda own, at: ~F.coalesce(
+        F.get(every, at - 1) == own - 1, F.lit(False)))
+    lasts = F.filter(every, lambda own, at: ~F.coalesce(
+        F.get(every, at + 1) == own + 1, F.lit(False)))
+    return F.zip_with(firsts, lasts, lambda first, last: F.struct(
+        first.alias("first"), last.alias("last")))
 
 
 def _without(rows: DataFrame) -> DataFrame:
-    """Chunks that are marked, do not stay and do not differ leave the text."""
-    gone = F.array_except(
-        F.transform(F.filter("_marks", lambda mark: ~mark["stays"]),
-                    lambda mark: mark["chunk_no"]),
-        F.coalesce("_other", F.array().cast("array<int>")))
-    staying = F.filter("_chunks", lambda chunk, place: ~F.coalesce(
-        F.array_contains(F.col("_gone"), place), F.lit(False)))
-    left = rows.withColumn("_gone", gone).withColumn("_staying", staying)
-    text = F.array_join(F.transform("_staying", lambda chunk: chunk["text"]), "\n")
-    n_lines = F.coalesce(F.aggregate("_chunks", F.lit(0), lambda total, chunk: (
-        total + chunk["n_lines"]).cast("int")), F.lit(0))
-    removed = F.coalesce(F.size("_chunks") - F.size("_staying"), F.lit(0))
+    """Marked chunks that do not stay or differ leave the text, and long stretches of lines."""
+    lines = F.col("_lines")
+
+    def words(stretch: Column) -> Column:
+        within = F.slice(lines, stretch["first"] + 1, stretch["last"] - stretch["first"] + 1)
+        return F.size(F.filter(F.split(F.array_join(within, " "), r"[\x20\x09-\x0D]+"),
+                               lambda word: word != ""))
+
+    found = _with_repeats(rows).withColumn(
+        "_gone_chunks", F.array_except("_later", _numbers("_other", False))).withColumn(
+        "_in_chunks", _lines_of("_gone_chunks")).withColumn(
+        "_pairs", F.array_except(F.array_except(_numbers("_marks", True), "_inside"),
+                                 _numbers("_other", True)))
+    covered = found.withColumn("_covered", F.sort_array(F.array_union("_in_chunks", F.flatten(
+        F.transform("_pairs", lambda at: F.array(at, at + 1))))))
+    gone = covered.withColumn("_wordy", F.filter(
+        _stretches("_covered"), lambda stretch: words(stretch) >= MIN_WORDS)).withColumn(
+        "_gone", F.sort_array(F.array_union("_in_chunks", F.flatten(F.transform(
+            "_wordy", lambda stretch: F.sequence(stretch["first"], stretch["last"])))))).withColumn(
+        "_gaps", _stretches("_gone"))
+    # What stays lies between the stretches that go.
+    staying = F.flatten(F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform("_gaps", lambda gap: gap["last"] + 1)),
+        F.concat(F.transform("_gaps", lambda gap: gap["first"]), F.array(F.size(lines))),
+        lambda start, end: F.slice(lines, start + 1, end - start)))
+    has_text = F.col("text").isNotNull()
     # Through a generated row, so that a filter on the result stays above it. Else the optimizer
     # would compute the text again in a filter on the scan, with every step inside the next.
     result = F.explode_outer(F.array(F.struct(
-        F.when(F.col("text").isNotNull(), text).alias("text"),
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("_chunks").isNotNull(), removed).otherwise(F.lit(0)).cast("long")
-        .alias("n_chunks_removed"))))
-    names = [c for c in rows.columns if c not in ("text", "n_lines", "n_chunks_removed")]
-    return left.select(*names, result.alias("_result")).select(*names, "_result.*")
+        F.when(has_text, F.array_join(staying, "\n")).alias("text"),
+        F.when(has_text, F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
+        F.size("_gone_chunks").cast("long").alias("n_chunks_removed"),
+        F.size("_gone").cast("long").alias("n_lines_removed"))))
+    names = [c for c in rows.columns if c not in ("text", *COUNTS)]
+    return gone.select(*names, result.alias("_result")).select(*names, "_result.*")

@@ -132,14 +132,40 @@ chunks AS (
 ranked AS (
     SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_no) > 1
         AND (filled >= 2 OR (length(chunk) >= 200 AND filled > 0)) AS gone
-    FROM chunks)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN
-           coalesce(string_agg(chunk, chr(10) ORDER BY chunk_no) FILTER (WHERE NOT gone), '') END
-           AS text,
-       coalesce(sum(n_lines), 0)::BIGINT AS n_lines,
-       count(*) FILTER (WHERE gone)::BIGINT AS n_chunks_removed
-FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id
-GROUP BY d.doc_id, d.text
+    FROM chunks),
+pairs AS (
+    SELECT doc_id, pos, line || chr(10) || next_line AS pair
+    FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM lines)
+    WHERE next_line IS NOT NULL AND NOT (length(line) >= 200 AND length(next_line) >= 200)
+      AND regexp_matches(line || next_line, '[^ \t\n\x0b\f\r]')),
+later AS (
+    SELECT doc_id, pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) AS place FROM pairs)
+    WHERE place > 1),
+told AS (
+    SELECT n.doc_id, n.pos, n.line, r.gone,
+           r.gone OR EXISTS (FROM later l WHERE l.doc_id = n.doc_id AND l.pos = n.pos)
+           OR EXISTS (FROM later l WHERE l.doc_id = n.doc_id AND l.pos + 1 = n.pos) AS covered
+    FROM numbered n JOIN ranked r USING (doc_id, chunk_no)),
+stretched AS (
+    SELECT *, sum((NOT covered)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS stretch,
+           len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+    FROM told),
+judged AS (
+    SELECT *, gone OR covered AND sum(words) FILTER (WHERE covered) OVER (
+        PARTITION BY doc_id, stretch) >= 50 AS goes
+    FROM stretched),
+left_over AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT goes) AS text,
+           count(*) AS n_lines, count(*) FILTER (WHERE goes) AS n_lines_removed
+    FROM judged GROUP BY doc_id),
+chunks_gone AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_chunks_removed FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text,
+       coalesce(o.n_lines, 0)::BIGINT AS n_lines,
+       coalesce(g.n_chunks_removed, 0)::BIGINT AS n_chunks_removed,
+       coalesce(o.n_lines_removed, 0)::BIGINT AS n_lines_removed
+FROM documents d LEFT JOIN left_over o USING (doc_id) LEFT JOIN chunks_gone g USING (doc_id)
 """
 
 _TERMS = r"""regexp_extract_all(
