@@ -48,52 +48,51 @@ def _rolled(hashes: Column) -> Column:
         F.get(hashes, at - 1), F.lit(0)) * BASE + own)
 
 
-def _ends_after(lines: Column, rolled: Column, at: Column) -> Column:
+def _ends_after(lengths: Column, rolled: Column, at: Column) -> Column:
     """Whether a chunk ends after line ``at`` (from 0); there is a line after it."""
     own, before, after = rolled[at], F.get(rolled, at - 1), rolled[at + 1]
-    return F.coalesce((own < before) & (own <= after), F.lit(False)) | _long(
-        lines[at]) | _long(lines[at + 1])
-
-
-def _long(line: Column) -> Column:
-    return F.length(line) >= LONG_LINE
-
-
-def _filled(line: Column) -> Column:
-    return F.btrim(line, F.lit(_BLANK)) != ""
+    return F.coalesce((own < before) & (own <= after), F.lit(False)) | (
+        lengths[at] >= LONG_LINE) | (lengths[at + 1] >= LONG_LINE)
 
 
 def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFrame:
-    """Add the chunks of a text: array of (text, start, lines, lines that are not blank).
+    """Add the chunks of a text: array of (start, n_lines), lines counted from 0.
 
-    Null texts have no chunks. Joining the texts by a newline gives the text back. The lines and
-    their digests come along as ``_lines`` and ``_digests``.
+    Null texts have no chunks. The lines, their digests and their lengths come along as ``_lines``,
+    ``_digests`` and ``_lengths``. What is asked of every line is computed once.
     """
     split = docs.withColumn("_lines", F.split(F.col(text_col), "\n"))
     hashed = split.withColumn("_digests", F.transform("_lines", F.md5)).withColumn(
+        "_lengths", F.transform("_lines", F.length)).withColumn(
         "_rolled", _rolled(F.transform("_digests", _line_hash)))
-    lines, rolled = F.col("_lines"), F.col("_rolled")
+    lengths, rolled = F.col("_lengths"), F.col("_rolled")
     starts = hashed.withColumn("_starts", F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda at: (at == 0) | _ends_after(lines, rolled, at - 1)))
+        F.sequence(F.lit(0), F.size(lengths) - 1),
+        lambda at: (at == 0) | _ends_after(lengths, rolled, at - 1)))
+    chunk = F.transform("_starts", lambda start, place: F.struct(
+        start.alias("start"), (F.coalesce(F.get(F.col("_starts"), place + 1), F.size(lengths))
+                               - start).alias("n_lines")))
+    return starts.withColumn(into, chunk).drop("_rolled", "_starts")
 
-    parts = starts.withColumn("_parts", F.transform("_starts", lambda start, place: F.struct(
-        start.alias("start"), F.slice(lines, start + 1, F.coalesce(
-            F.get(F.col("_starts"), place + 1), F.size(lines)) - start).alias("lines"))))
-    chunk = F.transform("_parts", lambda part: F.struct(
-        F.array_join(part["lines"], "\n").alias("text"), part["start"].alias("start"),
-        F.size(part["lines"]).alias("n_lines"),
-        F.size(F.filter(part["lines"], _filled)).alias("filled")))
-    return parts.withColumn(into, F.when(F.col(text_col).isNotNull(), chunk)).drop(
-        "_rolled", "_starts", "_parts")
+
+def _of(values: str, chunk: Column) -> Column:
+    """The part of an array by line that belongs to a chunk."""
+    return F.slice(F.col(values), chunk["start"] + 1, chunk["n_lines"])
 
 
 def _chunk_units() -> Column:
     """(pair, at, key) of the chunks; no key where a chunk is too little to be removed."""
-    return F.transform("_chunks", lambda chunk, number: F.struct(
-        F.lit(False).alias("pair"), number.alias("at"),
-        F.when((chunk["filled"] >= MIN_LINES) | (chunk["filled"] > 0) & _long(chunk["text"]),
-               F.unhex(F.md5(chunk["text"]))).alias("key")))
+    def unit(chunk: Column, number: Column) -> Column:
+        filled = F.size(F.filter(_of("_filled", chunk), lambda line: line))
+        length = F.aggregate(_of("_lengths", chunk), chunk["n_lines"] - 1,
+                             lambda total, own: total + own)
+        counts = F.when(filled >= MIN_LINES, True).otherwise(
+            (filled > 0) & (length >= LONG_LINE))
+        key = F.unhex(F.md5(F.array_join(_of("_digests", chunk), "\n")))
+        return F.struct(F.lit(False).alias("pair"), number.alias("at"),
+                        F.when(counts, key).alias("key"))
+
+    return F.transform("_chunks", unit)
 
 
 def _pair_units() -> Column:
@@ -101,16 +100,17 @@ def _pair_units() -> Column:
 
     No key where both are long, as these are chunks of their own, or where both are blank.
     """
-    lines, digests = F.col("_lines"), F.col("_digests")
+    lengths, filled = F.col("_lengths"), F.col("_filled")
 
-    def unit(line: Column, at: Column) -> Column:
-        after = F.get(lines, at + 1)
-        counts = after.isNotNull() & ~(_long(line) & _long(after)) & (
-            _filled(line) | _filled(after))
-        return F.struct(F.lit(True).alias("pair"), at.alias("at"), F.when(counts, F.unhex(F.md5(
-            F.concat(F.get(digests, at), F.get(digests, at + 1))))).alias("key"))
+    def unit(digest: Column, at: Column) -> Column:
+        after = F.get(F.col("_digests"), at + 1)
+        counts = after.isNotNull() & (
+            (F.get(lengths, at) < LONG_LINE) | (F.get(lengths, at + 1) < LONG_LINE)) & (
+            F.get(filled, at) | F.get(filled, at + 1))
+        return F.struct(F.lit(True).alias("pair"), at.alias("at"),
+                        F.when(counts, F.unhex(F.md5(F.concat(digest, after)))).alias("key"))
 
-    return F.transform(lines, unit)
+    return F.transform("_digests", unit)
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -124,7 +124,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     its number in the text, and its digest."""
     # The outer form: for the other, the optimizer would compute the chunks once more in a filter
     # on the scan, with every step of theirs inside the loops of the next.
-    return with_chunks(docs, "text").select("doc_id", "_id", F.explode_outer(F.concat(
+    # A line is blank if nothing is left of it from the left: only its first characters are read.
+    chunks = with_chunks(docs, "text").withColumn("_filled", F.transform(
+        "_lines", lambda line: F.ltrim(line, F.lit(_BLANK)) != ""))
+    return chunks.select("doc_id", "_id", F.explode_outer(F.concat(
         _chunk_units(), _pair_units())).alias("unit")).select("doc_id", "_id", "unit.*").where(
         "key IS NOT NULL")
 
@@ -167,7 +170,8 @@ def rewrite(docs: DataFrame) -> DataFrame:
     else:
         held = held.join(other.groupBy("_id").agg(F.collect_set(
             F.struct("pair", "at")).alias("_other")), "_id", "left")
-    return _without(with_chunks(held, "text")).select(
+    marked = held.withColumn("_marked", F.when(F.col("_marks").isNotNull(), F.col("text")))
+    return _without(with_chunks(marked, "_marked")).select(
         *[c for c in docs.columns if c not in COUNTS], *COUNTS)
 
 
@@ -204,7 +208,7 @@ def _differing(held: DataFrame) -> DataFrame:
         at = mark["at"]
         text = F.when(mark["pair"], F.concat_ws(
             "\n", F.get(F.col("_lines"), at), F.get(F.col("_lines"), at + 1))).otherwise(
-            F.get(F.col("_chunks"), at)["text"])
+            F.array_join(_of("_lines", F.get(F.col("_chunks"), at)), "\n"))
         return F.struct(mark["pair"].alias("pair"), at.alias("at"), mark["stays"].alias("stays"),
                         mark["key"].alias("key"), text.alias("unit_text"))
 
@@ -229,7 +233,10 @@ def _stretches(numbers: str) -> Column:
 
 
 def _without(rows: DataFrame) -> DataFrame:
-    """Marked chunks that do not stay or differ leave the text, and long stretches of lines."""
+    """Marked chunks that do not stay or differ leave the text, and long stretches of lines.
+
+    Texts without marks, which have no lines here, pass as they are.
+    """
     lines = F.col("_lines")
 
     def words(stretch: Column) -> Column:
@@ -254,13 +261,15 @@ def _without(rows: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit(0)), F.transform("_gaps", lambda gap: gap["last"] + 1)),
         F.concat(F.transform("_gaps", lambda gap: gap["first"]), F.array(F.size(lines))),
         lambda start, end: F.slice(lines, start + 1, end - start)))
-    has_text = F.col("text").isNotNull()
+    is_marked = F.col("_marked").isNotNull()
+    newlines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     # Through a generated row, so that a filter on the result stays above it. Else the optimizer
     # would compute the text again in a filter on the scan, with every step inside the next.
     result = F.explode_outer(F.array(F.struct(
-        F.when(has_text, F.array_join(staying, "\n")).alias("text"),
-        F.when(has_text, F.size(lines)).otherwise(0).cast("long").alias("n_lines"),
-        F.size("_gone_chunks").cast("long").alias("n_chunks_removed"),
-        F.size("_gone").cast("long").alias("n_lines_removed"))))
+        F.when(is_marked, F.array_join(staying, "\n")).otherwise(F.col("text")).alias("text"),
+        F.coalesce(newlines + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(is_marked, F.size("_gone_chunks")).otherwise(0).cast("long").alias(
+            "n_chunks_removed"),
+        F.when(is_marked, F.size("_gone")).otherwise(0).cast("long").alias("n_lines_removed"))))
     names = [c for c in rows.columns if c not in ("text", *COUNTS)]
     return gone.select(*names, result.alias("_result")).select(*names, "_result.*")
