@@ -64,7 +64,8 @@ def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFr
     split = docs.withColumn("_lines", F.split(F.col(text_col), "\n"))
     hashed = split.withColumn("_digests", F.transform("_lines", F.md5)).withColumn(
         "_lengths", F.transform("_lines", F.length)).withColumn(
-        "_rolled", _rolled(F.transform("_digests", _line_hash)))
+        "_hashes", F.transform("_digests", _line_hash)).withColumn(
+        "_rolled", _rolled(F.col("_hashes")))
     lengths, rolled = F.col("_lengths"), F.col("_rolled")
     starts = hashed.withColumn("_starts", F.filter(
         F.sequence(F.lit(0), F.size(lengths) - 1),
@@ -72,7 +73,7 @@ def with_chunks(docs: DataFrame, text_col: str, into: str = "_chunks") -> DataFr
     chunk = F.transform("_starts", lambda start, place: F.struct(
         start.alias("start"), (F.coalesce(F.get(F.col("_starts"), place + 1), F.size(lengths))
                                - start).alias("n_lines")))
-    return starts.withColumn(into, chunk).drop("_rolled", "_starts")
+    return starts.withColumn(into, chunk).drop("_hashes", "_rolled", "_starts")
 
 
 def _of(values: str, chunk: Column) -> Column:
@@ -212,8 +213,10 @@ def _differing(held: DataFrame) -> DataFrame:
         return F.struct(mark["pair"].alias("pair"), at.alias("at"), mark["stays"].alias("stays"),
                         mark["key"].alias("key"), text.alias("unit_text"))
 
-    needed = F.filter("_marks", lambda mark: ~mark["pair"] | mark["stays"] | ~F.array_contains(
-        F.col("_inside"), mark["at"]))
+    # ``_inside`` as a value of the outer step: as a column it would be computed for every mark.
+    needed = F.flatten(F.transform(F.array("_inside"), lambda inside: F.filter(
+        "_marks", lambda mark: ~mark["pair"] | mark["stays"] | ~F.array_contains(
+            inside, mark["at"]))))
     texts = marked.select("_id", F.explode_outer(F.transform(needed, compared)).alias("u")).select(
         "_id", "u.*")
     kept = texts.where("stays").groupBy("key").agg(F.min("unit_text").alias("kept_text"))
