@@ -339,6 +339,18 @@ def _encoder(rank_file: str, pattern: str) -> Encoder:
     return kept_in_worker(f"bpe_{hash((rank_file, pattern))}", build)
 
 
+def _decoder(rank_file: str) -> StreamDecoder:
+    return kept_in_worker(f"utf8_{hash(rank_file)}", lambda: StreamDecoder(
+        {rank: token for token, rank in load_ranks(rank_file).items()}))
+
+
+def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in rows])])
+    return pa.ListArray.from_arrays(
+        pa.array(offsets.astype(np.int32)),
+        pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
 def encode(text: Column, rank_file: str, pattern: str) -> Column:
     """Token ids of a text column; an empty array for null and empty texts."""
 
@@ -346,11 +358,7 @@ def encode(text: Column, rank_file: str, pattern: str) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(rank_file, pattern)
         for texts in batches:
-            rows = [encoder.encode(text.as_py()) for text in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in rows])])
-            yield pa.ListArray.from_arrays(
-                pa.array(offsets.astype(np.int32)),
-                pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+            yield _id_lists([encoder.encode(text.as_py()) for text in texts])
 
     return encoded(text)
 
@@ -363,8 +371,7 @@ def decode(ids: Column, rank_file: str) -> Column:
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = kept_in_worker(f"utf8_{hash(rank_file)}", lambda: StreamDecoder(
-            {rank: token for token, rank in load_ranks(rank_file).items()}))
+        decoder = _decoder(rank_file)
         for lists in batches:
             yield pa.array([decoder.decode(np.asarray(row.values, np.int32)) if row.is_valid
                             else "" for row in lists], pa.string())
@@ -378,10 +385,19 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "
 
     Null and empty texts give no ids and an empty text. Rows pass through one by one, so
     repeated rows, null ids and other columns stay; the two columns replace any of their names.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Both steps are one function: one worker for each core,
+    with one set of tables, where two functions in a row would take two workers.
     """
-    return df.withColumn(ids_col, encode(F.col(text_col), rank_file, pattern)).withColumn(
-        decoded_col, decode(F.col(ids_col), rank_file))
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _encoder(rank_file, pattern), _decoder(rank_file)
+        for texts in batches:
+            rows = [encoder.encode(text.as_py()) for text in texts]
+            decoded = pa.array([decoder.decode(ids) for ids in rows], pa.string())
+            yield pa.StructArray.from_arrays([_id_lists(rows), decoded], ["ids", "decoded"])
+
+    return df.withColumn("_coded", coded(F.col(text_col))).withColumns({
+        ids_col: F.col("_coded.ids"), decoded_col: F.col("_coded.decoded")}).drop("_coded")
 
 
 def ids_text(ids: Column) -> Column:
