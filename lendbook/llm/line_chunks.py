@@ -15,9 +15,10 @@ stretch of covered lines goes if it has ``MIN_WORDS`` words. This takes what is
 on both sides of its chunks, and passages without a whole chunk. Every line that goes has an equal
 one that stays, at an earlier place.
 
-Only DataFrame functions are used. Digests of chunks and pairs are shuffled without texts. Whole
-texts are shuffled once, to meet the numbers of their chunks and pairs that repeat, and written.
-From there the texts of these alone meet the ones that are kept; what differs from them, though its
+Only DataFrame functions are used. Texts are cut into chunks once, to write the digests of chunks
+and pairs with their places; digests are counted, and the places of those that repeat are written
+again. Whole texts are shuffled once, to meet these places, and written. From there the texts of
+repeated chunks and pairs alone meet the ones that are kept; what differs from them, though its
 digest does not, stays. Pairs inside of chunks that go are not compared again.
 """
 
@@ -82,22 +83,23 @@ def _of(values: str, chunk: Column) -> Column:
 
 
 def _chunk_units() -> Column:
-    """(pair, at, key) of the chunks; no key where a chunk is too little to be removed."""
-    def unit(chunk: Column, number: Column) -> Column:
+    """(pair, at, n_lines, key) of the chunks, ``at`` being the first line; no key where a chunk is
+    too little to be removed."""
+    def unit(chunk: Column) -> Column:
         filled = F.size(F.filter(_of("_filled", chunk), lambda line: line))
         length = F.aggregate(_of("_lengths", chunk), chunk["n_lines"] - 1,
                              lambda total, own: total + own)
         counts = F.when(filled >= MIN_LINES, True).otherwise(
             (filled > 0) & (length >= LONG_LINE))
         key = F.unhex(F.md5(F.array_join(_of("_digests", chunk), "\n")))
-        return F.struct(F.lit(False).alias("pair"), number.alias("at"),
-                        F.when(counts, key).alias("key"))
+        return F.struct(F.lit(False).alias("pair"), chunk["start"].alias("at"),
+                        chunk["n_lines"].alias("n_lines"), F.when(counts, key).alias("key"))
 
     return F.transform("_chunks", unit)
 
 
 def _pair_units() -> Column:
-    """(pair, at, key) of every line and the next one, by the first line's number (from 0).
+    """(pair, at, n_lines, key) of every line and the next one, ``at`` being the first line.
 
     No key where both are long, as these are chunks of their own, or where both are blank.
     """
@@ -108,7 +110,7 @@ def _pair_units() -> Column:
         counts = after.isNotNull() & (
             (F.get(lengths, at) < LONG_LINE) | (F.get(lengths, at + 1) < LONG_LINE)) & (
             F.get(filled, at) | F.get(filled, at + 1))
-        return F.struct(F.lit(True).alias("pair"), at.alias("at"),
+        return F.struct(F.lit(True).alias("pair"), at.alias("at"), F.lit(2).alias("n_lines"),
                         F.when(counts, F.unhex(F.md5(F.concat(digest, after)))).alias("key"))
 
     return F.transform("_digests", unit)
@@ -122,7 +124,7 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """What may be removed of (doc_id, _id, text): both ids, whether a pair of lines or a chunk,
-    its number in the text, and its digest."""
+    its first line (from 0), how many lines it has, and its digest."""
     # The outer form: for the other, the optimizer would compute the chunks once more in a filter
     # on the scan, with every step of theirs inside the loops of the next.
     # A line is blank if nothing is left of it from the left: only its first characters are read.
@@ -157,61 +159,62 @@ def rewrite(docs: DataFrame) -> DataFrame:
     Columns are named as in ``COUNTS`` besides; they replace any of that name.
     """
     rows = docs.withColumn("_id", _row_key(F.col("doc_id"), F.col("text")))
-    seen = occurrences(rows.select("doc_id", "_id", "text"))
+    seen = cut_lineage(occurrences(rows.select("doc_id", "_id", "text")))
+    # Counted apart from the first places: a count fits a hash aggregate, a place takes a sort.
+    often = cut_lineage(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
+        "n > 1").select("key"))
+    units = cut_lineage(seen.join(often, "key"))
     place = F.struct("doc_id", "_id", "pair", "at")
-    repeated = cut_lineage(seen.groupBy("key").agg(
+    repeated = units.groupBy("key").agg(
         F.min(place).alias("first"), F.max(place).alias("_last")).where(
-        "first < _last").select("key", "first"))
-    marks = seen.join(repeated, "key").groupBy("_id").agg(F.collect_set(F.struct(
-        "pair", "at", (place == F.col("first")).alias("stays"), "key")).alias("_marks"))
+        "first < _last").select("key", "first")
+    marks = units.join(repeated, "key").groupBy("_id").agg(F.collect_set(F.struct(
+        "pair", "at", "n_lines", (place == F.col("first")).alias("stays"), "key")).alias("_marks"))
     held = cut_lineage(rows.join(marks, "_id", "left"))
     other = _differing(held)
     if other.isEmpty():
-        held = held.withColumn("_other", F.array().cast("array<struct<pair:boolean,at:int>>"))
+        held = held.withColumn("_other", F.array().cast(
+            "array<struct<pair:boolean,at:int,n_lines:int>>"))
     else:
         held = held.join(other.groupBy("_id").agg(F.collect_set(
-            F.struct("pair", "at")).alias("_other")), "_id", "left")
+            F.struct("pair", "at", "n_lines")).alias("_other")), "_id", "left")
     marked = held.withColumn("_marked", F.when(F.col("_marks").isNotNull(), F.col("text")))
-    return _without(with_chunks(marked, "_marked")).select(
+    return _without(marked.withColumn("_lines", F.split("_marked", "\n"))).select(
         *[c for c in docs.columns if c not in COUNTS], *COUNTS)
 
 
-def _numbers(marks: str, pair: bool) -> Column:
-    """Numbers of the chunks, or pairs, among marks that do not stay; none without marks."""
+def _chosen(marks: str, pair: bool) -> Column:
+    """(at, n_lines) of the chunks, or pairs, among marks that do not stay; none without marks."""
     return F.coalesce(F.transform(F.filter(marks, lambda mark: (
         mark["pair"] == pair) & ~(mark["stays"] if marks == "_marks" else F.lit(False))),
-        lambda mark: mark["at"]), F.array().cast("array<int>"))
+        lambda mark: F.struct(mark["at"].alias("at"), mark["n_lines"].alias("n_lines"))),
+        F.array().cast("array<struct<at:int,n_lines:int>>"))
 
 
-def _lines_of(chunks: str) -> Column:
-    """Numbers of the lines in chunks given by their numbers."""
-    return F.flatten(F.transform(chunks, lambda number: F.sequence(
-        F.get(F.col("_chunks"), number)["start"],
-        F.get(F.col("_chunks"), number)["start"]
-        + F.get(F.col("_chunks"), number)["n_lines"] - 1)))
+def _lines_of(units: str) -> Column:
+    """Numbers of the lines in chunks or pairs."""
+    return F.flatten(F.transform(units, lambda unit: F.sequence(
+        unit["at"], unit["at"] + unit["n_lines"] - 1)))
 
 
 def _with_repeats(rows: DataFrame) -> DataFrame:
     """Add ``_later``, the chunks that stood before, and ``_inside``, the pairs within them."""
-    claimed = rows.withColumn("_later", _numbers("_marks", False)).withColumn(
+    claimed = rows.withColumn("_later", _chosen("_marks", False)).withColumn(
         "_claimed", _lines_of("_later"))
     return claimed.withColumn("_inside", F.array_intersect(
         "_claimed", F.transform("_claimed", lambda at: at - 1))).drop("_claimed")
 
 
 def _differing(held: DataFrame) -> DataFrame:
-    """(_id, pair, at) of chunks and pairs whose bytes are not those that are kept by their
-    digest."""
-    marked = _with_repeats(with_chunks(held.where("_marks IS NOT NULL").select(
-        "_id", "text", "_marks"), "text"))
+    """(_id, pair, at, n_lines) of chunks and pairs whose bytes are not those that are kept by
+    their digest."""
+    marked = _with_repeats(held.where("_marks IS NOT NULL").select(
+        "_id", "_marks", F.split("text", "\n").alias("_lines")))
 
     def compared(mark: Column) -> Column:
-        at = mark["at"]
-        text = F.when(mark["pair"], F.concat_ws(
-            "\n", F.get(F.col("_lines"), at), F.get(F.col("_lines"), at + 1))).otherwise(
-            F.array_join(_of("_lines", F.get(F.col("_chunks"), at)), "\n"))
-        return F.struct(mark["pair"].alias("pair"), at.alias("at"), mark["stays"].alias("stays"),
-                        mark["key"].alias("key"), text.alias("unit_text"))
+        text = F.array_join(F.slice(F.col("_lines"), mark["at"] + 1, mark["n_lines"]), "\n")
+        return F.struct(*[mark[name].alias(name) for name in (
+            "pair", "at", "n_lines", "stays", "key")], text.alias("unit_text"))
 
     # ``_inside`` as a value of the outer step: as a column it would be computed for every mark.
     needed = F.flatten(F.transform(F.array("_inside"), lambda inside: F.filter(
@@ -221,7 +224,7 @@ def _differing(held: DataFrame) -> DataFrame:
         "_id", "u.*")
     kept = texts.where("stays").groupBy("key").agg(F.min("unit_text").alias("kept_text"))
     return cut_lineage(texts.where("NOT stays").join(kept, "key").where(
-        "unit_text <> kept_text").select("_id", "pair", "at").distinct())
+        "unit_text <> kept_text").select("_id", "pair", "at", "n_lines").distinct())
 
 
 def _stretches(numbers: str) -> Column:
@@ -248,12 +251,13 @@ def _without(rows: DataFrame) -> DataFrame:
                                lambda word: word != ""))
 
     found = _with_repeats(rows).withColumn(
-        "_gone_chunks", F.array_except("_later", _numbers("_other", False))).withColumn(
+        "_gone_chunks", F.array_except("_later", _chosen("_other", False))).withColumn(
         "_in_chunks", _lines_of("_gone_chunks")).withColumn(
-        "_pairs", F.array_except(F.array_except(_numbers("_marks", True), "_inside"),
-                                 _numbers("_other", True)))
-    covered = found.withColumn("_covered", F.sort_array(F.array_union("_in_chunks", F.flatten(
-        F.transform("_pairs", lambda at: F.array(at, at + 1))))))
+        "_pairs", F.array_except(F.array_except(_chosen("_marks", True), F.transform(
+            "_inside", lambda at: F.struct(at.alias("at"), F.lit(2).alias("n_lines")))),
+            _chosen("_other", True)))
+    covered = found.withColumn("_covered", F.sort_array(F.array_union(
+        "_in_chunks", _lines_of("_pairs"))))
     gone = covered.withColumn("_wordy", F.filter(
         _stretches("_covered"), lambda stretch: words(stretch) >= MIN_WORDS)).withColumn(
         "_gone", F.sort_array(F.array_union("_in_chunks", F.flatten(F.transform(
