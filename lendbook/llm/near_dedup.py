@@ -320,10 +320,15 @@ def crossing(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Da
 
     rare = pairs(first.where(F.col("df") <= HOT_SHINGLE), ["token"], F.lit(True))
     step = -math.log(SIZE_STEP)
-    reach = math.ceil(math.log(100 / percent) / step) + 1
+    reach = math.ceil(math.log(100 / percent) / step + 1e-6)
     own_class = F.floor(F.log("n") / step)
+    # The later the place, the smaller the largest partner: no class above its size is listed.
+    most_size = (F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n")
+    lowest = F.col("class") - reach
+    highest = F.least(F.col("class") + reach, F.greatest(
+        lowest, F.floor(F.log((most_size + 1) / 0.999) / step + 1e-6)))
     classed = first.where(F.col("df") > HOT_SHINGLE).withColumn("class", own_class).withColumn(
-        "partner", F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)))
+        "partner", F.explode(F.sequence(lowest, highest)))
     least_size = F.floor(F.exp(F.col("partner") * step) * 0.999)
     answering = cut_lineage(classed.where(
         F.col("place") <= F.col("n") - F.ceil((F.col("n") + least_size) * percent / (
