@@ -3,6 +3,7 @@ import warnings
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -321,6 +322,36 @@ def test_trees_cut_best_and_stop_at_min_n():
         assert G.score(trees, features) == pytest.approx(total)
 
 
+def test_ranked_cuts_score_like_values():
+    """Also values that equal a cut, a tree of one leaf, and rows that do not fill a byte."""
+    rng = np.random.default_rng(5)
+    features = rng.integers(0, 9, (203, 5)).astype(float) / 2
+    labels = (rng.random(203) < features[:, 0] / 5).astype(float)
+    sample = G.Sample.of(features, labels)
+    lone = G.Trees(1, np.array([-1]), np.zeros(1), np.zeros(1, np.int64), np.array([0.25]))
+    forests = {(2, 3): [G.grow(sample, 2, 3, 4, rng), lone], (5, 9): [G.grow(sample, 5, 9, 3, rng)]}
+    asked = np.concatenate([features, features - 0.25, [[-1e300] * 5, [1e300] * 5]])
+    cuts, placed = G.ranked(forests, 5)
+    codes = G.lower_cuts(asked, cuts)
+    assert codes.dtype == np.uint16
+    for point, forest in forests.items():
+        for trees, own in zip(forest, placed[point]):
+            plain = np.zeros(len(asked))
+            for row, values in enumerate(asked):
+                for node in range(trees.count):
+                    while trees.feature[node] >= 0:
+                        node = trees.left[node] + (values[trees.feature[node]] > trees.cut[node])
+                    plain[row] += trees.share[node]
+            assert np.array_equal(G.score(trees, asked), plain)
+            assert np.array_equal(G.score(own, codes), plain)
+
+
+def test_rows_are_scored_many_at_a_time():
+    frames = [pd.DataFrame({"a": range(n)}) for n in (3, 0, 4, 2, 1)]
+    assert [len(part) for part in G.together(iter(frames), 5)] == [7, 3]
+    assert list(G.together(iter(frames[1:2]), 5)) == []
+
+
 def test_grid_of_rows_without_a_predictor(table, tmp_path):
     folded = SP.with_folds(table, folds=2)
     holed = folded.withColumn("annual_revenue", F.when(
