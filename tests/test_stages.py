@@ -23,8 +23,8 @@ from lendbook.operators import quality as Q
 from lendbook.operators import split as SP
 from lendbook.plans import pipeline, questions, views
 from lendbook.sources import files
-from lendbook.sources.driver_tables import order_lines, workflow_days
-from lendbook.sources.star import Portfolio, plain
+from lendbook.sources.driver_tables import credit_applications, order_lines, workflow_days
+from lendbook.sources.star import Portfolio, plain, publish
 from lendbook.streaming import scoring
 
 
@@ -132,6 +132,30 @@ def test_one_order_with_most_lines(spark):
     assert [days["first_day"], days["second_day"], days["third_day"]] == expected
 
 
+def test_lines_are_not_grouped_before_they_are_dealt(spark, tmp_path):
+    """No task groups rows that hardly repeat a key, and the record is dealt once, for its buckets."""
+    asked = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "7"}
+    for name, value in asked.items():
+        spark.conf.set(name, value)
+    try:
+        record = credit_applications(spark, "/root/testdata/sf0.001", 3)
+        plan = record._jdf.queryExecution().executedPlan().toString()
+        publish(record, "lendbook_dealt", str(tmp_path / "t"), 3, dealt=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    steps = [line.strip(" :+-") for line in plan.split("\n")]
+    exchanges = [step for step in steps if step.startswith("Exchange")]
+    by_hash = [step for step in exchanges if "partkey" in step or "custkey" in step]
+    assert len(by_hash) == 4 and all(", 7)" in step for step in by_hash)
+    assert all(", 3)" in step for step in exchanges if step not in by_hash)
+    below = [steps[i + 1] for i, step in enumerate(steps) if step in exchanges]
+    assert not any("partial" in step for step in below)
+    assert len(list((tmp_path / "t").glob("*.parquet"))) == 3
+    assert spark.table("lendbook_dealt").count() == record.count()
+    spark.sql("DROP TABLE lendbook_dealt")
+
+
 def test_logistic_beats_chance_on_held_out_customers(table):
     split = SP.group_split(table).persist()
     model = M.fit_logistic(split.where("side = 'train'"))
