@@ -8,8 +8,8 @@ subset construction runs while texts are read: a deterministic state is the set
 with the tokens each still owes; what all of them owe is emitted at once. A path lives no longer
 than the longest token, which bounds the lookahead. Of all paths exactly one stands between
 tokens at any byte, so the end of a piece is never ambiguous. The table of states is bounded; when
-it is full, the rest of a piece is read by following its live paths one by one. (Emptying the full
-table was tried and is slower: the states that are needed early are needed most.)
+it is full, a piece that needs others is read by following its paths one by one, long tokens first.
+(Emptying the full table was tried and is slower: the states that are needed early are needed most.)
 
 Decoding. A state machine over bytes holds back an unfinished character and puts U+FFFD for
 invalid bytes; its steps are composed per token and kept, so a stream of ids becomes text piece
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from lendbook.llm.common import kept_in_worker
 
 #: Bounds of what a worker keeps; beyond them it computes anew what it did not keep.
-MAX_STATES = 50_000
-MAX_PIECES = 200_000
+MAX_STATES = 10_000
+MAX_PIECES = 500_000
 MAX_PAIRS = 150_000
 DECODE_BLOCK = 2048
 
@@ -83,6 +83,7 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.max_states = max_states
+        self.longest = max(map(len, ranks), default=0)
         self.children: dict[int, int] = {}
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
@@ -193,11 +194,11 @@ class Transducer:
         if whole is not None:
             return [whole]
         state, out, steps = 0, [], self.steps
-        for at, byte in enumerate(piece):
+        for byte in piece:
             step = steps.get(state << 8 | byte)
             if step is None:
                 if len(self.members) >= self.max_states:
-                    return out + self._follow(state, piece, at)
+                    return self._follow(piece, out)
                 step = self._step(state, byte)
             state, emitted = step
             if emitted:
@@ -205,15 +206,45 @@ class Transducer:
         out += self.ends[state]
         return out
 
-    def _follow(self, state: int, piece: bytes, at: int) -> list[int]:
-        """The rest of a piece by its paths, where the table of states is full."""
-        paths, out = self.members[state], []
-        for byte in piece[at:]:
-            paths = self._advance(paths, byte)
-            if len(paths[0][0]) > 32:
-                emitted, paths = self._settle(paths)
-                out += emitted
-        out += next(owed for owed, _, node in paths if node == 0)
+    def _matches(self, piece: bytes, at: int) -> list[int]:
+        """Tokens that begin at a byte of a piece, the longest last."""
+        node, found, children, token_at = 0, [], self.children, self.token_at
+        for byte in piece[at:at + self.longest]:
+            node = children.get(node << 8 | byte)
+            if node is None:
+                break
+            if token_at[node] >= 0:
+                found.append(token_at[node])
+        return found
+
+    def _follow(self, piece: bytes, out: list[int]) -> list[int]:
+        """A piece from the tokens that are certain on, by its paths, one after the other, long
+        tokens first. One path alone leads to a byte, so a byte that none leads on from is met once.
+        """
+        size, bytes_of, pairs, certain = len(piece), self.bytes_of, self.pairs, len(out)
+        at, before = sum([len(bytes_of[token]) for token in out]), out[-1] if out else -1
+        open_, dead = [self._matches(piece, at)], set()
+        while at < size:
+            options = open_[-1]
+            while options:
+                token = options.pop()
+                end = at + len(bytes_of[token])
+                if end in dead:
+                    continue
+                follows = pairs.get(before << 32 | token)
+                if follows or follows is None and self.may_follow(before, token):
+                    out.append(token)
+                    if end < size:
+                        open_.append(self._matches(piece, end))
+                    at, before = end, token
+                    break
+            else:
+                if len(out) == certain:
+                    raise ValueError("a byte is not in the vocabulary")
+                dead.add(at)
+                open_.pop()
+                at -= len(bytes_of[out.pop()])
+                before = out[-1] if out else -1
         return out
 
 

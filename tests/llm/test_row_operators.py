@@ -156,6 +156,23 @@ def test_ids_are_the_librarys(encoder, library, text):
     assert encoder.encode(text).tolist() == library.encode_ordinary(text)
 
 
+def test_full_tables_try_few_pairs(encoder, library):
+    """Without room for states, the pairs of tokens that are asked for stay few."""
+    class Counting(bpe.Transducer):
+        asked = 0
+
+        def may_follow(self, before, token):
+            self.asked += 1
+            return super().may_follow(before, token)
+
+    counting = Counting(encoder.transducer.ranks, max_states=1)
+    rnd = random.Random(8)
+    pieces = ["".join(rnd.choice("aeinrst") for _ in range(60)).encode() for _ in range(50)]
+    for piece in pieces:
+        assert counting.encode(piece) == library.encode_ordinary(piece.decode())
+    assert counting.asked < sum(map(len, pieces))
+
+
 def test_ids_with_full_tables(encoder, library):
     """More states and pieces than are kept; long pieces."""
     rnd = random.Random(5)
