@@ -52,8 +52,8 @@ def _of_model(spark: SparkSession, model: PipelineModel) -> tuple[int, str]:
     fit = model.stages[-1]
     if isinstance(fit, LogisticRegressionModel):
         fitted = [float(fit.intercept), *map(float, fit.coefficients.toArray())]
-    else:       # the trees as text: every cut and every leaf
-        fitted = fit.toDebugString.split("\n", 1)[1]
+    else:       # every cut and every leaf
+        fitted = fit.digest()
     row = spark.range(1).select(F.sha2(F.lit(repr((names, fitted))), 256)).first()
     return len(names), row[0]
 
