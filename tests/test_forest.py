@@ -23,7 +23,8 @@ def fit(rows, **other):
 
 
 @pytest.mark.parametrize("rows_per_node", [300, None])
-def test_large_nodes_are_cut_before_rows_are_dealt(spark, rows_per_node, tmp_path):
+def test_large_nodes_are_cut_before_rows_are_dealt(spark, rows_per_node, tmp_path, monkeypatch):
+    monkeypatch.setattr("lendbook.operators.forest.TREES_AT_ONCE", 4)
     rows = labelled(spark)
     forest = fit(rows, rows_per_node=rows_per_node)
     assert any(len(top.feature) > 1 for top in forest.tops.values()) == bool(rows_per_node)
