@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lendbook.operators.forest import Forest, best_bins, grow, walk
+from lendbook.operators.forest import Forest, best_bins, grow, packed, walk
 
 
 def labelled(spark, rows=4000):
@@ -89,3 +89,27 @@ def test_cuts_are_the_best_ones():
     ends = deep["feature"] < 0
     assert deep["share"][ends] == pytest.approx(bad[ends] / sizes[ends])
     assert best_bins(np.array([[5.0] + [0.0] * 31]), np.zeros((1, 32)), 1)[1][0] == -np.inf
+
+
+def test_rows_in_many_partitions_are_scored_as_one_chunk(spark, monkeypatch):
+    rows, seen = labelled(spark, 2000), []
+
+    def watched(*args):
+        seen.append(packed(*args))
+        return seen[-1]
+
+    forest = fit(rows)
+    plain = forest.score(rows, "features", "pd")
+    monkeypatch.setattr("lendbook.operators.forest.packed", watched)
+    scored = forest.score(rows.repartition(40), "features", "pd")
+    assert [chunks.count() for chunks in seen] == [1]       # 40 before: every tree met each
+    assert scored.count() == 2000 and scored.exceptAll(plain).count() == 0
+
+
+def test_rows_beyond_a_chunk_are_scored_in_several(spark, monkeypatch):
+    rows = labelled(spark, 2000)
+    forest = fit(rows)
+    plain = forest.score(rows, "features", "pd")
+    monkeypatch.setattr("lendbook.operators.forest.ROWS_AT_ONCE", 300)
+    scored = forest.score(rows, "features", "pd")
+    assert scored.count() == 2000 and scored.exceptAll(plain).count() == 0
