@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lendbook.operators import forest as module
 from lendbook.operators.forest import Forest, best_bins, grow, packed, walk
 
 
@@ -113,3 +114,26 @@ def test_rows_beyond_a_chunk_are_scored_in_several(spark, monkeypatch):
     monkeypatch.setattr("lendbook.operators.forest.ROWS_AT_ONCE", 300)
     scored = forest.score(rows, "features", "pd")
     assert scored.count() == 2000 and scored.exceptAll(plain).count() == 0
+
+
+def test_rows_of_small_trees_come_once_for_a_task(spark, monkeypatch):
+    rows = labelled(spark, 900)
+    cuts = module.quantile_cuts(rows, "features", 3)
+    chunks = module._with_labels(packed(
+        rows.withColumn("_label", F.col("default_flag").cast("byte")), "features", cuts,
+        ["_label"])).persist()
+    monkeypatch.setattr(module, "TREE_TASKS", 1)
+    tops = {tree: module.Top([-1], [0], [0], [0]) for tree in range(30)}
+    dealt = module._grow_regions(chunks, 3, tops, set(), 2, 5, 30, 3)
+    whole = module._grow_whole(chunks, 3, 30, 2, 5, 30, 3)
+    assert whole.rdd.getNumPartitions() == min(30, spark.sparkContext.defaultParallelism)
+    assert whole.count() == 30 and whole.exceptAll(dealt).count() == 0
+    chunks.unpersist()
+
+    def by_tree(*args):
+        raise AssertionError("rows are dealt by the tree")      # as they were for every forest
+
+    monkeypatch.setattr(module, "_grow_regions", by_tree)
+    assert fit(rows, trees=30).parts.select("tree").distinct().count() == 30
+    with pytest.raises(AssertionError, match="by the tree"):
+        fit(rows, rows_per_node=300)
