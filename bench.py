@@ -26,7 +26,7 @@ HEADLINE = [
     "eda_correlation", "eda_wilcoxon", "eda_chi_square", "ev_compare", "ev_calibration",
     "sc_apply", "sc_band_summary", "ml_group_split", "ml_fold_report", "ml_logistic",
     "ml_cv_metrics", "sc_apply_stream", "sc_apply_stream_model", "db_kpis",
-    "ml_rf_tuning",     # the longest, last; its fits are bounded by forest_grid.LABELLED_ROWS
+    "ml_rf_tuning",     # the longest, last; every forest is fitted on all rows outside its fold
 ]
 
 

@@ -277,6 +277,52 @@ def test_tuning_sample_is_exact_and_bounds_only_the_fit(table, tmp_path):
     assert rows == {3: folded.count(), 6: folded.count()}
 
 
+def test_tuning_fits_all_rows_unless_asked_for_fewer(table, tmp_path):
+    """Before, 2000 rows of whole customers were fitted."""
+    many = table.crossJoin(table.sparkSession.range(7)).withColumns({
+        "customer_id": F.col("customer_id") * 7 + F.col("id"),
+        "application_id": F.col("application_id") * 7 + F.col("id")}).drop("id")
+    folded, order = SP.with_folds(many, folds=2), ["application_id"]
+    assert folded.count() > 2500
+    told = [G.tune_predictions(folded, str(tmp_path / name), {"mtry": [3], "min_n": [15]}, trees=2,
+                               **asked).orderBy(*order).collect()
+            for name, asked in (("plain", {}), ("all", {"labelled_rows": 10 ** 9}),
+                                ("some", {"labelled_rows": 2000}))]
+    assert told[0] == told[1] != told[2]
+
+
+def test_rows_beyond_a_task_are_tuned_whole(table, tmp_path, monkeypatch):
+    """Nodes that are too large are cut from counts; all rows are fitted and scored."""
+    folded, grid = SP.with_folds(table, folds=2), {"mtry": [5], "min_n": [10]}
+    seen = []
+    grow = G.large_nodes
+    monkeypatch.setattr(G, "large_nodes", lambda *a: seen.append(grow(*a)) or seen[-1])
+    monkeypatch.setattr(G, "WORK_DEALT", 1500)      # several jobs
+    parts = [G.tune_predictions(folded, str(tmp_path / name), grid, trees=12, rows_per_task=rows)
+             for name, rows in (("whole", None), ("dealt", 90))]
+    assert len(seen) == 2 and all(len(top.feature) > 3 for tops, _ in seen for top in tops.values())
+    assert all(part.count() == part.select("application_id").distinct().count() == folded.count()
+               and part.where("predicted_pd BETWEEN 0 AND 1").count() == folded.count()
+               for part in parts)
+    whole, dealt = (part.select("application_id", F.col("predicted_pd").alias(name))
+                    for name, part in zip(("a", "b"), parts))
+    assert whole.join(dealt, "application_id").agg(F.corr("a", "b")).first()[0] > 0.7
+
+
+def test_many_ways_to_score_agree():
+    rng = np.random.default_rng(6)
+    features = rng.integers(0, 9, (300, 4)).astype(float)
+    labels = (rng.random(300) < features[:, 0] / 9).astype(float)
+    sample = G.Sample.of(features, labels)
+    grown = G.grow(sample, 2, 4, 5, rng)
+    plain = G.score(grown, features)
+    assert np.array_equal(G.walked(grown, features), plain)
+    many = np.concatenate([features] * 60)
+    assert np.array_equal(G.shares(grown, many), np.rint(np.tile(plain, 60) * G.UNIT))
+    assert np.array_equal(G.shares(grown, features), np.rint(plain * G.UNIT))
+    assert len(G.shares(grown, features[:0])) == 0
+
+
 def test_a_grid_goes_on_where_it_stands(spark, table, tmp_path):
     folded, place = SP.with_folds(table, folds=2), str(tmp_path / "grid")
     order = ["mtry", "min_n", "application_id"]
