@@ -137,3 +137,35 @@ def test_rows_of_small_trees_come_once_for_a_task(spark, monkeypatch):
     assert fit(rows, trees=30).parts.select("tree").distinct().count() == 30
     with pytest.raises(AssertionError, match="by the tree"):
         fit(rows, rows_per_node=300)
+
+
+def test_rows_beyond_a_node_are_given_whole(spark, monkeypatch):
+    """Before, all rows of more than a node's bound were dealt by the tree."""
+    rows = labelled(spark, 900)
+    monkeypatch.setattr(module, "ROWS_PER_NODE", 300)
+    plain = fit(rows)
+    assert all(top.feature == [-1] for top in plain.tops.values())
+    monkeypatch.setattr(module, "ROWS_WHOLE", 800)
+    dealt = fit(rows)
+    assert all(len(top.feature) > 1 for top in dealt.tops.values())
+    for forest in (plain, dealt):
+        assert forest.score(rows, "features", "pd").where("(pd >= 0.5) <> (default_flag = 1)").count() < 45
+
+
+def test_walk_ends_at_the_leaf_of_each_row():
+    rng = np.random.default_rng(8)
+    codes, labels = rng.integers(0, 32, (3, 700)).astype(np.uint8), rng.integers(0, 2, 700)
+    tree = grow(codes, labels, np.ones(700, np.uint8), 2, 1, 30, rng)
+    expected = np.zeros(700, int)
+    for row in range(700):
+        node = 0
+        while tree["feature"][node] >= 0:
+            node = tree["left"][node] + (codes[tree["feature"][node], row] > tree["cut"][node])
+        expected[row] = node
+    parts = [tree[name].astype(np.int32) for name in ("feature", "cut", "left")]
+    assert np.array_equal(walk(*parts, codes), expected)
+    assert np.array_equal(walk(*parts, module.by_rows(codes)), expected)
+    own = np.arange(1, 700, 3)
+    assert np.array_equal(walk(*parts, codes, own), expected[own])
+    assert len(walk(*parts, codes, own[:0])) == 0
+    assert not walk(*(part[:1] * 0 - (i == 0) for i, part in enumerate(parts)), codes).any()
