@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -32,6 +32,8 @@ GRID = {"mtry": [3, 6, 9, 12], "min_n": [5, 15, 25]}
 SEED = 20260922
 UNKNOWN_LEVEL = "unknown"
 PARALLELISM = 5
+#: Rows that the fits of several folds keep in memory or on disk at a time.
+ROWS_KEPT = 2_000_000
 #: Trees are hardly bounded in depth: this is the greatest depth of Spark's own trees.
 MAX_DEPTH = 30
 
@@ -123,11 +125,7 @@ class ConvergenceError(ValueError):
 def fit_logistic(train: DataFrame) -> PipelineModel:
     """Unpenalised logistic regression of default; fails when it does not converge."""
     prepared, rows = prepare(train, normalise=True)
-    rows = spread(rows).persist()
-    try:
-        model = logistic().fit(rows)
-    finally:
-        rows.unpersist()
+    model = logistic().fit(spread(rows))        # which keeps its own blocks of the rows
     steps = model.summary.totalIterations
     if steps >= model.getMaxIter():
         raise ConvergenceError(f"the regression has not converged after {steps} iterations")
@@ -226,13 +224,16 @@ def _over_folds(folded: DataFrame, one: Callable[[DataFrame, DataFrame], DataFra
                 parallelism: int) -> DataFrame:
     """Predictions of every fold, from ``one(rows outside it, rows inside it)``.
 
-    Folds are independent, so several are worked on at a time, as CrossValidator does. The
+    Folds are independent, so several are worked on at a time, as CrossValidator does, but as each
+    fit keeps its rows, together they keep no more than ``ROWS_KEPT``, or those of one fold. The
     result is checkpointed: models score once, whatever is computed from it.
     """
     work_folder(folded.sparkSession)
-    rows = folded.persist()
+    rows = folded.persist(StorageLevel.DISK_ONLY)
     try:
-        numbers = sorted(row["fold"] for row in rows.select("fold").distinct().collect())
+        sizes = {row["fold"]: row["count"] for row in rows.groupBy("fold").count().collect()}
+        numbers = sorted(sizes)
+        parallelism = max(1, min(parallelism, ROWS_KEPT // max(1, sum(sizes.values()))))
         # One wrapper per fold: each carries its own copy of the job properties.
         tasks = [
             inheritable_thread_target(folded.sparkSession)(partial(

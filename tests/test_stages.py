@@ -1,4 +1,5 @@
 import shutil
+import time
 import warnings
 from decimal import Decimal
 
@@ -277,6 +278,38 @@ def test_tuning_sample_is_exact_and_bounds_only_the_fit(table, tmp_path):
     assert rows == {3: folded.count(), 6: folded.count()}
 
 
+def test_folds_of_many_rows_are_fitted_one_by_one(spark, monkeypatch):
+    """Before, five fits kept their rows at a time, beside the rows of all folds in memory."""
+    held, rows = [], spark.range(100).select(
+        "id", (F.col("id") % 5).alias("fold"), F.rand(1).alias("predicted_pd"))
+
+    def one(train, part):
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.5)
+        running.pop()
+        return part
+
+    running, most = [], []
+    persist = type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda self, *a: held.append(a) or persist(self, *a))
+    for kept, expected in ((150, 1), (2_000_000, 2)):
+        monkeypatch.setattr(M, "ROWS_KEPT", kept)
+        most.clear()
+        scored = M._over_folds(rows, one, 5)
+        assert scored.count() == 100 and scored.select("fold").distinct().count() == 5
+        assert max(most) == 1 if expected == 1 else max(most) > 1
+    assert all(level and not level[0].useMemory for level in held)
+
+
+def test_the_regression_keeps_its_rows_once(table, monkeypatch):
+    kept, persist = [], type(table).persist
+    monkeypatch.setattr(type(table), "persist",
+                        lambda self, *a: kept.append(self) or persist(self, *a))
+    M.fit_logistic(table)
+    assert kept == []
+
+
 def test_tuning_fits_all_rows_unless_asked_for_fewer(table, tmp_path):
     """Before, 2000 rows of whole customers were fitted."""
     many = table.crossJoin(table.sparkSession.range(7)).withColumns({
